@@ -14,9 +14,10 @@ KEPT_DOMAINS = ["gmail.com", "yahoo.com", "outlook.com"]
 HEX_DIGITS = "0123456789abcdef"
 CODE_DIGITS = "8901234567789012"
 
-_BYTES_PER_WORD = 7  # 14 hex digits fit a bigint
+# Each byte as a character and its last decimal digit.
+BYTES = "".join(chr(x) for x in range(256))
+BYTE_DIGITS = "".join(str(x % 10) for x in range(256))
 _DIGEST_BYTES = 32
-_USUAL_DIGITS = 15  # the longest international number
 
 
 def email(b: Build, name: str, c: Column, dtype, options: dict) -> Column:
@@ -38,39 +39,23 @@ def email(b: Build, name: str, c: Column, dtype, options: dict) -> Column:
     )
 
 
-def _digit(words: list[Column], i: int) -> Column:
-    """The last decimal digit of the ``i``-th digest byte."""
-    word, byte = divmod(i, _BYTES_PER_WORD)
-    in_word = min(_BYTES_PER_WORD, _DIGEST_BYTES - word * _BYTES_PER_WORD)
-    shifted = F.shiftright(words[word], 8 * (in_word - 1 - byte))
-    return (shifted.bitwiseAND(F.lit(255)) % 10).cast("string")
-
-
 def phone(b: Build, name: str, c: Column, dtype, options: dict) -> Column:
     """Replace the digits in place; blanks, brackets and signs stay."""
     text = b.text(c, dtype, options)
     source = F.regexp_replace(text, "[^0-9]", "") if options["normalize"] else text
-    digest = b.bind(b.secrets.digest(source))
     between = b.bind(F.split(text, "[0-9]", -1))
-    digits = b.bind(F.size(between) - 1, 1)
-    width = 2 * _BYTES_PER_WORD
-    words = [
-        b.bind(F.conv(F.substring(digest, 1 + at, width), 16, 10).cast("bigint"), 1)
-        for at in range(0, 2 * _DIGEST_BYTES, width)
-    ]
-
-    def woven(limit: int) -> Column:
-        parts = [F.get(between, F.lit(0))]
-        for i in range(limit):
-            parts += [F.when(digits > i, _digit(words, i)), F.get(between, F.lit(i + 1))]
-        return F.concat_ws("", *parts)
-
+    count = F.size(between) - 1
+    used = F.substring(F.unhex(b.secrets.digest(source)), F.lit(1), count)
+    fresh = b.bind(F.translate(F.decode(used, "ISO-8859-1"), BYTES, BYTE_DIGITS), 1)
+    # Beyond the last digit both parts of a pair are empty or null and vanish.
+    woven = [F.get(between, F.lit(0))]
+    for i in range(_DIGEST_BYTES):
+        woven += [F.substring(fresh, i + 1, 1), F.get(between, F.lit(i + 1))]
     short = text if b.lenient(options, "short") else F.lit(REDACTED)
     return (
         F.when(text.isNull(), F.lit(None))
-        .when(digits < 7, short)
-        .when(digits <= _USUAL_DIGITS, woven(_USUAL_DIGITS))
-        .when(digits <= _DIGEST_BYTES, woven(_DIGEST_BYTES))
+        .when(count < 7, short)
+        .when(count <= _DIGEST_BYTES, F.concat_ws("", *woven))
         .otherwise(F.lit(REDACTED))
     )
 

@@ -8,15 +8,27 @@ from veil.errors import PolicyError
 from veil.functions.build import REDACTED, Build
 from veil.functions.canonical import canon, is_text
 
-# The layouts a date may have, tried in this order.
-LAYOUTS = ["yyyy-M-d", "M/d/yyyy", "d/M/yyyy", "yyyy-M-d H:m:s"]
-
 GRANULARITIES = ("year", "quarter", "month")
 
+# The layouts a date may have, in this order: year-month-day, month/day/year,
+# day/month/year, and the first with a time of day.  A day may be padded by a blank.
+_YEAR, _MONTH, _DAY = "([0-9]{4})", "([0-9]{1,2})", "( [1-9]|[0-9]{1,2})"
+_TIME = r"(?:[01]?[0-9]|2[0-3]):[0-5]?[0-9]:[0-5]?[0-9]"
+_DASHED = rf"^{_YEAR}-{_MONTH}-{_DAY}(?:\s+{_TIME})?\z"
+_MONTH_FIRST = rf"^{_MONTH}/{_DAY}/{_YEAR}\z"
+_DAY_FIRST = rf"^{_DAY}/{_MONTH}/{_YEAR}\z"
+
+
+def _slashed(text: Column, layout: str, order: str) -> Column:
+    """Text in another layout keeps its slashes, which no date has."""
+    return F.replace(F.regexp_replace(text, layout, order), F.lit(" "), F.lit("")).try_cast("date")
+
 
 def _read(text: Column) -> Column:
-    day = F.coalesce(*[F.try_to_timestamp(text, F.lit(p)).cast("date") for p in LAYOUTS])
-    return F.when(F.year(day).between(1, 9999), day)
+    """The date in a text.  No bad value costs an exception, as a date parser's would."""
+    slashed = F.coalesce(_slashed(text, _MONTH_FIRST, "$3-$1-$2"), _slashed(text, _DAY_FIRST, "$3-$2-$1"))
+    dashed = F.when(text.rlike(_DASHED), F.replace(text, F.lit("- "), F.lit("-")).try_cast("date"))
+    return F.when(text.contains("/"), slashed).otherwise(dashed)
 
 
 def period(b: Build, name: str, c: Column, dtype, options: dict) -> Column:
@@ -28,7 +40,7 @@ def period(b: Build, name: str, c: Column, dtype, options: dict) -> Column:
         return canon(c, dtype)
     else:
         raise PolicyError(f"{name}: no date can be read from {dtype.simpleString()}")
-    year = F.year(day).cast("string")
+    year = F.when(F.year(day) >= 1, F.year(day).cast("string"))
     if options["granularity"] == "year":
         label = year
     elif options["granularity"] == "quarter":
