@@ -14,7 +14,7 @@ from checks import sql as S
 from veil import Settings, anonymize
 from veil.functions.substitution import LISTS
 from veil.operators import audit, mapping
-from veil.operators.detection import PATTERNS, detect_pii
+from veil.operators.detection import detect_pii
 from veil.operators.suppression import k_anonymity
 from veil.plans.job import anonymize_tables, run_job
 from veil.plans.presets import preset
@@ -837,12 +837,22 @@ def audit_privacy(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in ["max_risk", "mean_risk"]})
 
 
+_FRAMED = "(^|[^0-9])({})([^0-9]|$)"
+_KINDS = {
+    "email": r"[A-Za-z0-9._%+-]@[A-Za-z0-9.-]+\.[A-Za-z][A-Za-z]",
+    "phone": _FRAMED.format(r"(\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}"),
+    "ssn": _FRAMED.format("[0-9]{3}-[0-9]{2}-[0-9]{4}"),
+    "card": _FRAMED.format("[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}"),
+    "date": _FRAMED.format("[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"),
+}
+
+
 def _detect_sql(source: str, columns: list[str]) -> str:
     return " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", '{kind}' AS kind, count({c}) AS values,
             count(*) FILTER (regexp_matches({c}, '{pattern}')) AS hits,
             count(*) FILTER (regexp_matches({c}, '{pattern}')) / count({c})::DOUBLE AS share FROM {source}"""
-        for c in columns for kind, pattern in PATTERNS.items()
+        for c in columns for kind, pattern in _KINDS.items()
     )
 
 

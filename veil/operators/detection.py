@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from veil.functions.canonical import ident, is_text
 
-# The digit patterns are framed so that a longer number does not match.
-_OPEN, _SHUT = "(^|[^0-9])", "([^0-9]|$)"
+# A digit starts a match only if the character before it is no digit, and a match
+# must not go on in a digit, so parts of longer numbers do not count.  Every
+# pattern starts with the rarest character it can, which keeps the scan cheap.
+_START, _END = "[0-9](?<![0-9][0-9])", "(?![0-9])"
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]@[A-Za-z0-9.-]+\.[A-Za-z][A-Za-z]",
-    "phone": _OPEN + r"(\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}" + _SHUT,
-    "ssn": _OPEN + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _SHUT,
-    "card": _OPEN + r"[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}" + _SHUT,
-    "date": _OPEN + r"([0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})" + _SHUT,
+    "email": r"@(?<=[A-Za-z0-9._%+-]@)[A-Za-z0-9.-]+\.[A-Za-z][A-Za-z]",
+    "phone": rf"(?:{_START}[0-9]{{2}}[-. ]|\((?<![0-9]\()[0-9]{{3}}\) ?)[0-9]{{3}}[-. ][0-9]{{4}}{_END}",
+    "ssn": rf"{_START}[0-9]{{2}}-[0-9]{{2}}-[0-9]{{4}}{_END}",
+    "card": rf"{_START}[0-9]{{3}}[- ]?[0-9]{{4}}[- ]?[0-9]{{4}}[- ]?[0-9]{{4}}{_END}",
+    "date": rf"{_START}(?:[0-9]{{3}}-[0-9]{{1,2}}-[0-9]{{1,2}}|[0-9]?/[0-9]{{1,2}}/[0-9]{{4}}){_END}",
 }
 SUGGESTED = {
     "email": "anonymize_email",

@@ -1,9 +1,10 @@
 """A uniform random permutation of a column over the whole table.
 
 Every row has a rank by its row key and every value a rank by a keyed digest;
-both are dense, and joining them deals the values out again.  Ranks come from a
-range-partitioned sort plus one offset per partition, so no task ever sees the
-whole column.
+both are dense, and joining them deals the values out again.  Ranks come from
+sorted partitions plus one offset per partition, so no task ever sees the whole
+column.  Row keys are range-partitioned; digests are uniform, so their ranges
+are known beforehand and no sampling pass has to compute them once more.
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from veil.errors import PolicyError
 from veil.functions.canonical import ident
-from veil.functions.keyed import Secrets, key_text
+from veil.functions.keyed import Secrets, key_text, uniform
 from veil.operators.materialize import materialize
 
 ROW_ID = "__veil_row_id"
 _RANK = "__veil_rank"
 _PLACE = "__veil_place"
 _PART = "__veil_part"
+_DRAW = "__veil_draw"
 _PART_BITS = 33  # monotonically_increasing_id: partition above, row number below
 
 
@@ -29,40 +31,48 @@ def with_row_id(df: DataFrame) -> DataFrame:
     return materialize(df.withColumn(ROW_ID, F.monotonically_increasing_id()))
 
 
-def global_rank(df: DataFrame, order: list[str], rank: str = _RANK) -> tuple[DataFrame, int]:
-    """Dense ranks from 0 in the given order, and the number of rows.
-
-    The order columns have to be unique and not null.
-    """
-    placed = materialize(
-        df.orderBy(*[ident(c) for c in order]).withColumn(_PLACE, F.monotonically_increasing_id())
-    )
+def _dense(placed: DataFrame, checked: list[str] | None = None) -> tuple[DataFrame, int]:
+    """Turn stored places within partitions into ranks from 0; also the row count."""
     part = F.shiftright(_PLACE, _PART_BITS).alias(_PART)
     has_null = F.lit(False)
-    for c in order:
+    for c in checked or []:
         has_null = has_null | ident(c).isNull()
     # One row per partition of the sort, whatever the size of the data.
     sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("n"), F.max(has_null).alias("bad")).collect()
     if any(s["bad"] for s in sizes):
-        raise PolicyError(f"the row key {order} holds nulls")
+        raise PolicyError(f"the row key {checked} holds nulls")
     sizes = sorted((s[_PART], s["n"]) for s in sizes)
     ends = list(accumulate(n for _, n in sizes))
     starts = [(p, end - n) for (p, n), end in zip(sizes, ends)]
-    offsets = df.sparkSession.createDataFrame(starts, f"{_PART} bigint, __veil_start bigint")
+    offsets = placed.sparkSession.createDataFrame(starts, f"{_PART} bigint, __veil_start bigint")
     in_part = F.col(_PLACE).bitwiseAND(F.lit((1 << _PART_BITS) - 1))
     ranked = (
         placed.withColumn(_PART, F.shiftright(_PLACE, _PART_BITS))
         .join(F.broadcast(offsets), _PART)
-        .withColumn(rank, F.col("__veil_start") + in_part)
+        .withColumn(_RANK, F.col("__veil_start") + in_part)
         .drop(_PART, _PLACE, "__veil_start")
     )
     return ranked, (ends[-1] if ends else 0)
 
 
-def _check_unique(ranked: DataFrame, row_key: list[str]) -> None:
-    twice = ranked.groupBy(*[ident(c) for c in row_key]).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+def rank_by_key(df: DataFrame, row_key: list[str]) -> tuple[DataFrame, int]:
+    """The row keys with their dense rank; they have to be unique and not null."""
+    keys = [ident(k) for k in row_key]
+    placed = materialize(df.select(*keys).orderBy(*keys).withColumn(_PLACE, F.monotonically_increasing_id()))
+    ranked, total = _dense(placed, row_key)
+    twice = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if not twice.isEmpty():
         raise PolicyError(f"the row key {row_key} is not unique")
+    return ranked, total
+
+
+def rank_by_draw(drawn: DataFrame) -> tuple[DataFrame, int]:
+    """The rows with their dense rank in the order of their hex digest."""
+    parts = int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = F.floor(uniform(F.col(_DRAW)) * F.lit(float(parts))).cast("int")
+    spread = drawn.withColumn(_PART, share).repartitionById(parts, _PART)
+    placed = spread.sortWithinPartitions(_DRAW).withColumn(_PLACE, F.monotonically_increasing_id())
+    return _dense(materialize(placed.drop(_DRAW, _PART)))
 
 
 def shuffle_columns(
@@ -76,20 +86,16 @@ def shuffle_columns(
     missing = [c for c in [*columns, *row_key] if c not in df.columns]
     if missing or not row_key:
         raise PolicyError(f"no such columns: {missing}" if missing else "shuffle needs a row key")
-    rows, total = global_rank(df.select(*[ident(k) for k in row_key]), row_key)
-    _check_unique(rows, row_key)
+    rows, total = rank_by_key(df, row_key)
     keys = key_text(df, row_key)
     dealt = rows
     for i, column in enumerate(columns):
         tag = f"{table}.{column}" if table else column
-        drawn = df.select(
-            ident(column).alias(f"__veil_new_{i}"),
-            F.unhex(secrets.draw(tag, keys)).alias("__veil_draw"),
-        )
-        values, count = global_rank(drawn, ["__veil_draw"])
+        drawn = df.select(ident(column).alias(f"__veil_new_{i}"), secrets.draw(tag, keys).alias(_DRAW))
+        values, count = rank_by_draw(drawn)
         if count != total:
             raise PolicyError("the table changed while it was shuffled")
-        dealt = dealt.join(values.drop("__veil_draw"), _RANK)
+        dealt = dealt.join(values, _RANK)
     dealt = dealt.drop(_RANK).withColumnsRenamed({k: f"__veil_key_{i}" for i, k in enumerate(row_key)})
     condition = F.lit(True)
     for i, k in enumerate(row_key):
