@@ -6,8 +6,6 @@ cannot express the operator.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks import sql as S
@@ -15,6 +13,7 @@ from veil import Settings, anonymize
 from veil.functions.substitution import LISTS
 from veil.operators import audit, mapping
 from veil.operators.detection import detect_pii
+from veil.operators.materialize import scratch_path
 from veil.operators.suppression import k_anonymity
 from veil.plans.job import anonymize_tables, run_job
 from veil.plans.presets import preset
@@ -43,18 +42,6 @@ def rule(method: str, **options) -> dict:
     return {"method": method, "options": options}
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder all executors can reach; a local one only in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-
-        return f"{shared.rstrip('/')}/checks-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="veil-checks-")
-
-
 # --- digests, masks, pseudonyms -------------------------------------------------
 
 
@@ -577,7 +564,7 @@ def job_two_tables(spark, d):
 @query(_TWO_SQL)
 def job_files(spark, d):
     """The same from files to files."""
-    out = scratch(spark)
+    out = scratch_path(spark)
     run_job(spark, d, out, _TWO, SET, tables=list(_TWO), row_keys={"customer": ["c_custkey"]},
             links=[("orders.o_custkey", "customer.c_custkey")])
     tables = load_tables(spark, out)
@@ -588,8 +575,8 @@ def job_files(spark, d):
 def csv_round_trip(spark, d):
     """Written as CSV, read back with a schema and anonymized."""
     orders = table(spark, d, "orders").withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
-    folder = scratch(spark)
-    save_tables({"orders": orders}, folder, "csv", mode="overwrite", prefix="")
+    folder = scratch_path(spark)
+    save_tables({"orders": orders}, folder, "csv", prefix="")
     back = load_tables(spark, folder, ["orders"], schemas={"orders": orders.schema})["orders"]
     return anonymize(back, {
         "o_custkey": "pseudonymize",
@@ -902,7 +889,7 @@ def _drain(stream: DataFrame, folder: str) -> DataFrame:
 def stream_policy(spark, d):
     stream = _stream(spark, d).drop("ts", "props")
     policy = {"user_id": "pseudonymize", "event_type": "hash", "value": "differential_privacy"}
-    return _rounded(_drain(anonymize(stream, policy, SET, ["event_id"]), scratch(spark)), "value")
+    return _rounded(_drain(anonymize(stream, policy, SET, ["event_id"]), scratch_path(spark)), "value")
 
 
 @query("""
@@ -914,7 +901,7 @@ def stream_policy(spark, d):
 def stream_daily_k(spark, d):
     """Every row of a closed day; the last day stays open."""
     stream = _stream(spark, d).select("event_id", "ts", "user_id", "value")
-    return _drain(windowed_k_anonymity(stream, "ts", "1 day", "user_id", 3, ["event_id"]), scratch(spark)).drop("ts")
+    return _drain(windowed_k_anonymity(stream, "ts", "1 day", "user_id", 3, ["event_id"]), scratch_path(spark)).drop("ts")
 
 
 # --- generated tables -------------------------------------------------------------

@@ -7,6 +7,11 @@ from checks.compare import connect, differences
 from checks.queries import QUERIES
 
 
+@pytest.fixture(scope="module")
+def sf():
+    return "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="module")
 def con(sf):
     return connect(sf)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veil.errors import PolicyError
@@ -22,11 +23,16 @@ ALGORITHMS = ("sha256", "sha512", "md5")
 _HEX = 13  # 52 bits, which a double holds exactly
 
 
+def local_table(spark: SparkSession, **columns: list) -> DataFrame:
+    """A small table from values on the driver, without a Python worker behind it."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 class Secrets:
     """The salt and the key of a job as columns of the running plan."""
 
     def __init__(self, spark: SparkSession, settings: Settings):
-        row = spark.createDataFrame([(settings.salt, settings.key)], "salt string, key string")
+        row = local_table(spark, salt=[settings.salt], key=[settings.key])
         self.salt: Column = row.select("salt").scalar()
         self.key: Column = row.select("key").scalar()
 

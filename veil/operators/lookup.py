@@ -58,20 +58,21 @@ def attach(
     keys: list[str],
     table: DataFrame,
     counts: DataFrame | None = None,
+    table_bytes: int | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``df`` plus the other columns of ``table``, null where no key matches.
 
     ``table`` has one row per key.  ``counts`` are the rows per key of ``df``
-    if the caller has them already.
+    and ``table_bytes`` the size of ``table``, if the caller knows them already.
     """
-    if measured_bytes(table) <= broadcast_bytes:
+    if (measured_bytes(table) if table_bytes is None else table_bytes) <= broadcast_bytes:
         return _join(df, table, keys, small=True)
     counts = key_counts(df, keys) if counts is None else counts
     total = counts.agg(F.sum(_COUNT).alias("n")).first()["n"] or 0
     hot = counts.filter(F.col(_COUNT) * HOT_KEYS > F.lit(total)).drop(_COUNT)
     hot = materialize(_join(hot, table, keys, small=False).withColumn(_HOT, F.lit(True)))
-    if hot.isEmpty():
+    if hot.count() == 0:
         return _join(df, table, keys, small=False)
     known = _join(df, hot, keys, small=True)
     marker = F.coalesce(ident(_HOT), F.lit(False))

@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from veil.errors import PolicyError
 from veil.functions.build import REDACTED
 from veil.functions.canonical import canon, ident
-from veil.functions.keyed import Secrets
+from veil.functions.keyed import Secrets, local_table
 from veil.operators.lookup import attach
 from veil.operators.materialize import materialize
 from veil.settings import Settings
@@ -79,11 +80,13 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
 def dictionary(spark: SparkSession, pairs: dict | str) -> DataFrame:
     """Pairs written in the program, or as JSON text, as a dictionary table."""
     pairs = json.loads(pairs) if isinstance(pairs, str) else pairs
-    return spark.createDataFrame(list(pairs.items()), "value string, label string")
+    return local_table(
+        spark, value=pa.array(list(pairs), pa.string()), label=pa.array(list(pairs.values()), pa.string())
+    )
 
 
 def _unique(table: DataFrame, column: str) -> None:
-    if not table.groupBy(column).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+    if table.groupBy(column).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").count():
         raise PolicyError("a value is listed twice")
 
 

@@ -1,30 +1,44 @@
-"""Cutting lineage through the cluster's shared checkpoint folder."""
+"""Cutting lineage by a table written to the cluster's shared folder.
+
+Executors may be lost at any time; a stored table is read again, where a cached
+one would be computed again and could come out in another order.  Parquet keeps
+it compact and lets later plans read only the columns and rows they need.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}
+
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in ``spark.checkpoint.dir``.
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``.
 
     Only a local session without that setting gets a folder of its own; on a
     cluster the folder has to be shared, so there it must be named.
     """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="veil-checkpoint-")
-    sc.setCheckpointDir(named)
+    if named:
+        return named.rstrip("/")
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    if sc.applicationId not in _LOCAL:
+        _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="veil-")
+    return _LOCAL[sc.applicationId]
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A path of its own below the scratch folder; nothing is there yet."""
+    return f"{scratch_folder(spark)}/veil-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute once and keep reliably; later plans read the stored rows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once and store; later plans read the stored rows."""
+    path = scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from veil.errors import PolicyError
 from veil.functions.canonical import ident
-from veil.functions.keyed import Secrets, key_text, uniform
+from veil.functions.keyed import Secrets, key_text, local_table
 from veil.operators.materialize import materialize
 
 ROW_ID = "__veil_row_id"
@@ -23,6 +24,8 @@ _RANK = "__veil_rank"
 _PLACE = "__veil_place"
 _PART = "__veil_part"
 _DRAW = "__veil_draw"
+_START = "__veil_start"
+_PART_HEX = 8  # hex digits that choose the partition
 _PART_BITS = 33  # monotonically_increasing_id: partition above, row number below
 
 
@@ -42,17 +45,17 @@ def _dense(placed: DataFrame, checked: list[str] | None = None) -> tuple[DataFra
     if any(s["bad"] for s in sizes):
         raise PolicyError(f"the row key {checked} holds nulls")
     sizes = sorted((s[_PART], s["n"]) for s in sizes)
-    ends = list(accumulate(n for _, n in sizes))
-    starts = [(p, end - n) for (p, n), end in zip(sizes, ends)]
-    offsets = placed.sparkSession.createDataFrame(starts, f"{_PART} bigint, __veil_start bigint")
+    ends = list(accumulate((n for _, n in sizes), initial=0))
+    parts = pa.array([p for p, _ in sizes], pa.int64())
+    offsets = local_table(placed.sparkSession, **{_PART: parts, _START: pa.array(ends[:-1], pa.int64())})
     in_part = F.col(_PLACE).bitwiseAND(F.lit((1 << _PART_BITS) - 1))
     ranked = (
         placed.withColumn(_PART, F.shiftright(_PLACE, _PART_BITS))
         .join(F.broadcast(offsets), _PART)
-        .withColumn(_RANK, F.col("__veil_start") + in_part)
-        .drop(_PART, _PLACE, "__veil_start")
+        .withColumn(_RANK, F.col(_START) + in_part)
+        .drop(_PART, _PLACE, _START)
     )
-    return ranked, (ends[-1] if ends else 0)
+    return ranked, ends[-1]
 
 
 def rank_by_key(df: DataFrame, row_key: list[str]) -> tuple[DataFrame, int]:
@@ -60,17 +63,22 @@ def rank_by_key(df: DataFrame, row_key: list[str]) -> tuple[DataFrame, int]:
     keys = [ident(k) for k in row_key]
     placed = materialize(df.select(*keys).orderBy(*keys).withColumn(_PLACE, F.monotonically_increasing_id()))
     ranked, total = _dense(placed, row_key)
-    twice = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if not twice.isEmpty():
+    if placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").count():
         raise PolicyError(f"the row key {row_key} is not unique")
     return ranked, total
 
 
 def rank_by_draw(drawn: DataFrame) -> tuple[DataFrame, int]:
-    """The rows with their dense rank in the order of their hex digest."""
+    """The rows with their dense rank in the order of their hex digest.
+
+    Half of the digest, 128 bits, orders the rows; its first bits say which
+    partition a row belongs to.
+    """
     parts = int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    share = F.floor(uniform(F.col(_DRAW)) * F.lit(float(parts))).cast("int")
-    spread = drawn.withColumn(_PART, share).repartitionById(parts, _PART)
+    first = F.conv(F.substring(_DRAW, 1, _PART_HEX), 16, 10).cast("bigint")
+    part = F.shiftright(first * F.lit(parts).cast("bigint"), 4 * _PART_HEX).cast("int")
+    half = F.unhex(F.substring(_DRAW, 1, 32))
+    spread = drawn.withColumns({_PART: part, _DRAW: half}).repartitionById(parts, _PART)
     placed = spread.sortWithinPartitions(_DRAW).withColumn(_PLACE, F.monotonically_increasing_id())
     return _dense(materialize(placed.drop(_DRAW, _PART)))
 

@@ -52,7 +52,8 @@ def flag_frequent(
         *keys, F.lit(not use_rare).alias(flag)
     )
     keyed = df.withColumns({k: _compact(df, c) for c, k in zip(columns, keys)})
-    out = attach(keyed, keys, table, counts, broadcast_bytes).drop(*keys)
+    size = min(sizes["rare"], sizes["frequent"])
+    out = attach(keyed, keys, table, counts, size, broadcast_bytes).drop(*keys)
     return out.withColumn(flag, F.coalesce(ident(flag), F.lit(use_rare)))
 
 
