@@ -975,6 +975,25 @@ def sample_transactions(spark, d):
     )
 
 
-@query()
+_EM = _sample_sql("employees")
+
+
+@query(f"""
+    WITH r AS (SELECT c_custkey AS id, max(c_custkey) OVER () + 1 AS n FROM customer)
+    SELECT id + 1 AS EmployeeID, {S.pick(_EM('name'), samples.PEOPLE[:10])} AS Name,
+        {S.between(_EM('age'), 22, 65)} AS Age, {_spread('1960-01-01', '2000-12-31')} AS DateOfBirth,
+        'employee' || (id + 1) || '@company.com' AS Email,
+        '(' || {S.between(_EM('phone1'), 200, 999)} || ') ' || {S.between(_EM('phone2'), 200, 999)} || '-'
+            || {S.between(_EM('phone3'), 1000, 9999)} AS Phone,
+        {S.between(_EM('ssn1'), 100, 999)} || '-' || {S.between(_EM('ssn2'), 10, 99)} || '-'
+            || {S.between(_EM('ssn3'), 1000, 9999)} AS SSN,
+        {S.pick(_EM('department'), samples.DEPARTMENTS)} AS Department,
+        {S.between(_EM('salary'), 40000, 150000)} AS Salary, {_spread('2015-01-01', '2023-12-31')} AS HireDate,
+        {S.pick(_EM('manager'), samples.MANAGERS)} AS Manager,
+        {S.between(_EM('house'), 1, 9999)} || ' ' || {S.pick(_EM('street'), samples.STREETS)} || ' St, City '
+            || (id + 1) AS Address,
+        'Contact' || (id + 1) || '@family.com' AS EmergencyContact
+    FROM r
+""")
 def sample_employees(spark, d):
     return samples.employees(spark, SET, _ids(spark, d, "customer", "c_custkey"))

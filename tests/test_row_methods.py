@@ -42,6 +42,8 @@ def test_hash_algorithms(spark, settings, name, size):
     ("date", [dt.date(2023, 1, 5)], ["2023-01-05"]),
     ("timestamp", [dt.datetime(2023, 1, 5, 3, 4, 5), dt.datetime(2023, 1, 5, 3, 4, 5, 120)],
      ["2023-01-05 03:04:05", "2023-01-05 03:04:05.000120"]),
+    ("timestamp_ntz", [dt.datetime(2023, 1, 5), dt.datetime(2023, 1, 5, 0, 0, 0, 500000)],
+     ["2023-01-05 00:00:00", "2023-01-05 00:00:00.500000"]),
     ("decimal(10,2)", [Decimal("1.50")], ["1.50"]),
     ("binary", [bytearray(b"\x01\xff")], ["01ff"]),
 ])

@@ -7,7 +7,7 @@ from veil import PolicyError, Settings
 from veil.operators import audit
 from veil.plans.job import run_job
 from veil.sources import samples
-from veil.sources.tables import check_format, load_tables, save_tables
+from veil.sources.tables import check_format, list_columns, load_tables, save_tables
 
 PEOPLE = '''name,zip,phone,note,age
 "Doe, John",01234,(555) 123-4567,"said ""hi""",30
@@ -32,6 +32,7 @@ def test_one_csv_file(spark, people):
     assert [r["zip"] for r in rows] == ["01234", "98765", "00001"]
     assert rows[0]["note"] == 'said "hi"' and rows[1]["note"] == "two\nlines"
     assert rows[2]["phone"] is None and rows[2]["age"] is None
+    assert list_columns(spark, people)["Sheet1"][0] == ("name", "string")
     inferred = load_tables(spark, people)["Sheet1"]
     assert dict(inferred.dtypes)["age"] == "int" and inferred.count() == 3
 

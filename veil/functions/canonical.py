@@ -34,9 +34,9 @@ def _floating(c: Column) -> Column:
 
 
 def _timestamp(c: Column) -> Column:
-    whole = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    micro = F.date_format(c, "SSSSSS")
-    return F.when(micro == "000000", whole).otherwise(F.concat(whole, F.lit("."), micro))
+    """Seconds, and six digits of a fraction if there is one."""
+    text = c.cast("string")
+    return F.when(F.instr(text, ".") > 0, F.rpad(text, 26, "0")).otherwise(text)
 
 
 def canon(c: Column, dtype: T.DataType, scale: int | None = None) -> Column:

@@ -12,7 +12,8 @@ SINGLE_TABLE = "Sheet1"
 FORMATS = ("csv", "parquet", "json", "orc")
 
 # Quoted line breaks are only read where a file is one task anyway; a larger
-# file is split by lines, and a broken record then ends the job.
+# file is split by lines, and a broken or short record then ends the job, so that
+# no value slips into a column with another rule.
 ONE_TASK_BYTES = 128 << 20
 
 
@@ -83,7 +84,8 @@ def _read(spark: SparkSession, entry: Entry, fmt: str, schema, options: dict) ->
     if fmt == "csv":
         lines = _largest(spark, entry) <= ONE_TASK_BYTES
         reader = reader.options(
-            header=True, escape='"', mode="FAILFAST", columnPruning=False, multiLine=lines
+            header=True, escape='"', multiLine=lines, columnPruning=False,
+            mode="PERMISSIVE" if lines else "FAILFAST",
         )
         reader = reader if schema is not None else reader.option("inferSchema", True)
     reader = reader.options(**options)
@@ -122,6 +124,14 @@ def load_tables(
     return {t: _read(spark, e, kinds[t], schemas.get(t), options) for t, e in chosen.items()}
 
 
+def list_columns(
+    spark: SparkSession, path: str, tables: list[str] | None = None, fmt: str | None = None
+) -> dict[str, list[tuple[str, str]]]:
+    """The columns and types of each table, to choose methods for."""
+    found = load_tables(spark, path, tables, fmt)
+    return {name: df.dtypes for name, df in found.items()}
+
+
 def table_path(root: str, table: str, prefix: str = "anonymized_") -> str:
     return f"{root.rstrip('/')}/{prefix}{table}"
 
