@@ -134,16 +134,13 @@ def test_ranks_are_dense(spark):
     assert [(r["k"], r["__veil_rank"]) for r in ranked.orderBy("k").collect()] == [(i, i) for i in range(1000)]
 
 
-def test_all_permutations_are_reached(spark):
-    """Six orders of three rows, over many keys, are about equally frequent."""
-    from veil import Settings
-
-    df = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "i int, v string").coalesce(1)
-    seen = Counter()
-    for n in range(30):
-        out = anonymize(df, {"v": "shuffle"}, Settings("s", f"key {n}"), ["i"])
-        seen["".join(r["v"] for r in out.orderBy("i").collect())] += 1
-    assert len(seen) >= 5 and max(seen.values()) < 15
+def test_permutation_looks_uniform(spark, settings):
+    """About one value stays in place, and values move a third of the table on average."""
+    n = 3000
+    df = spark.range(n).select("id", F.col("id").alias("v"))
+    out = anonymize(df, {"v": "shuffle"}, settings, ["id"]).collect()
+    assert sum(r["id"] == r["v"] for r in out) <= 8
+    assert abs(sum(abs(r["id"] - r["v"]) for r in out) / n - n / 3) < n / 20
 
 
 def test_vault_has_no_collisions(spark, settings):

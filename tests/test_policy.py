@@ -59,6 +59,7 @@ def test_order_of_columns_and_removal(spark, settings, orders):
     {"o_totalprice": rule("differential_privacy", epsilon=0)},
     {"o_totalprice": rule("differential_privacy", mechanism="other")},
     {"o_totalprice": rule("perturb", range=-1)},
+    {"o_totalprice": rule("perturb", type="percentage", percentage=None)},
     {"o_custkey": rule("k_anonymity", k=0)},
     {"o_custkey": rule("mask", mask_char="")},
     {"o_custkey": rule("substitute", list="abc")},
@@ -71,6 +72,16 @@ def test_bad_rules_are_found_before_anything_runs(orders, settings, bad):
         anonymize(orders, bad, settings, ["o_orderkey"])
 
 
+def test_no_job_runs_before_the_last_rule_is_checked(spark, settings, orders):
+    spark.sparkContext.setJobGroup("checked first", "")
+    nested = orders.withColumn("a", F.array("o_custkey"))
+    for bad in ({"o_totalprice": "generalize_date"}, {"a": "k_anonymity"}, {"a": "hash"}):
+        with pytest.raises(PolicyError):
+            anonymize(nested, {"o_orderdate": "k_anonymity", "o_custkey": "shuffle", **bad}, settings)
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("checked first")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_lenient_columns(spark, orders):
     relaxed = Settings("s", "k", strict=False)
     assert anonymize(orders, {"nope": "hash", "o_custkey": rule("hash", x=1)}, relaxed).columns == orders.columns

@@ -80,7 +80,8 @@ def _perturb(options: dict) -> None:
     for name in ("range", "percentage"):
         value = options[name]
         number = isinstance(value, (int, float)) and not isinstance(value, bool)
-        if value is not None and not (number and 0 <= value < float("inf")):
+        default = name == "range" and value is None
+        if not default and not (number and 0 <= value < float("inf")):
             raise PolicyError(f"{name} must be a number from 0, not {value!r}")
 
 

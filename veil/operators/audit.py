@@ -129,6 +129,7 @@ def relationships(before: DataFrame, after: DataFrame, left: str, right: str) ->
 
 
 def _paired(before: DataFrame, after: DataFrame, row_key: list[str], columns: list[str]) -> DataFrame:
+    """Old and new values side by side; the row key is unique and not anonymized."""
     missing = [c for c in [*row_key, *columns] if c not in before.columns or c not in after.columns]
     if missing:
         raise PolicyError(f"not in both tables: {missing}")

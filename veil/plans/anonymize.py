@@ -15,19 +15,22 @@ from veil.policy import ResolvedRule, TablePolicy
 from veil.settings import Settings
 
 
-def _row_key(df: DataFrame, rules: list[ResolvedRule], row_key: list[str]) -> tuple[DataFrame, list[str]]:
-    """The row key to draw by; rows are numbered if the caller names none."""
+def _row_key(df: DataFrame, rules: list[ResolvedRule], row_key: list[str]) -> list[str]:
+    """The columns to draw by; a row number if the caller names none."""
     missing = [c for c in row_key if c not in df.columns]
     if missing:
         raise PolicyError(f"no such row key columns: {missing}")
-    random = [r for r in rules if not r.method.deterministic]
-    if row_key or not random:
-        return df, list(row_key)
-    if df.isStreaming:
-        raise PolicyError(f"a stream needs a row key for {[r.column for r in random]}")
-    if any(r.method.kind == CROSS for r in random):
-        return with_row_id(df), [ROW_ID]
-    return df.withColumn(ROW_ID, F.monotonically_increasing_id()), [ROW_ID]
+    random = [r.column for r in rules if not r.method.deterministic]
+    if random and not row_key and df.isStreaming:
+        raise PolicyError(f"a stream needs a row key for {random}")
+    return [ROW_ID] if random and not row_key else row_key
+
+
+def _numbered(df: DataFrame, keys: list[str], stored: bool) -> DataFrame:
+    """Number the rows if they are drawn by number; stored if they are read more than once."""
+    if keys != [ROW_ID]:
+        return df
+    return with_row_id(df) if stored else df.withColumn(ROW_ID, F.monotonically_increasing_id())
 
 
 def anonymize(
@@ -40,27 +43,21 @@ def anonymize(
     """The same table with the policy's columns transformed, in the same column order.
 
     All row methods share one projection.  k-anonymity and shuffle read the raw
-    column, so the order of the rules does not matter.
+    column, so the order of the rules does not matter.  Every rule is written
+    out, and so checked, before the first job of k-anonymity or shuffle starts.
     """
     rules = TablePolicy.of(policy).resolve(df.schema, settings.strict)
     cross = [r for r in rules if r.method.kind == CROSS]
     if cross and df.isStreaming:
         raise PolicyError(f"not possible on a stream: {[f'{r.column}: {r.method.name}' for r in cross]}")
+    mixed = [r.column for r in cross if r.method.name == "shuffle"]
+    flags = {r.column: f"__veil_keep_{i}" for i, r in enumerate(cross) if r.method.name == "k_anonymity"}
     columns = df.columns
-    df, keys = _row_key(df, rules, row_key or [])
+    keys = _row_key(df, rules, list(row_key or []))
     secrets = Secrets(df.sparkSession, settings)
+    key_columns = [F.col(ROW_ID).cast("string")] if keys == [ROW_ID] else key_text(df, keys)
 
-    out = df
-    mixed = [r.column for r in cross if r.method.name == "shuffle"]
-    rare = [r for r in cross if r.method.name == "k_anonymity"]
-    if mixed:
-        out = shuffle_columns(out, mixed, keys, secrets, table)
-    flags = {}
-    for i, rule in enumerate(rare):
-        flags[rule.column] = f"__veil_keep_{i}"
-        out = flag_frequent(out, [rule.column], rule.options["k"], flags[rule.column], source=df)
-
-    build = Build(secrets, settings, key_text(df, keys), table)
+    build = Build(secrets, settings, key_columns, table)
     written = {}
     for rule in rules:
         c = ident(rule.column)
@@ -68,9 +65,15 @@ def anonymize(
             written[rule.column] = rule.method.write(build, rule.column, c, rule.dtype, rule.options)
         elif rule.column in flags:
             written[rule.column] = suppressed(c, rule.dtype, flags[rule.column], rule.options["scale"])
-    dropped = {r.column for r in rules if r.method.kind == DROP}
+
+    source = _numbered(df, keys, stored=bool(mixed))
+    out = shuffle_columns(source, mixed, keys, secrets, table) if mixed else source
+    for rule in cross:
+        if rule.column in flags:
+            out = flag_frequent(out, [rule.column], rule.options["k"], flags[rule.column], source=source)
     for stage in build.stages:
         out = out.withColumns(stage) if stage else out
+    dropped = {r.column for r in rules if r.method.kind == DROP}
     return out.select(*[
         (written[c].alias(c) if c in written else ident(c)) for c in columns if c not in dropped
     ])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, types as T
@@ -40,19 +41,29 @@ def _entry(status) -> Entry:
     return Entry(path.toString(), path.getName(), status.isDirectory(), status.getLen())
 
 
-def _stat(spark: SparkSession, path: str) -> Entry:
+def _locate(spark: SparkSession, path: str):
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def _stat(spark: SparkSession, path: str) -> Entry:
+    fs, hadoop = _locate(spark, path)
     if not fs.exists(hadoop):
         raise FileNotFoundError(path)
     return _entry(fs.getFileStatus(hadoop))
 
 
+def _iterate(listing) -> Iterator[Entry]:
+    """The visible entries of a listing, one at a time."""
+    while listing.hasNext():
+        entry = _entry(listing.next())
+        if entry.name[0] not in "._":
+            yield entry
+
+
 def _children(spark: SparkSession, path: str) -> list[Entry]:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    entries = [_entry(s) for s in fs.listStatus(hadoop)]
-    return sorted((e for e in entries if e.name[0] not in "._"), key=lambda e: e.name)
+    fs, hadoop = _locate(spark, path)
+    return sorted(_iterate(fs.listStatusIterator(hadoop)), key=lambda e: e.name)
 
 
 def check_format(name: str) -> str:
@@ -64,25 +75,26 @@ def check_format(name: str) -> str:
 
 
 def _format_of(spark: SparkSession, entry: Entry) -> str:
+    """By the suffix of the file, or of the first data file found in the folder."""
     if entry.suffix in FORMATS or not entry.is_dir:
         return check_format(entry.suffix)
-    suffixes = {e.suffix for e in _children(spark, entry.path) if not e.is_dir}
-    known = suffixes & set(FORMATS)
-    if len(known) != 1:
-        raise ValueError(f"unsupported file type in {entry.path}: {sorted(suffixes)}")
-    return known.pop()
+    fs, hadoop = _locate(spark, entry.path)
+    for file in _iterate(fs.listFiles(hadoop, True)):
+        if file.suffix in FORMATS:
+            return file.suffix
+    raise ValueError(f"unsupported file type in {entry.path}")
 
 
-def _largest(spark: SparkSession, entry: Entry) -> int:
-    if not entry.is_dir:
-        return entry.size
-    return max((_largest(spark, e) for e in _children(spark, entry.path)), default=0)
+def _one_task_each(spark: SparkSession, entry: Entry) -> bool:
+    """Whether no file is larger than one task reads."""
+    fs, hadoop = _locate(spark, entry.path)
+    return all(file.size <= ONE_TASK_BYTES for file in _iterate(fs.listFiles(hadoop, True)))
 
 
 def _read(spark: SparkSession, entry: Entry, fmt: str, schema, options: dict) -> DataFrame:
     reader = spark.read.format(fmt)
     if fmt == "csv":
-        lines = _largest(spark, entry) <= ONE_TASK_BYTES
+        lines = _one_task_each(spark, entry)
         reader = reader.options(
             header=True, escape='"', multiLine=lines, columnPruning=False,
             mode="PERMISSIVE" if lines else "FAILFAST",
