@@ -1,11 +1,12 @@
 """k-anonymity, shuffle, lookups and mappings, with skew and awkward keys."""
 
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from veil import PolicyError, anonymize
+from veil import PolicyError, anonymize, temporary_tables
 from veil.operators import lookup, mapping, permutation
 from veil.operators.suppression import flag_frequent, k_anonymity
 
@@ -146,13 +147,15 @@ def test_permutation_looks_uniform(spark, settings):
 def test_vault_has_no_collisions(spark, settings):
     left = spark.range(3000).select(F.col("id").alias("a"))
     right = spark.range(2000, 5000).select(F.col("id").cast("string").alias("b"))
-    vault = mapping.build_vault([(left, "a"), (right, "b")], settings, width=3).cache()
+    vault = mapping.build_vault([(left, "a"), (right, "b")], settings, width=4).cache()
     rows = vault.collect()
     assert len(rows) == 5000 == len({r["code"] for r in rows}) == len({r["value"] for r in rows})
     assert any(r["widened"] for r in rows)
     codes = {r["value"]: r["code"] for r in rows}
+    with pytest.raises(PolicyError):
+        mapping.build_vault([(left, "a")], settings, width=2)
     hot = spark.createDataFrame([(i, 7 if i % 3 else i) for i in range(600)] + [(600, None)], "i int, v int")
-    got = column(mapping.apply_vault(hot, "v", vault, settings, width=3))
+    got = column(mapping.apply_vault(hot, "v", vault, settings, width=4))
     assert got == [codes[str(7 if i % 3 else i)] for i in range(600)] + [None]
 
 
@@ -173,3 +176,14 @@ def test_hierarchy(spark):
     assert column(mapping.generalize_category(df, "v", tree)) == ["mammal", "animal", "[REDACTED]", None]
     assert column(mapping.generalize_category(df, "v", tree, 2)) == ["animal", "thing", "[REDACTED]", None]
     assert column(mapping.generalize_category(df, "v", tree, 9)) == ["thing", "thing", "[REDACTED]", None]
+
+
+def test_stored_tables_can_be_deleted(spark, settings, orders, tmp_path):
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    with temporary_tables(spark):
+        out = anonymize(orders, {"o_orderdate": "k_anonymity", "o_orderpriority": "shuffle"}, settings, ["o_orderkey"])
+        out.write.parquet(str(tmp_path / "out"))
+        assert set(folder.iterdir()) > before
+    assert set(folder.iterdir()) == before
+    assert spark.read.parquet(str(tmp_path / "out")).count() == orders.count()

@@ -17,6 +17,7 @@ from veil.operators.materialize import materialize
 from veil.settings import Settings
 
 _DIGEST = 64
+_SHORTEST = 4  # below this, too many values would share a code to compare them in one task
 _VALUE = "__veil_value"
 
 
@@ -29,8 +30,8 @@ def build_vault(
     the digest that no other value shares.  Values meet only values with the
     same first digits, and those groups are as even as the digest.
     """
-    if not sources or not 1 <= width <= _DIGEST:
-        raise PolicyError(f"width must be 1 to {_DIGEST} and there must be a source")
+    if not sources or not _SHORTEST <= width <= _DIGEST:
+        raise PolicyError(f"width must be {_SHORTEST} to {_DIGEST} and there must be a source")
     columns = [df.select(canon(ident(c), df.schema[c].dataType).alias("value")) for df, c in sources]
     values = reduce(DataFrame.unionByName, columns).filter("value IS NOT NULL").distinct()
     secrets = Secrets(sources[0][0].sparkSession, settings)

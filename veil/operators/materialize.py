@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_STORED: ContextVar[list[str] | None] = ContextVar("veil_stored", default=None)
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -40,5 +44,25 @@ def scratch_path(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Compute once and store; later plans read the stored rows."""
     path = scratch_path(df.sparkSession)
+    stored = _STORED.get()
+    if stored is not None:
+        stored.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables stored within the block at its end.
+
+    Results that build on them have to be written before.
+    """
+    stored: list[str] = []
+    token = _STORED.set(stored)
+    try:
+        yield
+    finally:
+        _STORED.reset(token)
+        for path in stored:
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

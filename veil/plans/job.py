@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veil.errors import PolicyError
 from veil.functions import registry
+from veil.operators.materialize import temporary_tables
 from veil.plans.anonymize import anonymize
 from veil.policy import Policy
 from veil.settings import Settings
@@ -70,8 +71,9 @@ def run_job(
             lines.append((name, rule.column, rule.method.name, rule.method.kind, rule.note, folder))
         if name not in policy.tables:
             lines.append((name, None, None, None, "no policy, passed through", folder))
-    result = anonymize_tables(source, policy, settings, row_keys, require_all_tables)
-    save_tables(result, output_path, output_format, mode)
+    with temporary_tables(spark):
+        result = anonymize_tables(source, policy, settings, row_keys, require_all_tables)
+        save_tables(result, output_path, output_format, mode)
     return spark.createDataFrame(lines, REPORT)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from veil.errors import PolicyError
 from veil.functions.canonical import canon, ident
 from veil.functions.keyed import Secrets
+from veil.operators.materialize import temporary_tables
 from veil.operators.permutation import shuffle_columns
 from veil.operators.suppression import flag_frequent, suppressed
 from veil.settings import Settings
@@ -91,10 +92,12 @@ def shuffle_batches(
 
     The scope of a permutation is one batch.  The batch number is part of the
     draw, so batches are permuted independently and a repeated batch alike.
+    The sink has to write the batch; what was stored for it is deleted after.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         secrets = Secrets(batch.sparkSession, settings)
-        sink(shuffle_columns(batch, columns, row_key, secrets, f"{table}#{number}"), number)
+        with temporary_tables(batch.sparkSession):
+            sink(shuffle_columns(batch, columns, row_key, secrets, f"{table}#{number}"), number)
 
     return df.writeStream.foreachBatch(run)
