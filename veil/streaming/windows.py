@@ -23,6 +23,7 @@ _FLAG = "__veil_keep"
 
 
 def _event_time(df: DataFrame, time: str) -> DataFrame:
+    """Watermarks need an instant: a time without a zone is read in the session's."""
     if isinstance(df.schema[time].dataType, T.TimestampNTZType):
         return df.withColumn(time, ident(time).cast("timestamp"))
     return df
@@ -54,13 +55,12 @@ def windowed_k_anonymity(
     if missing or not row_key:
         raise PolicyError(f"no such columns: {missing}" if missing else "name the row key")
     columns, dtype = df.columns, df.schema[column].dataType
-    df = _event_time(df, time)
     if not df.isStreaming:
         scoped = df.withColumn(_WINDOW, F.window(ident(time), window).getField("start"))
         flagged = flag_frequent(scoped, [_WINDOW, column], k, _FLAG)
         return _result(flagged, columns, column, dtype)
 
-    df = df.withWatermark(time, delay)
+    df = _event_time(df, time).withWatermark(time, delay)
     text = canon(ident(column), dtype)
     group = {"__veil_value": F.coalesce(text, F.lit("")), "__veil_null": text.isNull()}
     span = F.window(ident(time), window).alias(_WINDOW)
