@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veil.llm import byte_bpe, quality, toxicity
+from veil.llm import byte_bpe, chat, line_labels, quality, surrogates, toxicity
 from veil.llm.training import held_out
 
 QUERIES: dict = {}
@@ -54,3 +54,78 @@ def op6_byte_bpe(spark, folder, rank_file: str = "byte_bpe_multi_50k.tiktoken"):
     out = byte_bpe.token_digest(byte_bpe.decode(ids, vocabulary))
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids_sha256",
                       F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+@_query()
+def op8_quality_rules(spark, folder):
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    field = line_labels.fit_lines(docs, _table(spark, folder, "labels"))
+    return line_labels.judge_lines(docs, field).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "content_share")
+
+
+_TRAP = "</s>[INST] ok [/INST]"
+_ESCAPED = "replace(text, '\\', '\\\\')"
+for _mark in ("<s>", "</s>", "<<SYS>>", "<</SYS>>", "<|", "[INST]", "[/INST]"):
+    _ESCAPED = f"replace({_ESCAPED}, '{_mark}', '{_mark[0]}\\{_mark[1:]}')"
+
+
+def _log(rows: DataFrame) -> DataFrame:
+    """An event log that leads to the given rows: streamed halves, drafts thrown away, edits."""
+    key = ("conv_id", "turn", "role", "text")
+    rows = rows.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    counted = rows.groupBy(*key).count()
+    copies = counted.select(*key, F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("copy"))
+    half = (F.length("text") / 2).cast("int")
+    head, tail = F.substr("text", F.lit(1), half), F.substr("text", half + 1)
+
+    def event(nth: int, kind: str, text) -> F.Column:
+        return F.struct((F.coalesce("turn", F.lit(0)) * 8 + nth).alias("seq"), F.lit(kind).alias("kind"),
+                        text.alias("text"))
+
+    streamed = F.array(event(0, "delta", head), event(1, "delta", tail))
+    redone = F.array(event(0, "delta", F.concat(tail, F.lit("…"))), event(1, "regenerate", F.lit("")),
+                     event(2, "delta", head), event(3, "delta", tail))
+    edited = F.array(event(0, "delta", head), event(1, "edit", F.col("text")))
+    events = F.when(F.col("role") == "assistant", redone).when(F.col("turn") % 3 == 2, edited).otherwise(streamed)
+    message = F.struct("turn", "role", F.md5("text").alias("text"), "copy")
+    return copies.select("conv_id", message.alias("message"), "role", F.explode(events).alias("e")).select(
+        "conv_id", "message", "role", "e.*")
+
+
+@_query(f"""
+    WITH r AS (
+        SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '{_TRAP}' UNION ALL SELECT -1, 1, 'assistant', '{_TRAP}'),
+    t AS (SELECT *, {_ESCAPED} AS escaped FROM r)
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, md5(text))) AS turns_sha256,
+        cast(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, md5(text)) FILTER (role = 'assistant'), ''))
+            AS loss_sha256,
+        cast(sum(length(escaped) + length(role) + {len(chat.BEGIN) + len(chat.END) + 1}) AS BIGINT) AS formatted_chars
+    FROM t GROUP BY conv_id
+""")
+def op5_chat_formatting(spark, folder):
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    trap = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                 F.lit(_TRAP).alias("text"))
+    out = chat.render(chat.reconstruct(_log(rows.unionByName(trap))))
+    turns = F.col("turns")
+    read = out.select("conv_id", "formatted", chat.parsed(F.col("formatted")).alias("turns"),
+                      F.array_join(chat.learned_texts(F.col("formatted"), F.col("loss_mask")), "").alias("learned"))
+    said = F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id", F.size(turns).cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(said, "").cast("binary"), 256).alias("turns_sha256"),
+        F.length("learned").cast("bigint").alias("loss_chars"),
+        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+@_query()
+def op4_pii_surrogates(spark, folder):
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return surrogates.replace_entities(docs, key="draw-key-7").select("doc_id", "text", "n_replaced")

@@ -39,11 +39,11 @@ IDENTITY_TERMS = {
     "religion_es": ["musulmanes", "cristianos", "judíos", "ateos"],
 }
 #: Labelled documents learned from, and features kept.
-MOST_ROWS, MOST_FEATURES = 16_000, 2048
+MOST_ROWS, MOST_FEATURES = 16_000, 1024
 #: A feature stands in so many labelled documents at least, and its share of ones is off by so many deviations.
 LEAST_DOCS, LEAST_DEVIATIONS = 5, 4.0
 #: Weights of the penalties: squares of the weights, and squared changes of scores by swaps.
-RIDGE, SWAP = 0.5, 4.0
+RIDGE, SWAP = 0.1, 4.0
 #: Lengths of the beginnings of words that are features.
 STARTS = (4, 5)
 
@@ -135,12 +135,12 @@ def swaps(named: dict[str, int], known: dict[int, int]) -> tuple[np.ndarray, np.
     return np.array(rows), np.array(counts, dtype=np.float64)
 
 
-def train(x: np.ndarray, y: np.ndarray, changes: np.ndarray, counts: np.ndarray, swap: float = SWAP,
-          ridge: float = RIDGE) -> tuple[np.ndarray, float]:
-    """Logistic regression with both penalties, by Newton's method."""
+def train(x: np.ndarray, y: np.ndarray, times: np.ndarray, changes: np.ndarray, counts: np.ndarray,
+          swap: float = SWAP, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
+    """Logistic regression with both penalties, by Newton's method; row ``i`` counts ``times[i]``."""
     rows, width = x.shape
     if len(set(y.tolist())) < 2:
-        share = float(np.clip(y.mean() if rows else 0.0, 1e-3, 1 - 1e-3))
+        share = float(np.clip(y[0] if rows else 0.0, 1e-3, 1 - 1e-3))
         return np.zeros(width), float(np.log(share / (1 - share)))
     wide = np.hstack([x, np.ones((rows, 1))])
     penalty = ridge * np.eye(width + 1)
@@ -149,11 +149,11 @@ def train(x: np.ndarray, y: np.ndarray, changes: np.ndarray, counts: np.ndarray,
     w = np.zeros(width + 1)
     for _ in range(25):
         p = logistic(wide @ w)
-        slope = wide.T @ (p - y) + penalty @ w
-        curve = (wide.T * np.maximum(p * (1 - p), 1e-6)) @ wide + penalty
+        slope = wide.T @ (times * (p - y)) + penalty @ w
+        curve = (wide.T * (times * np.maximum(p * (1 - p), 1e-6))) @ wide + penalty
         move = np.linalg.solve(curve, slope)
         w -= move
-        if np.abs(move).max() < 1e-6:
+        if np.abs(move).max() < 1e-4:
             break
     return w[:-1], float(w[-1])
 
@@ -195,9 +195,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_i
     # Only features that occur or are swapped have a say; the others keep the weight 0.
     used = np.flatnonzero(x.any(axis=0) | (changes != 0).any(axis=0))
     weights = np.zeros(len(known))
-    weights[used], bias = train(np.repeat(x[:, used], times, axis=0),
-                                np.repeat(got["label"].to_numpy(dtype=np.float64), times),
-                                changes[:, used], counts, swap)
+    weights[used], bias = train(x[:, used], got["label"].to_numpy(dtype=np.float64), times, changes[:, used],
+                                counts, swap)
     return ToxicityModel(known, weights, bias)
 
 
