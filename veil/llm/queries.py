@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veil.llm import byte_bpe, chat, line_labels, quality, surrogates, toxicity
+from veil.llm import byte_bpe, chat, line_labels, ngram_join, quality, surrogates, toxicity
 from veil.llm.training import held_out
 
 QUERIES: dict = {}
@@ -129,3 +129,10 @@ def op5_chat_formatting(spark, folder):
 def op4_pii_surrogates(spark, folder):
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return surrogates.replace_entities(docs, key="draw-key-7").select("doc_id", "text", "n_replaced")
+
+
+@_query()
+def op1_ngram_jaccard(spark, folder):
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return ngram_join.near_duplicates(docs).select("doc_id", "class_id", F.col("links").alias("n_links"),
+                                                   F.col("copies").alias("n_copies"))
