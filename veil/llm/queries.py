@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veil.llm import byte_bpe, chat, line_labels, ngram_join, quality, surrogates, toxicity
+from veil.llm import (
+    byte_bpe, chat, decontaminate, line_dedup, line_labels, ngram_join, quality, surrogates, toxicity,
+)
 from veil.llm.training import held_out
 
 QUERIES: dict = {}
@@ -136,3 +138,19 @@ def op1_ngram_jaccard(spark, folder):
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return ngram_join.near_duplicates(docs).select("doc_id", "class_id", F.col("links").alias("n_links"),
                                                    F.col("copies").alias("n_copies"))
+
+
+@_query()
+def op9_line_dedup(spark, folder):
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    out = line_dedup.delete_common_lines(docs)
+    return out.select("doc_id", F.col("n_deleted").cast("bigint").alias("n_deleted"),
+                      F.length("text").cast("bigint").alias("kept_chars"),
+                      F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@_query()
+def op10_decontamination(spark, folder):
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    out = decontaminate.mark_contaminated(docs, _table(spark, folder, "benchmark"))
+    return out.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "n_items", "longest")
