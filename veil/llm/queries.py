@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veil.llm import (
-    byte_bpe, chat, decontaminate, line_dedup, line_labels, ngram_join, quality, surrogates, toxicity,
+    byte_bpe, chat, decontaminate, line_dedup, line_labels, ngram_join, quality, repeats, surrogates, toxicity,
 )
 from veil.llm.training import held_out
 
@@ -154,3 +154,10 @@ def op10_decontamination(spark, folder):
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     out = decontaminate.mark_contaminated(docs, _table(spark, folder, "benchmark"))
     return out.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "n_items", "longest")
+
+
+@_query()
+def op7_suffix_dedup(spark, folder):
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    out = repeats.remove_repeats(docs)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
