@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import heapq
 from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from veil.llm.rows import col, fresh, gather, ragged, whole_text
 
 #: Characters of text in a block; a longer document makes a block of its own.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
+#: Ids that are decoded at once.
+PART_IDS = 500_000
 #: Above every rank.
 NONE = np.int64(2**40)
 #: Words of more bytes are merged one by one, with a heap.
@@ -190,7 +193,7 @@ class Coder:
     texts are split whole.
     """
 
-    def __init__(self, pattern: str, merges: Merges, most: int = 400_000):
+    def __init__(self, pattern: str, merges: Merges, most: int = 200_000):
         self._split, self._merges, self._most = _splitter(pattern).findall, merges, most
         self._forget()
 
@@ -240,16 +243,16 @@ class Coder:
         return ragged(gather(self._ids, self._starts[flat], lengths), counts, pa.int32())
 
 
-def blocks(texts: list[str], most: int) -> list[tuple[int, int]]:
-    """Ranges of texts with about ``most`` characters together."""
-    out, start, size = [], 0, 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > most:
+def ranges(sizes: list[int], most: int) -> list[tuple[int, int]]:
+    """Ranges of rows with a size of about ``most`` together; a larger row is a range of its own."""
+    out, start, total = [], 0, 0
+    for i, size in enumerate(sizes):
+        if total and total + size > most:
             out.append((start, i))
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        out.append((start, len(texts)))
+            start, total = i, 0
+        total += size
+    if start < len(sizes):
+        out.append((start, len(sizes)))
     return out
 
 
@@ -270,7 +273,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str =
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             kept = batch.select(list(range(batch.num_columns - 1)))
-            for start, end in blocks(texts, block_chars):
+            for start, end in ranges([len(t) for t in texts], block_chars):
                 made = coder.block(texts[start:end])
                 part = kept.slice(start, end - start)
                 yield pa.RecordBatch.from_arrays([*part.columns, made], [*batch.schema.names[:-1], out])
@@ -280,46 +283,38 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str =
     return source.mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "bytes") -> DataFrame:
+def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "bytes",
+           ids_sha256: str | None = None) -> DataFrame:
     """All rows with a further column of the bytes of their ids: the pieces, concatenated.
 
-    Null or no ids give no bytes; ids out of the vocabulary are an error.
+    Null or no ids give no bytes; ids out of the vocabulary are an error.  With
+    ``ids_sha256`` a column of that name follows: the SHA-256, in lowercase hex, of
+    the ids as little-endian unsigned 32-bit integers.  Names that are taken get
+    underscores.
     """
     shared = vocabulary.merges
-    held, name = fresh(df, "held_ids", out)
+    held, *names = fresh(df, "held_ids", out, *([ids_sha256] if ids_sha256 else []))
+
+    def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column(batch.num_columns - 1)
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        data, lengths = shared.value.pieces(flat)
+        offsets = np.concatenate([[0], np.cumsum(lengths)])[ends].astype(np.int32)
+        made = [pa.BinaryArray.from_buffers(pa.binary(), batch.num_rows,
+                                            [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])]
+        if ids_sha256:
+            raw, at = flat.astype("<u4"), ends.tolist()
+            made.append(pa.array([sha256(raw[a:b]).hexdigest() for a, b in zip(at, at[1:], strict=False)]))
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], *names])
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            data, lengths = shared.value.pieces(flat)
-            per_id = np.concatenate([[0], np.cumsum(lengths)])
-            last = np.cumsum(counts)
-            offsets = np.concatenate([[0], per_id[last]]).astype(np.int32)
-            made = pa.BinaryArray.from_buffers(pa.binary(), len(counts),
-                                               [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], [*batch.schema.names[:-1], name])
-
-    source = df.select(*[col(c) for c in df.columns], F.coalesce(col(ids), F.array().cast("array<int>")).alias(held))
-    schema = df.select(*[col(c) for c in df.columns], F.lit(b"").alias(name)).schema
-    return source.mapInArrow(run, schema)
-
-
-def token_digest(df: DataFrame, ids: str = "ids", out: str = "ids_sha256") -> DataFrame:
-    """All rows with the SHA-256, in lowercase hex, of their ids as little-endian unsigned 32-bit integers."""
-    import hashlib
-
-    held, name = fresh(df, "held_ids", out)
+            sizes = batch.column(batch.num_columns - 1).value_lengths().to_pylist()
+            for start, end in ranges(sizes, PART_IDS):
+                yield part(batch.slice(start, end - start))
 
-    def run(batches):
-        for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)).tolist()
-            made = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip([0, *ends], ends, strict=False)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.string())],
-                                             [*batch.schema.names[:-1], name])
-
-    source = df.select(*[col(c) for c in df.columns], F.coalesce(col(ids), F.array().cast("array<int>")).alias(held))
-    return source.mapInArrow(run, df.select(*[col(c) for c in df.columns], F.lit("").alias(name)).schema)
+    columns = [col(c) for c in df.columns]
+    source = df.select(*columns, F.coalesce(col(ids), F.array().cast("array<int>")).alias(held))
+    schema = df.select(*columns, *[F.lit(b"" if n == names[0] else "").alias(n) for n in names]).schema
+    return source.mapInArrow(run, schema)

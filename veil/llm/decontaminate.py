@@ -41,7 +41,7 @@ class Tokens:
 
 
 def seeds(tokens: np.ndarray, masks=MASKS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each mask, the hashes of all places; a text shorter than the mask is hashed as a whole, under the first."""
+    """For each mask, the hashes of all places and the places."""
     out = []
     for n, mask in enumerate(masks):
         size = len(tokens) - len(mask) + 1
@@ -55,12 +55,16 @@ def seeds(tokens: np.ndarray, masks=MASKS) -> list[tuple[np.ndarray, np.ndarray]
     return out
 
 
-def short_hash(tokens: np.ndarray) -> np.uint64:
-    h = np.uint64(len(tokens) + 1000)
-    with np.errstate(over="ignore"):
-        for t in tokens:
-            h = h * np.uint64(0xD6E8FEB86659FD93) + t
-        return mixed(np.array([h], dtype=np.uint64))[0]
+def short_hashes(tokens: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` tokens, for items that are shorter than a mask."""
+    n = len(tokens) - size + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    h = np.full(n, np.uint64(size + 1000))
+    for k in range(size):
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h += tokens[k:k + n]
+    return mixed(h)
 
 
 def overlap(a: np.ndarray, b: np.ndarray, least: int, substituted: float) -> int:
@@ -99,7 +103,7 @@ def _item_seeds(items: DataFrame, masks, least: int) -> DataFrame:
                 tokens = make.of(text)
                 found = seeds(tokens, masks)
                 if 0 < len(tokens) < min(map(len, masks)):
-                    found = [(np.array([short_hash(tokens)], dtype=np.uint64), np.zeros(1, dtype=np.int64))]
+                    found = [(short_hashes(tokens, len(tokens)), np.zeros(1, dtype=np.int64))]
                 for h, at in found:
                     hashes.append(h.view(np.int64))
                     places.append(at)
@@ -138,15 +142,11 @@ def _regions(docs: DataFrame, table, short: list[int], masks) -> DataFrame:
             for text_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 tokens = make.of(text)
                 found = []
-                for h, at in seeds(tokens, masks):
+                whole = [short_hashes(tokens, size) for size in short]
+                for h, at in seeds(tokens, masks) + [(h, np.arange(len(h))) for h in whole]:
                     hit = bits[(h & np.uint64(CELLS - 1)).astype(np.int64)]
                     if hit.any():
                         found.append((h[hit], at[hit]))
-                for size in short:
-                    for at in range(len(tokens) - size + 1):
-                        h = short_hash(tokens[at:at + size])
-                        if bits[int(h) & (CELLS - 1)]:
-                            found.append((np.array([h], dtype=np.uint64), np.array([at])))
                 if not found:
                     continue
                 h, at = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])

@@ -53,7 +53,7 @@ def op6_byte_bpe(spark, folder, rank_file: str = "byte_bpe_multi_50k.tiktoken"):
     vocabulary = byte_bpe.Vocabulary(spark, public_tokenizers.path(rank_file), public_tokenizers.PATTERN)
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     ids = byte_bpe.encode(docs, vocabulary).drop("text")
-    out = byte_bpe.token_digest(byte_bpe.decode(ids, vocabulary))
+    out = byte_bpe.decode(ids, vocabulary, ids_sha256="ids_sha256")
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids_sha256",
                       F.sha2("bytes", 256).alias("decoded_sha256"))
 

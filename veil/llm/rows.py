@@ -109,5 +109,8 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     total = int(lengths.sum())
     if not total:
         return values[:0]
+    kind = np.int32 if max(total, len(values)) < 2**31 else np.int64
     before = np.cumsum(lengths) - lengths
-    return values[np.arange(total) + np.repeat(starts - before, lengths)]
+    at = np.repeat((starts - before).astype(kind), lengths)
+    at += np.arange(total, dtype=kind)
+    return values[at]
