@@ -14,7 +14,9 @@ same anchor, and neighbours mostly share one, so about one suffix in 75 takes pa
    the end of the last: if it repeats, so do all of its strings.
 3. The strings of the others in blocks of 16 neighbours: the 185 bytes that a block
    has in common.  Blocks whose common bytes do not repeat drop out.
-4. The strings of the remaining blocks, all 200 bytes.
+4. The strings of the remaining blocks: the 15 bytes that each has besides the common
+   ones, some before and some behind them.  Blocks that are equal with all their
+   neighbours count once, with their number.
 
 Passes hand on what they found as bit tables of a fixed size, which may let too much
 through to the next pass but never too little; the last word is always an exact
@@ -28,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from veil.llm.rows import col, digest, fresh, mixed, ragged, whole_text
+from veil.llm.rows import col, digest, discard, fresh, mixed, ragged, whole_text
 from veil.operators.materialize import materialize
 
 WINDOW, CORE, BLOCK = 200, 50, 16
@@ -204,68 +206,88 @@ def _surviving(anchored: DataFrame, table) -> DataFrame:
                                     "core array<bigint>, whole array<bigint>")
 
 
-def _blocks(place: int, first: int, last: int) -> list[tuple[int, int, int, int]]:
-    """Blocks of the strings ``first`` to ``last`` of an anchor: (first, last, common from, common to).
+def _cut(places, firsts, lasts, cores) -> tuple[np.ndarray, ...]:
+    """Blocks of the strings of anchors: core, where the common bytes start and end, least and most bytes before them.
 
-    Blocks are cut by the distance to the anchor, so they are the same wherever the strings stand.
+    Blocks are cut by the distance to the anchor, so they are the same wherever
+    the strings stand.  A string of a block starts some bytes before the common ones.
     """
-    out = []
-    for n in range((place - last) // BLOCK, (place - first) // BLOCK + 1):
-        near, far = n * BLOCK, n * BLOCK + BLOCK - 1
-        out.append((max(first, place - far), min(last, place - near), place - near, place - far + WINDOW))
-    return out
+    places, firsts, lasts = (np.array(x, dtype=np.int64) for x in (places, firsts, lasts))
+    low, high = (places - lasts) // BLOCK, (places - firsts) // BLOCK
+    n = high - low + 1
+    number = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    base = np.repeat(places, n) - number * BLOCK
+    least = np.maximum(0, base - np.repeat(lasts, n))
+    most = np.minimum(BLOCK - 1, base - np.repeat(firsts, n))
+    return np.repeat(np.array(cores, dtype=np.int64), n), base, base - BLOCK + 1 + WINDOW, least, most
 
 
 def _block_hashes(open_: DataFrame) -> DataFrame:
-    """(core, key, n) of the blocks of open anchors (text, place, first, last, core)."""
+    """(core, key, n) of the blocks of open anchors (text, place, first, last, core), counted within batches first."""
 
     def run(batches):
         hasher = Hasher()
         for batch in batches:
-            cores, keys = [], []
-            for text, places, firsts, lasts, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sums = hasher.sums(_bytes(text))
-                cut = [(c, *b[2:]) for p, f, e, c in zip(places, firsts, lasts, own, strict=True)
-                       for b in _blocks(p, f, e)]
-                core, start, end = (np.array(x) for x in zip(*cut, strict=True))
-                cores.append(core)
-                keys.append(_signed(hasher.of(sums, start, end)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(cores), pa.int64()), pa.array(np.concatenate(keys), pa.int64())],
-                ["core", "key"])
+            found = []
+            for text, *lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                core, start, end, _, _ = _cut(*lists)
+                found.append(np.column_stack([core, _signed(hasher.of(hasher.sums(_bytes(text)), start, end))]))
+            keys, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(n, pa.int64())],
+                                             ["core", "key", "n"])
+
+    return open_.select("text", "place", "first", "last", "core").mapInArrow(run, "core bigint, key bigint, n bigint")
 
-    return open_.select("text", "place", "first", "last", "core").mapInArrow(run, "core bigint, key bigint").withColumn(
-        "n", F.lit(1))
 
+def _live_blocks(open_: DataFrame, table) -> DataFrame:
+    """Blocks whose common bytes may repeat: (text_id, base, core, key, least, left, right).
 
-def _string_hashes(open_: DataFrame, table) -> DataFrame:
-    """(core, key, text_id, start) of the strings in blocks whose common bytes may repeat."""
+    ``left`` are the bytes before the common ones that the block's strings reach, ``right`` those behind.
+    """
 
     def run(batches):
         hasher = Hasher()
         for batch in batches:
-            made = []
-            for text_id, text, places, firsts, lasts, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sums = hasher.sums(_bytes(text))
-                cut = [(c, *b) for p, f, e, c in zip(places, firsts, lasts, own, strict=True) for b in _blocks(p, f, e)]
-                core, first, last, start, end = (np.array(x) for x in zip(*cut, strict=True))
-                keep = _in_table(table.value, _signed(hasher.of(sums, start, end)))
-                if keep.any():
-                    core, first, last = core[keep], first[keep], last[keep]
-                    n = last - first + 1
-                    at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    made.append((text_id, np.repeat(core, n), _signed(hasher.of(sums, at, at + WINDOW)), at))
-            if made:
-                sizes = [len(m[1]) for m in made]
+            rows = []
+            for text_id, text, *lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = text.encode("utf-8", "surrogatepass")
+                core, start, end, least, most = _cut(*lists)
+                keys = _signed(hasher.of(hasher.sums(np.frombuffer(data, dtype=np.uint8)), start, end))
+                live = np.flatnonzero(_in_table(table.value, keys))
+                for c, k, s, e, a, b in zip(*(v[live].tolist() for v in (core, keys, start, end, least, most)),
+                                            strict=True):
+                    rows.append((text_id, s, c, k, a, data[s - b:s], data[e:e + BLOCK - 1 - a]))
+            if rows:
+                kinds = (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([m[1] for m in made]), pa.int64()),
-                     pa.array(np.concatenate([m[2] for m in made]), pa.int64()),
-                     pa.array([m[0] for m, s in zip(made, sizes, strict=True) for _ in range(s)], pa.binary()),
-                     pa.array(np.concatenate([m[3] for m in made]), pa.int32())],
-                    ["core", "key", "text_id", "start"])
+                    [pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                    ["text_id", "base", "core", "key", "least", "left", "right"])
 
     return open_.select("text_id", "text", "place", "first", "last", "core").mapInArrow(
-        run, "core bigint, key bigint, text_id binary, start int")
+        run, "text_id binary, base int, core bigint, key bigint, least int, left binary, right binary")
+
+
+def _repeated_strings(live: DataFrame) -> DataFrame:
+    """(text_id, runs) of the strings of blocks that occur twice or more."""
+    same = ["core", "key", "least", "left", "right"]
+    kinds = live.groupBy(*same).agg(F.count("*").alias("n"))
+    strings = kinds.select(*same, "n", F.explode(F.sequence("least", F.octet_length("left"))).alias("before"))
+    around = F.concat(F.substr("left", F.octet_length("left") - F.col("before") + 1, F.col("before")),
+                      F.substr("right", F.lit(1), F.lit(BLOCK - 1) - F.col("before")))
+    strings = materialize(strings.withColumn("around", around))
+    twice = _counted(strings, "core", "key", "before", "around")
+    found = strings.join(twice, ["core", "key", "before", "around"], "left_semi").groupBy(*same).agg(
+        F.array_sort(F.collect_list("before")).alias("found"))
+    joined = live.join(found, same)
+    first, last = F.element_at("found", 1), F.element_at("found", -1)
+    runs = F.when(F.size("found") == last - first + 1, F.array(_run(F.col("base") - last, F.col("base") - first))) \
+        .otherwise(F.transform("found", lambda b: _run(F.col("base") - b, F.col("base") - b)))
+    return joined.select("text_id", runs.alias("runs"))
+
+
+def _run(first, last):
+    """The bytes of the strings that start from ``first`` to ``last``."""
+    return F.struct(first.cast("int").alias("start"), (last + WINDOW).cast("int").alias("end"))
 
 
 def repeated_runs(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -281,10 +303,11 @@ def repeated_runs(docs: DataFrame, text: str = "text") -> DataFrame:
         F.count("*").alias("n"), *[F.any_value(c).alias(c) for c in ("place", "first", "last", "core", "whole")])
     rows = materialize(distinct.select("text_id", "n", F.explode(
         F.arrays_zip("place", "first", "last", "core", "whole")).alias("a")).select("text_id", "n", "a.*"))
+    discard(anchored)
     found = _counted(rows, "core", "whole").withColumn("found", F.lit(True))
     judged = materialize(rows.join(found, ["core", "whole"], "left"))
-    runs = judged.filter("found").select("text_id", F.col("first").alias("start"),
-                                         (F.col("last") + WINDOW).alias("end"))
+    discard(rows)
+    runs = judged.filter("found").select("text_id", F.array(_run(F.col("first"), F.col("last"))).alias("runs"))
 
     # A string of an open anchor may equal one of an anchor that is settled: of each
     # settled stretch with the same core one takes part in the next passes as well.
@@ -296,13 +319,12 @@ def repeated_runs(docs: DataFrame, text: str = "text") -> DataFrame:
     lists = taking_part.groupBy("text_id").agg(F.collect_list(F.struct("place", "first", "last", "core")).alias("a"))
     lists = materialize(lists.select("text_id", *[F.col("a")[c].alias(c) for c in ("place", "first", "last", "core")]))
     open_ = materialize(_with_text(source, lists))
+    discard(lists)
     blocks = _bit_table(_counted(_block_hashes(open_), "core", "key"), "key")
-    strings = materialize(_string_hashes(open_, blocks))
-    twice = _counted(strings.withColumn("n", F.lit(1)), "core", "key")
-    more = strings.join(twice, ["core", "key"], "left_semi").select(
-        "text_id", F.col("start"), (F.col("start") + WINDOW).alias("end"))
-    return runs.unionByName(more).groupBy("text_id").agg(
-        F.collect_list(F.struct("start", "end")).alias("runs"))
+    live = materialize(_live_blocks(open_, blocks))
+    discard(open_)
+    return runs.unionByName(_repeated_strings(live)).groupBy("text_id").agg(
+        F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def _id_table(ids: DataFrame):
@@ -310,18 +332,23 @@ def _id_table(ids: DataFrame):
     return _bit_table(ids.select(F.xxhash64("text_id").alias("key")), "key")
 
 
-def _with_text(source: DataFrame, lists: DataFrame) -> DataFrame:
-    """Each distinct text of ``source`` whose text_id is in ``lists``, joined; other texts are mostly not shuffled."""
-    table = _id_table(lists.select("text_id"))
+def _split_by_table(source: DataFrame, table, inside: bool) -> DataFrame:
+    """The rows whose text_id may be in the table, or the others."""
     names = source.columns
 
     def run(batches):
         for batch in batches:
-            keep = _in_table(table.value, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))
+            keep = _in_table(table.value, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)) == inside
             if keep.any():
                 yield batch.select(names).filter(pa.array(keep))
 
-    some = source.withColumn("table_key", F.xxhash64("text_id")).mapInArrow(run, source.schema)
+    keyed = source.withColumn("table_key", F.xxhash64("text_id"))
+    return keyed.mapInArrow(run, source.schema)
+
+
+def _with_text(source: DataFrame, lists: DataFrame) -> DataFrame:
+    """Each distinct text of ``source`` whose text_id is in ``lists``, joined; other texts are mostly not shuffled."""
+    some = _split_by_table(source, _id_table(lists.select("text_id")), inside=True)
     return some.groupBy("text_id").agg(F.any_value("text").alias("text")).join(lists, "text_id")
 
 
@@ -336,13 +363,24 @@ def remove_repeats(docs: DataFrame, text: str = "text", out: str = "kept") -> Da
     underscores.  An empty table stays empty.
     """
     kept, n_bytes, n_removed, n_spans, at, held = fresh(docs, out, "n_bytes", "n_removed", "n_spans", "at", "runs")
-    runs = materialize(repeated_runs(docs, text)).select(F.col("text_id").alias(at), F.col("runs").alias(held))
-    columns = [col(c) for c in docs.columns]
-    joined = docs.withColumn(at, digest(whole_text(text))).join(runs, at, "left")
+    found = materialize(repeated_runs(docs, text))
+    table = _id_table(found.select("text_id"))
     whole = whole_text(text).cast("binary")
-    clean = joined.filter(col(held).isNull()).select(
-        *columns, whole.alias(kept), F.octet_length(whole).cast("bigint").alias(n_bytes),
-        F.lit(0).cast("bigint").alias(n_removed), F.lit(0).cast("bigint").alias(n_spans))
+    # One column carries the row, so that no name can clash on the way.
+    columns = [col(c) for c in docs.columns]
+    source = docs.select(digest(whole_text(text)).alias("text_id"), whole.alias("whole"),
+                         F.struct(*columns).alias("row"))
+    runs = found.select(F.col("text_id"), F.col("runs").alias("runs"))
+    joined = _split_by_table(source, table, inside=True).join(runs, "text_id", "left")
+
+    def unchanged(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            *[F.col("row")[c].alias(c) for c in docs.columns], F.col("whole").alias(kept),
+            F.octet_length("whole").cast("bigint").alias(n_bytes), F.lit(0).cast("bigint").alias(n_removed),
+            F.lit(0).cast("bigint").alias(n_spans))
+
+    clean = unchanged(_split_by_table(source, table, inside=False)).unionByName(
+        unchanged(joined.filter("runs IS NULL")))
 
     def cut(batches):
         for batch in batches:
@@ -362,5 +400,6 @@ def remove_repeats(docs: DataFrame, text: str = "text", out: str = "kept") -> Da
                 [*batch.columns[:-2], pa.array(rest, pa.binary()), *(pa.array(v, pa.int64()) for v in (sizes, gone, spans))],
                 [*batch.schema.names[:-2], kept, n_bytes, n_removed, n_spans])
 
-    dirty = joined.filter(col(held).isNotNull()).select(*columns, whole.alias(at), col(held))
+    dirty = joined.filter("runs IS NOT NULL").select(
+        *[F.col("row")[c].alias(c) for c in docs.columns], F.col("whole").alias(at), F.col("runs").alias(held))
     return clean.unionByName(dirty.mapInArrow(cut, clean.schema))

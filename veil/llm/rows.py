@@ -114,3 +114,12 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     at = np.repeat((starts - before).astype(kind), lengths)
     at += np.arange(total, dtype=kind)
     return values[at]
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete a table that ``materialize`` stored and that nothing reads any more."""
+    files = stored.inputFiles()
+    if files:
+        spark = stored.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
