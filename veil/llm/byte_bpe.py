@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veil.llm.rows import col, fresh, gather, ragged, whole_text
+from veil.llm.rows import col, extended, fresh, gather, mapped, ragged, whole_text
 
 #: Characters of text in a block; a longer document makes a block of its own.
 BLOCK_CHARS = 2_000_000
@@ -266,21 +266,15 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str =
     underscores after its name.
     """
     pattern, shared = vocabulary.pattern, vocabulary.merges
-    raw, out = fresh(df, "whole_text", ids)
 
     def run(batches):
         coder = Coder(pattern, shared.value)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            kept = batch.select(list(range(batch.num_columns - 1)))
             for start, end in ranges([len(t) for t in texts], block_chars):
-                made = coder.block(texts[start:end])
-                part = kept.slice(start, end - start)
-                yield pa.RecordBatch.from_arrays([*part.columns, made], [*batch.schema.names[:-1], out])
+                yield extended(batch.slice(start, end - start), 1, [coder.block(texts[start:end])])
 
-    source = df.select(*[col(c) for c in df.columns], whole_text(text).alias(raw))
-    schema = df.select(*[col(c) for c in df.columns], F.array().cast("array<int>").alias(out)).schema
-    return source.mapInArrow(run, schema)
+    return mapped(df, [whole_text(text)], run, {fresh(df, ids)[0]: "array<int>"})
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "bytes",
@@ -293,7 +287,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "
     underscores.
     """
     shared = vocabulary.merges
-    held, *names = fresh(df, "held_ids", out, *([ids_sha256] if ids_sha256 else []))
+    names = fresh(df, out, *([ids_sha256] if ids_sha256 else []))
 
     def part(batch: pa.RecordBatch) -> pa.RecordBatch:
         lists = batch.column(batch.num_columns - 1)
@@ -306,7 +300,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "
         if ids_sha256:
             raw, at = flat.astype("<u4"), ends.tolist()
             made.append(pa.array([sha256(raw[a:b]).hexdigest() for a, b in zip(at, at[1:], strict=False)]))
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], *names])
+        return extended(batch, 1, made)
 
     def run(batches):
         for batch in batches:
@@ -314,7 +308,5 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "
             for start, end in ranges(sizes, PART_IDS):
                 yield part(batch.slice(start, end - start))
 
-    columns = [col(c) for c in df.columns]
-    source = df.select(*columns, F.coalesce(col(ids), F.array().cast("array<int>")).alias(held))
-    schema = df.select(*columns, *[F.lit(b"" if n == names[0] else "").alias(n) for n in names]).schema
-    return source.mapInArrow(run, schema)
+    return mapped(df, [F.coalesce(col(ids), F.array().cast("array<int>"))], run,
+                  dict(zip(names, ("binary", "string"), strict=False)))

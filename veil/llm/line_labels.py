@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from veil.llm.rows import Words, col, fresh, whole_text, windows
+from veil.llm.rows import Words, extended, fresh, mapped, whole_text, windows
 from veil.llm.training import training_rows
 
 #: Labelled documents learned from, and consecutive lines taken of each.
@@ -230,7 +230,7 @@ def judge_lines(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     get equal verdicts; an empty table stays empty.  A result column whose name
     is taken gets underscores after it.
     """
-    raw, *names = fresh(docs, "whole_text", *RESULT)
+    names = fresh(docs, *RESULT)
     shared = docs.sparkSession.sparkContext.broadcast(field)
     kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
 
@@ -245,10 +245,6 @@ def judge_lines(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
                 rows.append((x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, failed, share,
                              not failed and share >= CONTENT_SHARE))
             made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], *names])
+            yield extended(batch, 1, made)
 
-    columns = [col(c) for c in docs.columns]
-    kept = docs.select(*columns)
-    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema),
-                        *(f"{n} {k}" for n, k in zip(names, RESULT.values(), strict=True))])
-    return docs.select(*columns, whole_text(text).alias(raw)).mapInArrow(run, schema)
+    return mapped(docs, [whole_text(text)], run, dict(zip(names, RESULT.values(), strict=True)))

@@ -28,9 +28,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from veil.llm.rows import col, digest, discard, fresh, mixed, ragged, whole_text
+from veil.llm.rows import col, digest, discard, extended, fresh, mixed, ragged, whole_text
 from veil.operators.materialize import materialize
 
 WINDOW, CORE, BLOCK = 200, 50, 16
@@ -362,32 +362,29 @@ def remove_repeats(docs: DataFrame, text: str = "text", out: str = "kept") -> Da
     ``n_removed`` and ``n_spans``, the removed runs; names that are taken get
     underscores.  An empty table stays empty.
     """
-    kept, n_bytes, n_removed, n_spans, at, held = fresh(docs, out, "n_bytes", "n_removed", "n_spans", "at", "runs")
+    names = dict(zip(fresh(docs, out, "n_bytes", "n_removed", "n_spans"), ("binary", "bigint", "bigint", "bigint"),
+                     strict=True))
     found = materialize(repeated_runs(docs, text))
     table = _id_table(found.select("text_id"))
-    whole = whole_text(text).cast("binary")
     # One column carries the row, so that no name can clash on the way.
-    columns = [col(c) for c in docs.columns]
-    source = docs.select(digest(whole_text(text)).alias("text_id"), whole.alias("whole"),
-                         F.struct(*columns).alias("row"))
-    runs = found.select(F.col("text_id"), F.col("runs").alias("runs"))
-    joined = _split_by_table(source, table, inside=True).join(runs, "text_id", "left")
+    source = docs.select(digest(whole_text(text)).alias("text_id"), whole_text(text).cast("binary").alias("whole"),
+                         F.struct(*[col(c) for c in docs.columns]).alias("row"))
+    joined = _split_by_table(source, table, inside=True).join(found, "text_id", "left")
 
     def unchanged(rows: DataFrame) -> DataFrame:
-        return rows.select(
-            *[F.col("row")[c].alias(c) for c in docs.columns], F.col("whole").alias(kept),
-            F.octet_length("whole").cast("bigint").alias(n_bytes), F.lit(0).cast("bigint").alias(n_removed),
-            F.lit(0).cast("bigint").alias(n_spans))
+        made = [F.col("whole"), F.octet_length("whole").cast("bigint"), *[F.lit(0).cast("bigint")] * 2]
+        return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns],
+                           *[m.alias(n) for m, n in zip(made, names, strict=True)])
 
     clean = unchanged(_split_by_table(source, table, inside=False)).unionByName(
         unchanged(joined.filter("runs IS NULL")))
 
     def cut(batches):
         for batch in batches:
-            own, found = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1)
+            own, runs = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1)
             rest, sizes, gone, spans = [], [], [], []
             for i, data in enumerate(own):
-                pair = found[i].values
+                pair = runs[i].values
                 edges = np.zeros(len(data) + 1, dtype=np.int64)
                 np.add.at(edges, pair.field(0).to_numpy(zero_copy_only=False), 1)
                 np.add.at(edges, pair.field(1).to_numpy(zero_copy_only=False), -1)
@@ -396,10 +393,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", out: str = "kept") -> Da
                 sizes.append(len(data))
                 gone.append(int(lost.sum()))
                 spans.append(int(lost[0]) + int((lost[1:] & ~lost[:-1]).sum()))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-2], pa.array(rest, pa.binary()), *(pa.array(v, pa.int64()) for v in (sizes, gone, spans))],
-                [*batch.schema.names[:-2], kept, n_bytes, n_removed, n_spans])
-
-    dirty = joined.filter("runs IS NOT NULL").select(
-        *[F.col("row")[c].alias(c) for c in docs.columns], F.col("whole").alias(at), F.col("runs").alias(held))
-    return clean.unionByName(dirty.mapInArrow(cut, clean.schema))
+            yield extended(batch, 2, [pa.array(rest, pa.binary()),
+                                      *(pa.array(v, pa.int64()) for v in (sizes, gone, spans))])
+
+    found_rows = joined.filter("runs IS NOT NULL")
+    made = {f"made{i}": k for i, k in enumerate(names.values())}
+    dirty = found_rows.select("row", "whole", "runs").mapInArrow(
+        lambda batches: (pa.RecordBatch.from_arrays(b.columns, names=["row", *made]) for b in cut(batches)),
+        T.StructType([source.schema["row"], *(T.StructField(m, T.DataType.fromDDL(k)) for m, k in made.items())]))
+    return clean.unionByName(dirty.select(*[F.col("row")[c].alias(c) for c in docs.columns],
+                                          *[F.col(m).alias(n) for m, n in zip(made, names, strict=True)]))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
@@ -42,19 +42,34 @@ def order_key(doc_id: Column) -> Column:
     return F.struct(doc_id.isNull().alias("no_id"), doc_id.alias("doc_id"))
 
 
-def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | list | None], schema: str) -> DataFrame:
-    """``work`` on each Arrow batch; it returns a batch, a list of batches or None."""
+def mapped(df: DataFrame, inputs: list[Column], run: Callable, added: dict[str, str]) -> DataFrame:
+    """All rows with further columns that ``run`` computes in Arrow batches.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                made = work(batch)
-                if isinstance(made, pa.RecordBatch):
-                    yield made
-                elif made:
-                    yield from made
+    ``run`` takes batches of the columns followed by ``inputs`` and yields batches
+    of the columns followed by the new ones.  On the way columns only have
+    numbers, so no name can clash or be misread.
+    """
+    columns = df.columns
+    source = df.select(*[col(c).alias(f"c{i}") for i, c in enumerate(columns)],
+                       *[x.alias(f"x{i}") for i, x in enumerate(inputs)])
+    kept = source.select(*[f"c{i}" for i in range(len(columns))])
+    schema = T.StructType([*kept.schema.fields,
+                           *(T.StructField(f"a{i}", T.DataType.fromDDL(k)) for i, k in enumerate(added.values()))])
+    names = schema.names
 
-    return df.mapInArrow(run, schema)
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=names)
+
+    return source.mapInArrow(renamed, schema).select(
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)],
+        *[F.col(f"a{i}").alias(n) for i, n in enumerate(added)])
+
+
+def extended(batch: pa.RecordBatch, inputs: int, made: list[pa.Array]) -> pa.RecordBatch:
+    """A batch with its last ``inputs`` columns replaced."""
+    kept = batch.columns[:batch.num_columns - inputs]
+    return pa.RecordBatch.from_arrays([*kept, *made], names=[str(i) for i in range(len(kept) + len(made))])
 
 
 def hash64(text: str | bytes) -> int:

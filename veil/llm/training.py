@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from veil.llm.rows import col, fresh, whole_text
+from veil.llm.rows import col, extended, fresh, mapped, whole_text
 
 
 def held_out(doc_id: Column) -> Column:
@@ -38,17 +38,13 @@ def with_scores(df: DataFrame, text: str, scorer: Callable[[], Callable[[list[st
     ``scorer`` is called once in each task.  If ``out`` is taken, the new column
     gets underscores after its name.
     """
-    raw, name = fresh(df, "whole_text", out)
-
     def run(batches):
         score = scorer()
         for batch in batches:
-            made = pa.array(np.asarray(score(batch.column(batch.num_columns - 1).to_pylist()), dtype=np.float64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], [*batch.schema.names[:-1], name])
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            yield extended(batch, 1, [pa.array(np.asarray(score(texts), dtype=np.float64))])
 
-    columns = [col(c) for c in df.columns]
-    schema = df.select(*columns, F.lit(0.0).alias(name)).schema
-    return df.select(*columns, whole_text(text).alias(raw)).mapInArrow(run, schema)
+    return mapped(df, [whole_text(text)], run, {fresh(df, out)[0]: "double"})
 
 
 def logistic(z: np.ndarray) -> np.ndarray:
