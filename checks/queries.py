@@ -6,6 +6,8 @@ cannot express the operator.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks import sql as S
@@ -56,10 +58,16 @@ def hash_md5(spark, d):
     return anonymize(df, {"c_name": rule("hash", algorithm="md5")}, SET)
 
 
-@query()
+# The names that nations have in the test tables; their digests come from Python's library.
+_SHA512 = ", ".join(f"('NATION_{i}', '{hashlib.sha512(f'NATION_{i}{S.SALT}'.encode()).hexdigest()}')" for i in range(25))
+
+
+@query(f"""
+    SELECT c_custkey, h AS n_name FROM customer JOIN nation ON c_nationkey = n_nationkey
+    JOIN (VALUES {_SHA512}) AS v(plain, h) ON n_name = plain
+""")
 def hash_sha512(spark, d):
-    df = table(spark, d, "customer").select("c_custkey", "c_name")
-    return anonymize(df, {"c_name": rule("hash", algorithm="sha512")}, SET)
+    return anonymize(_national(spark, d), {"n_name": rule("hash", algorithm="sha512")}, SET)
 
 
 @query(f"""
@@ -242,13 +250,13 @@ def email_parity(spark, d):
     return anonymize(df, {"s": "anonymize_email"}, PARITY)
 
 
-def _phone_sql(short: str) -> str:
+def _phone_sql(short: str, source: str | None = None) -> str:
     before = "length(regexp_replace(substr(s, 1, i - 1), '[^0-9]', '', 'g'))"
     new = f"cast(try_cast('0x' || substr(h, 2 * {before} + 1, 2) AS INTEGER) % 10 AS VARCHAR)"
     return f"""
-        WITH derived AS (SELECT c_custkey, {PHONE} AS s FROM customer),
-             dug AS (SELECT *, {S.digest('s')} AS h, length(regexp_replace(s, '[^0-9]', '', 'g')) AS n FROM derived)
-        SELECT c_custkey, CASE WHEN n < 7 THEN {short} WHEN n > 32 THEN {S.REDACTED}
+        WITH derived AS (SELECT c_custkey, {source or PHONE} AS s FROM customer),
+             dug AS (SELECT *, {S.digest('s')} || sha256({S.digest('s')} || '|1') AS h, length(regexp_replace(s, '[^0-9]', '', 'g')) AS n FROM derived)
+        SELECT c_custkey, CASE WHEN n < 7 THEN {short}
             ELSE array_to_string(list_transform(string_split(s, ''),
                 lambda ch, i: CASE WHEN ch >= '0' AND ch <= '9' THEN {new} ELSE ch END), '') END AS s
         FROM dug
@@ -267,6 +275,17 @@ def phone_parity(spark, d):
     return anonymize(df, {"s": "anonymize_phone"}, PARITY)
 
 
+_LONG_PHONE = "'+' || lpad(c_custkey::VARCHAR, 20, '7') || '-' || lpad(c_custkey::VARCHAR, 20, '3')"
+
+
+@query(_phone_sql(S.REDACTED, _LONG_PHONE))
+def phone_long(spark, d):
+    """Forty digits, more than one digest has bytes."""
+    number = F.concat(F.lit("+"), F.lpad(F.col("c_custkey").cast("string"), 20, "7"), F.lit("-"),
+                      F.lpad(F.col("c_custkey").cast("string"), 20, "3"))
+    return anonymize(table(spark, d, "customer").select("c_custkey", number.alias("s")), {"s": "anonymize_phone"}, SET)
+
+
 _CODE = "translate({}, '0123456789abcdef', '8901234567789012')"
 _DASHED = "substr({0}, 1, 3) || '-' || substr({0}, 4, 2) || '-' || substr({0}, 6, 4)"
 
@@ -326,6 +345,27 @@ def dp_int(spark, d):
     return anonymize(df, {"p_size": "differential_privacy"}, SET, ["p_partkey"])
 
 
+_BIG_U = S.u("big", "o_orderkey")
+
+
+@query(f"""
+    SELECT o_orderkey, cast(o_orderkey + {2**60} + cast(floor({S.laplace(_BIG_U, 10.0)}) AS BIGINT) AS BIGINT) AS big
+    FROM orders
+""")
+def dp_big_int(spark, d):
+    df = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") + 2**60).alias("big"))
+    return anonymize(df, {"big": rule("differential_privacy", epsilon=0.1)}, SET, ["o_orderkey"])
+
+
+@query(f"""
+    SELECT o_orderkey, cast(o_orderkey + {2**60} + cast(floor((2 * {_BIG_U} - 1) * 50) AS BIGINT) AS BIGINT) AS big
+    FROM orders
+""")
+def perturb_big_int(spark, d):
+    df = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") + 2**60).alias("big"))
+    return anonymize(df, {"big": rule("perturb", range=50)}, SET, ["o_orderkey"])
+
+
 @query(f"""
     SELECT o_orderkey, round(o_totalprice + (2 * {_PRICE_U} - 1) * (abs(o_totalprice) * 0.1::DOUBLE), 4)
         AS o_totalprice FROM orders
@@ -523,14 +563,38 @@ def nulls_literal(spark, d):
 
 
 @query(f"""
-    SELECT {S.digest('c_custkey::VARCHAR')} AS c_custkey, {S.digest('c_name')} AS c_name, c_nationkey,
-        {S.binned('c_acctbal', 1000)} AS c_acctbal, {S.digest('c_mktsegment')} AS c_mktsegment FROM customer
+    SELECT 'REC_' || substr({S.digest('c_custkey::VARCHAR')}, 1, 16) AS c_custkey, c_nationkey,
+        {S.binned('c_acctbal', 500)} AS c_acctbal, c_mktsegment FROM customer
 """)
 def preset_hipaa(spark, d):
-    roles = {"c_custkey": "patient_id", "c_name": "name", "c_acctbal": "treatment_cost", "c_mktsegment": "diagnosis"}
+    roles = {"c_custkey": "record_number", "c_name": "name", "c_acctbal": "cost", "c_mktsegment": "finding"}
     return anonymize(table(spark, d, "customer"), preset("hipaa", roles), SET)
 
 
+@query(f"""
+    SELECT 'CARD_' || substr({S.digest('c_custkey::VARCHAR')}, 1, 24) AS c_custkey, c_nationkey, c_acctbal,
+        left(c_mktsegment, 1) || repeat('*', length(c_mktsegment) - 2) || right(c_mktsegment, 1) AS c_mktsegment
+    FROM customer
+""")
+def preset_pci(spark, d):
+    roles = {"c_custkey": "number", "c_name": "holder", "c_acctbal": "total", "c_mktsegment": "shown_number"}
+    return anonymize(table(spark, d, "customer"), preset("pci", roles), SET)
+
+
+@query("""
+    WITH lines AS (SELECT doc_id, replace(text, chr(13), ' ') AS text FROM documents)
+    SELECT doc_id, md5(text) AS text FROM lines
+""")
+def csv_texts(spark, d):
+    """Texts with quotes, commas and line breaks, written as CSV and read back."""
+    docs = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\r"), F.lit(" ")).alias("text"))
+    folder = scratch_path(spark)
+    save_tables({"documents": docs}, folder, "csv", prefix="")
+    back = load_tables(spark, folder, ["documents"], schemas={"documents": docs.schema}, emptyValue="",
+                       ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n")["documents"]
+    return back.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text"))
+
+
 _TWO = {
     "customer": {"c_custkey": "hash", "c_name": "remove", "c_acctbal": rule("perturb", type="percentage")},
     "orders": {"o_custkey": "hash", "o_totalprice": rule("generalize_numeric", bin_size=100000)},

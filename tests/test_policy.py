@@ -189,9 +189,10 @@ def test_presets(spark, settings):
         [("P001", "1990-01-15", "Asthma", "12345"), ("P002", "1985-05-20", "Flu", "67890")],
         "pid string, dob string, why string, zip string",
     )
-    roles = {"pid": "patient_id", "dob": "date_of_birth", "why": "diagnosis", "zip": "zip_code"}
+    roles = {"pid": "record_number", "dob": "birth_date", "why": "finding", "zip": "postal_code"}
     out = anonymize(df, preset("hipaa", roles), settings).collect()
-    assert [r["dob"] for r in out] == ["1990", "1985"] and out[0]["zip"] == "10000-19999"
+    assert [r["dob"] for r in out] == ["1990", "1985"] and out[0]["zip"] == "12300-12399"
+    assert out[0]["pid"].startswith("REC_") and out[0]["why"] == "Asthma"
     with pytest.raises(PolicyError):
         preset("hipaa", {"x": "no role"})
 
@@ -206,3 +207,11 @@ def test_tables_share_salt_and_key(spark, settings, sf):
         anonymize_tables(tables, {"orders": {}}, settings, require_all_tables=True)
     with pytest.raises(PolicyError):
         anonymize_tables(tables, {"typo": {}}, settings)
+
+
+def test_names_in_another_case_are_the_same_column(spark, settings):
+    df = spark.createDataFrame([("a",)], "Name string")
+    loose = Settings(settings.salt, settings.key, strict=False)
+    assert len(anonymize(df, {"name": "hash"}, loose).first()["Name"]) == 64
+    with pytest.raises(PolicyError):
+        anonymize(df, {"name": "hash", "NAME": "mask"}, settings)

@@ -7,6 +7,7 @@ import re
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from veil import PolicyError, anonymize, register_method
 from veil.functions.substitution import LISTS
@@ -152,9 +153,8 @@ def python_phone(v, lenient):
     digits = re.sub("[^0-9]", "", v)
     if len(digits) < 7:
         return v if lenient else "[REDACTED]"
-    if len(digits) > 32:
-        return "[REDACTED]"
     h, out, k = sha(v), [], 0
+    h += "".join(hashlib.sha256(f"{sha(v)}|{n}".encode()).hexdigest() for n in range(1, len(digits) // 32 + 1))
     for ch in v:
         if ch in "0123456789":
             ch = str(int(h[2 * k:2 * k + 2], 16) % 10)
@@ -164,7 +164,7 @@ def python_phone(v, lenient):
 
 
 PHONES = ["(555) 123-4567", "555-987-6543", "555.555.5555", "5551234567", "555-1234", "", "abc", "123", "123456",
-          "1234567", "+44 20 7946 0958 ext. 12", "1" * 15, "2" * 16, "3" * 32, "4" * 33, "a1b2c3d4e5f6g7", "1234567\n"]
+          "1234567", "+44 20 7946 0958 ext. 12", "1" * 15, "2" * 16, "3" * 32, "4" * 33, "5" * 64 + "x" + "6" * 40, "a1b2c3d4e5f6g7", "1234567\n"]
 
 
 def test_phone(spark, settings, parity):
@@ -279,3 +279,13 @@ def test_nested_columns_are_refused(spark, settings, kind):
     df = spark.createDataFrame([], f"v {kind}")
     with pytest.raises(PolicyError):
         anonymize(df, {"v": "hash"}, settings)
+
+
+def test_noise_reaches_the_last_digits_of_large_numbers(spark, settings):
+    df = spark.range(200).select("id", (F.col("id") + 2**60).alias("n"),
+                                 (F.col("id") + F.lit("12345678901234567890.12").cast("decimal(30,2)"))
+                                 .cast("decimal(30,2)").alias("d"))
+    for method in ("differential_privacy", rule("perturb", range=50)):
+        out = anonymize(df, {"n": method, "d": method}, settings, ["id"]).orderBy("id").collect()
+        assert len({r["n"] - r["id"] for r in out}) > 3 and all(abs(r["n"] - r["id"] - 2**60) < 100 for r in out)
+        assert len({r["d"] - r["id"] for r in out}) > 100

@@ -37,11 +37,31 @@ def test_one_csv_file(spark, people):
     assert dict(inferred.dtypes)["age"] == "int" and inferred.count() == 3
 
 
-def test_broken_records_end_a_large_csv(spark, people, monkeypatch):
-    monkeypatch.setattr("veil.sources.tables.ONE_TASK_BYTES", 10)
-    table = load_tables(spark, people, schemas={"Sheet1": SCHEMA})["Sheet1"]
-    with pytest.raises(Exception, match="MALFORMED"):
-        table.select("name").collect()
+def test_broken_records_end_the_job(spark, tmp_path):
+    for name, text in {"extra": "a,b\n1,x,y\n", "short": "a,b\n1\n"}.items():
+        path = tmp_path / f"{name}.csv"
+        path.write_text(text)
+        for breaks in (True, False):
+            table = load_tables(spark, str(path), schemas={"Sheet1": "a string, b string"}, quoted_line_breaks=breaks)
+            with pytest.raises(Exception, match="MALFORMED"):
+                table["Sheet1"].select("a").collect()
+
+
+def test_split_files_refuse_quoted_line_breaks(spark, people, tmp_path):
+    with pytest.raises(ValueError, match="quoted line breaks"):
+        load_tables(spark, people, schemas={"Sheet1": SCHEMA}, quoted_line_breaks=False)
+    plain = tmp_path / "plain.csv"
+    plain.write_text('a,b\n1,"x ""y"", z"\n2,\n')
+    rows = load_tables(spark, str(plain), quoted_line_breaks=False)["Sheet1"].collect()
+    assert [tuple(r) for r in rows] == [(1, 'x "y", z'), (2, None)]
+
+
+def test_compressed_tables(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "t.csv.gz").write_bytes(gzip.compress(b"a,b\n1,x\n"))
+    assert [tuple(r) for r in load_tables(spark, str(tmp_path))["t"].collect()] == [(1, "x")]
+    assert list_columns(spark, str(tmp_path))["t"] == [("a", "string"), ("b", "string")]
 
 
 def test_round_trip_of_a_dataset(spark, tmp_path, sf):

@@ -27,7 +27,7 @@ class Build:
     settings: Settings
     row_key: list[Column] = field(default_factory=list)
     table: str = ""
-    stages: list[dict[str, Column]] = field(default_factory=lambda: [{}, {}])
+    stages: list[dict[str, Column]] = field(default_factory=lambda: [{}, {}, {}])
 
     def bind(self, expression: Column, stage: int = 0) -> Column:
         taken = sum(len(s) for s in self.stages)

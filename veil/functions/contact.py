@@ -40,23 +40,34 @@ def email(b: Build, name: str, c: Column, dtype, options: dict) -> Column:
 
 
 def phone(b: Build, name: str, c: Column, dtype, options: dict) -> Column:
-    """Replace the digits in place; blanks, brackets and signs stay."""
+    """Replace the digits in place; blanks, brackets and signs stay.
+
+    The digest has bytes for 32 digits; behind them come the digests of the
+    digest and a block number, as many as it takes.
+    """
     text = b.text(c, dtype, options)
     source = F.regexp_replace(text, "[^0-9]", "") if options["normalize"] else text
     between = b.bind(F.split(text, "[0-9]", -1))
     count = F.size(between) - 1
-    used = F.substring(F.unhex(b.secrets.digest(source)), F.lit(1), count)
+    first = b.bind(b.secrets.digest(source))
+    used = F.substring(F.unhex(first), F.lit(1), count)
     fresh = b.bind(F.translate(F.decode(used, "ISO-8859-1"), BYTES, BYTE_DIGITS), 1)
     # Beyond the last digit both parts of a pair are empty or null and vanish.
     woven = [F.get(between, F.lit(0))]
     for i in range(_DIGEST_BYTES):
         woven += [F.substring(fresh, i + 1, 1), F.get(between, F.lit(i + 1))]
+    further = F.transform(F.sequence(F.lit(1), F.floor(count / _DIGEST_BYTES).cast("int")),
+                          lambda n: F.sha2(F.concat_ws("|", first, n.cast("string")), 256))
+    stream = F.unhex(F.concat(first, F.array_join(further, "")))
+    long = b.bind(F.when(count > _DIGEST_BYTES, F.translate(
+        F.decode(F.substring(stream, F.lit(1), count), "ISO-8859-1"), BYTES, BYTE_DIGITS)), 1)
+    any_length = F.array_join(F.transform(between, lambda part, i: F.concat(part, F.substr(long, i + 1, F.lit(1)))), "")
     short = text if b.lenient(options, "short") else F.lit(REDACTED)
     return (
         F.when(text.isNull(), F.lit(None))
         .when(count < 7, short)
         .when(count <= _DIGEST_BYTES, F.concat_ws("", *woven))
-        .otherwise(F.lit(REDACTED))
+        .otherwise(any_length)
     )
 
 

@@ -31,11 +31,21 @@ def binned(b: Build, name: str, c: Column, dtype, options: dict) -> Column:
     return F.when(c.isNull(), F.lit(None)).otherwise(F.coalesce(label, F.lit(REDACTED)))
 
 
-def _like(value: Column, dtype: T.DataType) -> Column:
-    """Back to the column's own type; whole numbers are cut off toward zero."""
+def _moved(b: Build, c: Column, noise: Column, dtype: T.DataType) -> Column:
+    """Value and noise added in the column's own type; null beyond its range.
+
+    A double has 53 bits, so adding there would swallow the noise of larger
+    numbers.  Whole numbers are cut off toward zero, as the exact sum would be.
+    """
     if isinstance(dtype, T.IntegralType):
-        return value.try_cast("bigint").try_cast(dtype)
-    return value.try_cast(dtype)
+        drawn = b.bind(noise, 2)
+        below = F.floor(drawn).try_cast("bigint")
+        low = F.try_add(c.cast("bigint"), below)
+        up = (low < 0) & (drawn > F.floor(drawn))
+        return F.when(up, low + 1).otherwise(low)
+    if isinstance(dtype, T.DecimalType):
+        return F.try_add(c, noise.try_cast(T.DecimalType(38, dtype.scale)))
+    return c.cast("double") + noise
 
 
 def _unchanged(b: Build, name: str, c: Column, dtype) -> Column:
@@ -55,7 +65,7 @@ def noisy(b: Build, name: str, c: Column, dtype, options: dict) -> Column:
         noise = laplace(b.bind(uniform(draw), 1), scale)
     else:
         noise = gaussian(uniform(draw), uniform(draw, 1), F.lit(scale))
-    return _like(c.cast("double") + noise, dtype)
+    return _moved(b, c, noise, dtype).try_cast(dtype)
 
 
 def perturbed(b: Build, name: str, c: Column, dtype, options: dict) -> Column:
@@ -71,5 +81,5 @@ def perturbed(b: Build, name: str, c: Column, dtype, options: dict) -> Column:
         noise = sway * F.lit(float(options["percentage"]) / 100) * value
     else:
         noise = sway * reach
-    moved = value + noise
-    return _like(F.abs(moved) if options["non_negative"] else moved, dtype)
+    moved = _moved(b, c, noise, dtype)
+    return (F.abs(moved) if options["non_negative"] else moved).try_cast(dtype)

@@ -7,6 +7,7 @@ it compact and lets later plans read only the columns and rows they need.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ def scratch_folder(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if sc.applicationId not in _LOCAL:
         _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="veil-")

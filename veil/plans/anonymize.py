@@ -66,14 +66,15 @@ def anonymize(
         elif rule.column in flags:
             written[rule.column] = suppressed(c, rule.dtype, flags[rule.column], rule.options["scale"])
 
-    source = _numbered(df, keys, stored=bool(mixed))
+    dropped = {r.column for r in rules if r.method.kind == DROP}
+    needed = df.select(*[ident(c) for c in columns if c not in dropped or c in keys])
+    source = _numbered(needed, keys, stored=bool(mixed))
     out = shuffle_columns(source, mixed, keys, secrets, table) if mixed else source
     for rule in cross:
         if rule.column in flags:
             out = flag_frequent(out, [rule.column], rule.options["k"], flags[rule.column], source=source)
     for stage in build.stages:
         out = out.withColumns(stage) if stage else out
-    dropped = {r.column for r in rules if r.method.kind == DROP}
     return out.select(*[
         (written[c].alias(c) if c in written else ident(c)) for c in columns if c not in dropped
     ])

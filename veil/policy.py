@@ -6,7 +6,7 @@ import json
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import types as T
+from pyspark.sql import SparkSession, types as T
 
 from veil.errors import PolicyError
 from veil.functions import registry
@@ -68,11 +68,14 @@ class TablePolicy:
         A name that is no known method becomes ``hash``, the safe direction.
         """
         types = {f.name: f.dataType for f in schema.fields}
-        missing = [c for c in self.rules if c not in types]
+        rules = {_same_name(c, types): rule for c, rule in self.rules.items()}
+        if len(rules) < len(self.rules):
+            raise PolicyError("two rules for one column")
+        missing = [c for c in rules if c not in types]
         if missing and strict:
             raise PolicyError(f"no such columns: {missing}")
         resolved = []
-        for column, rule in self.rules.items():
+        for column, rule in rules.items():
             if column in missing or rule.method == PASS_THROUGH:
                 continue
             method, note, options = registry.find(rule.method), "", rule.options
@@ -84,6 +87,15 @@ class TablePolicy:
         return resolved
 
 
+def _same_name(name: str, columns) -> str:
+    """The column that Spark takes the name for: the same in another case too, unless the session tells them apart."""
+    session = SparkSession.getActiveSession()
+    apart = session is not None and session.conf.get("spark.sql.caseSensitive", "false").lower() == "true"
+    if name in columns or apart:
+        return name
+    return next((c for c in columns if c.lower() == name.lower()), name)
+
+
 @dataclass(frozen=True)
 class Policy:
     """Table policies by table name."""

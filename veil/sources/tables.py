@@ -5,17 +5,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from veil.errors import PolicyError
 
 SINGLE_TABLE = "Sheet1"
 FORMATS = ("csv", "parquet", "json", "orc")
 
-# Quoted line breaks are only read where a file is one task anyway; a larger
-# file is split by lines, and a broken or short record then ends the job, so that
-# no value slips into a column with another rule.
-ONE_TASK_BYTES = 128 << 20
+# Suffixes of codecs that Spark's readers open by themselves.
+CODECS = ("gz", "bz2", "zst", "lz4", "snappy", "deflate")
+
+
+def _plain(name: str) -> str:
+    """The file name without the suffix of a codec."""
+    stem, _, suffix = name.rpartition(".")
+    return stem if stem and suffix.lower() in CODECS else name
 
 
 @dataclass(frozen=True)
@@ -29,11 +33,13 @@ class Entry:
 
     @property
     def stem(self) -> str:
-        return self.name.rsplit(".", 1)[0] if "." in self.name else self.name
+        name = _plain(self.name)
+        return name.rsplit(".", 1)[0] if "." in name else name
 
     @property
     def suffix(self) -> str:
-        return self.name.rsplit(".", 1)[1].lower() if "." in self.name else ""
+        name = _plain(self.name)
+        return name.rsplit(".", 1)[1].lower() if "." in name else ""
 
 
 def _entry(status) -> Entry:
@@ -85,21 +91,20 @@ def _format_of(spark: SparkSession, entry: Entry) -> str:
     raise ValueError(f"unsupported file type in {entry.path}")
 
 
-def _one_task_each(spark: SparkSession, entry: Entry) -> bool:
-    """Whether no file is larger than one task reads."""
-    fs, hadoop = _locate(spark, entry.path)
-    return all(file.size <= ONE_TASK_BYTES for file in _iterate(fs.listFiles(hadoop, True)))
+def _check_lines(spark: SparkSession, path: str) -> None:
+    """A line with an odd number of quotes begins or ends a record of several lines."""
+    quotes = F.length(F.regexp_replace("value", '[^"]', ""))
+    if not spark.read.text(path).filter(quotes % 2 == 1).isEmpty():
+        raise ValueError(f"{path} has quoted line breaks: read it with quoted_line_breaks=True")
 
 
-def _read(spark: SparkSession, entry: Entry, fmt: str, schema, options: dict) -> DataFrame:
+def _read(spark: SparkSession, entry: Entry, fmt: str, schema, infer: bool, breaks: bool, options: dict) -> DataFrame:
     reader = spark.read.format(fmt)
     if fmt == "csv":
-        lines = _one_task_each(spark, entry)
-        reader = reader.options(
-            header=True, escape='"', multiLine=lines, columnPruning=False,
-            mode="PERMISSIVE" if lines else "FAILFAST",
-        )
-        reader = reader if schema is not None else reader.option("inferSchema", True)
+        if not breaks:
+            _check_lines(spark, entry.path)
+        reader = reader.options(header=True, escape='"', multiLine=breaks, columnPruning=False, mode="FAILFAST")
+        reader = reader if schema is not None else reader.option("inferSchema", infer)
     reader = reader.options(**options)
     if schema is not None:
         reader = reader.schema(schema if isinstance(schema, T.StructType) else str(schema))
@@ -112,13 +117,21 @@ def load_tables(
     tables: list[str] | None = None,
     fmt: str | None = None,
     schemas: dict | None = None,
+    quoted_line_breaks: bool = True,
+    infer_types: bool = True,
     **options,
 ) -> dict[str, DataFrame]:
     """Tables by name.
 
     A file, or a folder named like a file, is a dataset of the one table
     ``Sheet1``.  In any other folder each file or folder is a table.  Name a
-    schema for tables with identifiers: inference turns ``01234`` into a number.
+    schema for tables with identifiers: inference turns ``01234`` into a number
+    and reads the file once more; without ``infer_types`` all columns are text.
+
+    A CSV record with too few or too many fields ends the job, at any size.  Values
+    may hold quoted line breaks, for which a file has to be read by one task.
+    Without ``quoted_line_breaks`` files are split; they are checked first, and one
+    that has such a value is an error.
     """
     schemas = schemas or {}
     root = _stat(spark, path)
@@ -133,14 +146,15 @@ def load_tables(
         raise PolicyError(f"no such tables: {unknown}")
     chosen = {t: found[t] for t in (tables or found)}
     kinds = {t: check_format(fmt) if fmt else _format_of(spark, e) for t, e in chosen.items()}
-    return {t: _read(spark, e, kinds[t], schemas.get(t), options) for t, e in chosen.items()}
+    return {t: _read(spark, e, kinds[t], schemas.get(t), infer_types, quoted_line_breaks, options)
+            for t, e in chosen.items()}
 
 
 def list_columns(
     spark: SparkSession, path: str, tables: list[str] | None = None, fmt: str | None = None
 ) -> dict[str, list[tuple[str, str]]]:
-    """The columns and types of each table, to choose methods for."""
-    found = load_tables(spark, path, tables, fmt)
+    """The columns and types of each table, to choose methods for; of a CSV only the header is read."""
+    found = load_tables(spark, path, tables, fmt, infer_types=False)
     return {name: df.dtypes for name, df in found.items()}
 
 

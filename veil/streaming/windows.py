@@ -50,16 +50,20 @@ def windowed_k_anonymity(
     that are dropped, so none leaves before its group is known.  The counts are
     combined before their shuffle, and the rows of one value are spread over
     ``spread`` tasks by their row key, each of which gets a copy of the count.
+    A row without an event time belongs to no window, so its value is suppressed.
     """
     missing = [c for c in [time, column, *row_key] if c not in df.columns]
     if missing or not row_key:
         raise PolicyError(f"no such columns: {missing}" if missing else "name the row key")
     columns, dtype = df.columns, df.schema[column].dataType
+    timeless = _result(df.filter(ident(time).isNull()).withColumn(_FLAG, F.lit(False)), columns, column, dtype)
+    df = df.filter(ident(time).isNotNull())
     if not df.isStreaming:
         scoped = df.withColumn(_WINDOW, F.window(ident(time), window).getField("start"))
         flagged = flag_frequent(scoped, [_WINDOW, column], k, _FLAG)
-        return _result(flagged, columns, column, dtype)
+        return _result(flagged, columns, column, dtype).unionByName(timeless)
 
+    timeless = _event_time(timeless, time) if time != column else timeless
     df = _event_time(df, time).withWatermark(time, delay)
     text = canon(ident(column), dtype)
     group = {"__veil_value": F.coalesce(text, F.lit("")), "__veil_null": text.isNull()}
@@ -77,7 +81,7 @@ def windowed_k_anonymity(
     salts = F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("__veil_salt")
     counts = counts.select(_WINDOW, *group, (F.col("__veil_n") >= k).alias(_FLAG), salts)
     joined = rows.join(counts, [_WINDOW, *group, "__veil_salt"])
-    return _result(joined, columns, column, dtype)
+    return _result(joined, columns, column, dtype).unionByName(timeless)
 
 
 def shuffle_batches(
