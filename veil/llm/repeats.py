@@ -122,7 +122,8 @@ def _anchored(docs: DataFrame) -> DataFrame:
         hasher = Hasher()
         for batch in batches:
             rows = []
-            for text_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i in range(batch.num_rows):
+                text_id, text = (c[i].as_py() for c in batch.columns)
                 sums = hasher.sums(_bytes(text))
                 places, firsts, cores = anchors(sums, hasher)
                 if len(places):
@@ -270,14 +271,18 @@ def _live_blocks(open_: DataFrame, table) -> DataFrame:
 def _repeated_strings(live: DataFrame) -> DataFrame:
     """(text_id, runs) of the strings of blocks that occur twice or more."""
     same = ["core", "key", "least", "left", "right"]
-    kinds = live.groupBy(*same).agg(F.count("*").alias("n"))
-    strings = kinds.select(*same, "n", F.explode(F.sequence("least", F.octet_length("left"))).alias("before"))
+    kinds = materialize(live.groupBy(*same).agg(F.count("*").alias("n")))
+    # A kind that is alone with its common bytes has nothing to compare: its strings repeat if it does.
+    several = kinds.groupBy("core", "key").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("core", "key")
+    befores = F.sequence("least", F.octet_length("left"))
     around = F.concat(F.substr("left", F.octet_length("left") - F.col("before") + 1, F.col("before")),
                       F.substr("right", F.lit(1), F.lit(BLOCK - 1) - F.col("before")))
-    strings = materialize(strings.withColumn("around", around))
+    strings = kinds.join(several, ["core", "key"], "left_semi").select(
+        *same, "n", F.explode(befores).alias("before")).withColumn("around", around)
     twice = _counted(strings, "core", "key", "before", "around")
-    found = strings.join(twice, ["core", "key", "before", "around"], "left_semi").groupBy(*same).agg(
+    found = strings.filter("n = 1").join(twice, ["core", "key", "before", "around"], "left_semi").groupBy(*same).agg(
         F.array_sort(F.collect_list("before")).alias("found"))
+    found = found.unionByName(kinds.filter("n > 1").select(*same, befores.alias("found")))
     joined = live.join(found, same)
     first, last = F.element_at("found", 1), F.element_at("found", -1)
     runs = F.when(F.size("found") == last - first + 1, F.array(_run(F.col("base") - last, F.col("base") - first))) \
@@ -367,12 +372,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", out: str = "kept") -> Da
     found = materialize(repeated_runs(docs, text))
     table = _id_table(found.select("text_id"))
     # One column carries the row, so that no name can clash on the way.
-    source = docs.select(digest(whole_text(text)).alias("text_id"), whole_text(text).cast("binary").alias("whole"),
-                         F.struct(*[col(c) for c in docs.columns]).alias("row"))
+    source = docs.select(digest(whole_text(text)).alias("text_id"), F.struct(*[col(c) for c in docs.columns]).alias("row"))
     joined = _split_by_table(source, table, inside=True).join(found, "text_id", "left")
+    whole = F.coalesce(F.col("row")[text].cast("string"), F.lit("")).cast("binary")
 
     def unchanged(rows: DataFrame) -> DataFrame:
-        made = [F.col("whole"), F.octet_length("whole").cast("bigint"), *[F.lit(0).cast("bigint")] * 2]
+        made = [whole, F.octet_length(whole).cast("bigint"), *[F.lit(0).cast("bigint")] * 2]
         return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns],
                            *[m.alias(n) for m, n in zip(made, names, strict=True)])
 
@@ -381,10 +386,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", out: str = "kept") -> Da
 
     def cut(batches):
         for batch in batches:
-            own, runs = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1)
+            own, runs = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
             rest, sizes, gone, spans = [], [], [], []
-            for i, data in enumerate(own):
-                pair = runs[i].values
+            for i in range(batch.num_rows):
+                data, pair = own[i].as_py(), runs[i].values
                 edges = np.zeros(len(data) + 1, dtype=np.int64)
                 np.add.at(edges, pair.field(0).to_numpy(zero_copy_only=False), 1)
                 np.add.at(edges, pair.field(1).to_numpy(zero_copy_only=False), -1)
@@ -398,7 +403,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", out: str = "kept") -> Da
 
     found_rows = joined.filter("runs IS NOT NULL")
     made = {f"made{i}": k for i, k in enumerate(names.values())}
-    dirty = found_rows.select("row", "whole", "runs").mapInArrow(
+    dirty = found_rows.select("row", whole.alias("whole"), "runs").mapInArrow(
         lambda batches: (pa.RecordBatch.from_arrays(b.columns, names=["row", *made]) for b in cut(batches)),
         T.StructType([source.schema["row"], *(T.StructField(m, T.DataType.fromDDL(k)) for m, k in made.items())]))
     return clean.unionByName(dirty.select(*[F.col("row")[c].alias(c) for c in docs.columns],
