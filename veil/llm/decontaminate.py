@@ -24,8 +24,9 @@ from veil.operators.materialize import materialize
 MASKS = ("1111011011", "1101101111", "1110110111", "1011111101")
 #: Tokens that an overlap needs, or the whole item if that is shorter; and the share of them that may differ.
 LEAST_TOKENS, SUBSTITUTED = 13, 0.2
-#: Cells of the bit table; more test hashes than that only make it pass more places on to the join.
-CELLS = 2**22
+#: Cells of the bit table, of which each hash has two; with very many test hashes it passes more places on to the join.
+CELL_BITS = 24
+CELLS = 2**CELL_BITS
 #: Tokens of a region that are kept on each side of a place.
 AROUND = 64
 
@@ -144,8 +145,10 @@ def _regions(docs: DataFrame, table, short: list[int], masks) -> DataFrame:
                 found = []
                 whole = [short_hashes(tokens, size) for size in short]
                 for h, at in seeds(tokens, masks) + [(h, np.arange(len(h))) for h in whole]:
-                    hit = bits[(h & np.uint64(CELLS - 1)).astype(np.int64)]
-                    if hit.any():
+                    hit = np.flatnonzero(bits[(h & np.uint64(CELLS - 1)).astype(np.int64)])
+                    high = (h[hit] >> np.uint64(CELL_BITS)) & np.uint64(CELLS - 1)
+                    hit = hit[bits[high.astype(np.int64)]]
+                    if len(hit):
                         found.append((h[hit], at[hit]))
                 if not found:
                     continue
@@ -198,7 +201,9 @@ def contaminated_texts(docs: DataFrame, items: DataFrame, text: str = "text", it
     hashed = materialize(_item_seeds(tests, masks, least))
     tokens = materialize(_item_tokens(tests))
     # The table has a fixed number of cells, whatever the number of items.
-    cells = hashed.select(F.pmod("hash", F.lit(CELLS)).cast("int").alias("cell")).distinct().toPandas()["cell"]
+    both = F.array(F.col("hash"), F.shiftrightunsigned("hash", CELL_BITS))
+    cells = hashed.select(F.explode(both).alias("hash")).select(
+        F.pmod("hash", F.lit(CELLS)).cast("int").alias("cell")).distinct().toPandas()["cell"]
     bits = np.zeros(CELLS, dtype=bool)
     bits[cells.to_numpy(dtype=np.int64)] = True
     shortest = min(map(len, masks))
