@@ -39,9 +39,10 @@ def _moved(b: Build, c: Column, noise: Column, dtype: T.DataType) -> Column:
     """
     if isinstance(dtype, T.IntegralType):
         drawn = b.bind(noise, 2)
-        below = F.floor(drawn).try_cast("bigint")
-        low = F.try_add(c.cast("bigint"), below)
-        up = (low < 0) & (drawn > F.floor(drawn))
+        cut = drawn.try_cast("bigint")
+        whole = cut.cast("double") == drawn
+        low = F.try_add(c.cast("bigint"), F.when(whole | (drawn > 0), cut).otherwise(F.try_subtract(cut, F.lit(1))))
+        up = (low < 0) & ~whole
         return F.when(up, low + 1).otherwise(low)
     if isinstance(dtype, T.DecimalType):
         return F.try_add(c, noise.try_cast(T.DecimalType(38, dtype.scale)))
