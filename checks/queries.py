@@ -692,9 +692,7 @@ def category_grandparent(spark, d):
     return mapping.generalize_category(_national(spark, d), "n_name", _hierarchy(spark, d), levels=2)
 
 
-_VAULT = f"""
-    WITH v AS (SELECT DISTINCT value FROM (SELECT o_orderkey::VARCHAR AS value FROM orders
-            UNION ALL SELECT l_orderkey::VARCHAR FROM lineitem)),
+_CODES = f"""
          h AS (SELECT value, {S.digest('value')} AS h FROM v),
          n AS (SELECT *, count(*) OVER (PARTITION BY substr(h, 1, 4)) AS n4,
                 count(*) OVER (PARTITION BY substr(h, 1, 8)) AS n8,
@@ -702,6 +700,10 @@ _VAULT = f"""
          vault AS (SELECT value, 'ID_' || CASE WHEN n4 = 1 THEN substr(h, 1, 4) WHEN n8 = 1 THEN substr(h, 1, 8)
                 WHEN n16 = 1 THEN substr(h, 1, 16) ELSE h END AS code, n4 > 1 AS widened FROM n)
 """
+_VAULT = f"""
+    WITH v AS (SELECT DISTINCT value FROM (SELECT o_orderkey::VARCHAR AS value FROM orders
+            UNION ALL SELECT l_orderkey::VARCHAR FROM lineitem)), {_CODES}
+"""
 
 
 def _vault(spark, d):
@@ -721,12 +723,25 @@ def vault_collisions(spark, d):
 """)
 def vault_apply(spark, d):
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_quantity")
-    coded = mapping.apply_vault(lines, "l_orderkey", _vault(spark, d), SET, width=4)
+    coded = mapping.apply_vault(lines, "l_orderkey", _vault(spark, d), SET)
     return coded.groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("lines"), F.round(F.sum("l_quantity"), 2).alias("quantity")
     )
 
 
+@query(f"""
+    WITH v AS (SELECT DISTINCT o_custkey::VARCHAR AS value FROM orders WHERE o_orderpriority = '1-URGENT'), {_CODES}
+    SELECT coalesce(code, 'ID_' || {S.digest('c_custkey::VARCHAR')}) AS c_custkey, round(c_acctbal, 2) AS c_acctbal
+    FROM customer LEFT JOIN vault ON value = c_custkey::VARCHAR
+""")
+def vault_unseen(spark, d):
+    """Customers without an urgent order are not in the vault."""
+    urgent = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'")
+    vault = mapping.build_vault([(urgent, "o_custkey")], SET, width=4)
+    customers = table(spark, d, "customer").selectExpr("c_custkey", "round(c_acctbal, 2) AS c_acctbal")
+    return mapping.apply_vault(customers, "c_custkey", vault, SET)
+
+
 # --- audits -----------------------------------------------------------------------
 
 
@@ -826,7 +841,8 @@ _SHORT_PHONE = f"({_phone_sql('s')})"
              FROM b JOIN a USING (c_custkey))
     SELECT 's' AS "column", count(*) AS values, count(*) FILTER (old = s) AS unchanged,
         count(*) FILTER (length(x) >= 4 AND len(list_filter(range(1, greatest(length(x) - 2, 1)),
-            lambda i: instr(y, substr(x, i, 4)) > 0)) > 0) AS digit_runs FROM p
+            lambda i: instr(y, substr(x, i, 4)) > 0)) > 0) AS digit_runs,
+        0::BIGINT AS missing_rows, 0::BIGINT AS extra_rows FROM p
 """)
 def audit_leaks(spark, d):
     before = table(spark, d, "customer").selectExpr("c_custkey", f"{PHONE} AS s")
@@ -837,7 +853,8 @@ def audit_leaks(spark, d):
 @query(f"""
     WITH p AS (SELECT (2 * {_BAL_U} - 1) * 100 AS n FROM customer)
     SELECT 'c_acctbal' AS "column", count(*) AS values, round(min(n), 4) AS min_noise, round(max(n), 4) AS max_noise,
-        round(avg(n), 4) AS mean_noise, round(stddev_samp(n), 4) AS std_noise FROM p
+        round(avg(n), 4) AS mean_noise, round(stddev_samp(n), 4) AS std_noise,
+        0::BIGINT AS missing_rows, 0::BIGINT AS extra_rows FROM p
 """)
 def audit_noise(spark, d):
     before = table(spark, d, "customer").select("c_custkey", "c_acctbal")
@@ -846,6 +863,40 @@ def audit_noise(spark, d):
     return out.withColumns({c: F.round(c, 4) for c in ["min_noise", "max_noise", "mean_noise", "std_noise"]})
 
 
+@query("""
+    WITH b AS (SELECT c_custkey, c_mktsegment AS old FROM customer WHERE c_mktsegment <> 'AUTOMOBILE'),
+         a AS (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN c_mktsegment ELSE 'x' END AS new
+             FROM customer WHERE c_mktsegment <> 'BUILDING')
+    SELECT 'c_mktsegment' AS "column", count(*) FILTER (old IS NOT NULL AND new IS NOT NULL) AS values,
+        count(*) FILTER (old = new) AS unchanged, 0::BIGINT AS digit_runs,
+        count(*) FILTER (new IS NULL) AS missing_rows, count(*) FILTER (old IS NULL) AS extra_rows
+    FROM b FULL JOIN a USING (c_custkey)
+""")
+def audit_unpaired(spark, d):
+    """A result that lacks rows, has rows of its own and kept some values."""
+    customers = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    before = customers.filter("c_mktsegment <> 'AUTOMOBILE'")
+    after = customers.filter("c_mktsegment <> 'BUILDING'").withColumn(
+        "c_mktsegment", F.expr("CASE WHEN c_acctbal < 0 THEN c_mktsegment ELSE 'x' END"))
+    return audit.leaks(before, after, ["c_custkey"], ["c_mktsegment"])
+
+
+@query("""
+    WITH o AS (SELECT nullif(o_orderpriority, '5-LOW') AS o_orderpriority, o_orderpriority <> '1-URGENT' AS kept,
+            o_totalprice FROM orders)
+    SELECT o_orderpriority, 'o_totalprice' AS "column", round(avg(o_totalprice), 3) AS mean_before,
+        round(stddev_samp(o_totalprice), 3) AS std_before, round(avg(o_totalprice) FILTER (kept), 3) AS mean_after,
+        round(stddev_samp(o_totalprice) FILTER (kept), 3) AS std_after, bool_and(kept) AS within
+    FROM o GROUP BY o_orderpriority
+""")
+def audit_drift_segments(spark, d):
+    """One segment is null, another is gone."""
+    before = table(spark, d, "orders").selectExpr("nullif(o_orderpriority, '5-LOW') AS o_orderpriority", "o_totalprice")
+    after = before.filter("NOT o_orderpriority <=> '1-URGENT'")
+    out = audit.drift(before, after, ["o_totalprice"], ["o_orderpriority"]).drop("mean_shift", "std_shift")
+    return out.withColumns({c: F.round(c, 3) for c in ["mean_before", "std_before", "mean_after", "std_after"]})
+
+
 @query("""
     WITH n AS (SELECT o_orderdate, count(*) AS n FROM orders GROUP BY ALL)
     SELECT 'o_orderdate' AS "column", count(*) FILTER (n >= 5) AS values, min(n) FILTER (n >= 5) AS min_group,
@@ -859,6 +910,17 @@ def audit_k_threshold(spark, d):
     return audit.k_threshold(anonymize(df, {"o_orderdate": "k_anonymity"}, SET), ["o_custkey", "o_orderdate"], 5)
 
 
+@query("""
+    SELECT 'o_orderkey' AS "column", count(*) FILTER (n >= 5) AS values, 0::BIGINT AS below_k, true AS holds
+    FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderkey)
+""")
+def audit_k_suppressed(spark, d):
+    """A column of which nothing is left still has its row."""
+    orders = table(spark, d, "orders").select("o_orderkey")
+    kept = anonymize(orders, {"o_orderkey": "k_anonymity"}, SET)
+    return audit.k_threshold(kept, ["o_orderkey"], 5).drop("min_group")
+
+
 @query("""
     SELECT size, count(*) AS classes, size * count(*) AS rows
     FROM (SELECT count(*) AS size FROM orders GROUP BY o_orderdate, o_orderpriority) GROUP BY size

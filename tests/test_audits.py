@@ -46,6 +46,23 @@ def test_drift(spark, settings, orders):
     assert len(parts) == orders.select("o_orderstatus").distinct().count()
 
 
+def test_drift_of_null_and_lost_segments(spark):
+    before = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 1.0), ("a", 3.0)], "g string, v double")
+    after = spark.createDataFrame([(None, 1.0), (None, 3.0), ("b", 1.0), ("b", 3.0)], "g string, v double")
+    got = {r["g"]: (r["mean_before"], r["mean_after"], r["within"])
+           for r in audit.drift(before, after, ["v"], ["g"]).collect()}
+    assert got == {None: (2.0, 2.0, True), "a": (2.0, None, False), "b": (None, 2.0, False)}
+
+
+def test_rows_without_a_partner(spark):
+    before = spark.createDataFrame([(i, float(i)) for i in range(6)], "i int, v double")
+    after = spark.createDataFrame([(4, 4.0), (5, 6.0), (6, 6.0)], "i int, v double")
+    got = audit.leaks(before, after, ["i"], ["v"]).first()
+    assert (got["values"], got["unchanged"], got["missing_rows"], got["extra_rows"]) == (2, 1, 4, 1)
+    got = audit.noise(before, after, ["i"], ["v"]).first()
+    assert (got["values"], got["max_noise"], got["missing_rows"], got["extra_rows"]) == (2, 1.0, 4, 1)
+
+
 def test_links(spark, settings):
     child = spark.createDataFrame([(1,)] * 50 + [(2,), (3,), (3,), (None,)], "k int")
     parent = spark.createDataFrame([(1,), (2,), (2,), (5,)], "k int")
@@ -86,6 +103,9 @@ def test_k_threshold(spark, settings):
     done = anonymize(df, {"v": rule("k_anonymity", k=3)}, settings)
     got = audit.k_threshold(done, ["v"], 3).first()
     assert got["holds"] and got["values"] == 1 and got["min_group"] == 4
+    none = audit.k_threshold(anonymize(df, {"v": rule("k_anonymity", k=9)}, settings), ["v"], 9).collect()
+    assert [r.asDict() for r in none] == [
+        {"column": "v", "values": 0, "min_group": None, "below_k": 0, "holds": True}]
 
 
 def test_classes(spark):

@@ -155,10 +155,18 @@ def test_vault_has_no_collisions(spark, settings):
     with pytest.raises(PolicyError):
         mapping.build_vault([(left, "a")], settings, width=2)
     hot = spark.createDataFrame([(i, 7 if i % 3 else i) for i in range(600)] + [(600, None)], "i int, v int")
-    got = column(mapping.apply_vault(hot, "v", vault, settings, width=4))
+    got = column(mapping.apply_vault(hot, "v", vault, settings))
     assert got == [codes[str(7 if i % 3 else i)] for i in range(600)] + [None]
 
 
+def test_vault_codes_of_unseen_values(spark, settings):
+    known = spark.range(3000).select(F.col("id").alias("a"))
+    vault = mapping.build_vault([(known, "a")], settings, width=4)
+    got = column(mapping.apply_vault(spark.range(20000).selectExpr("id AS i", "id AS v"), "v", vault, settings))
+    assert len(set(got)) == 20000
+    assert all(len(c) == len("ID_") + 64 for c in got[3000:])
+
+
 def test_dictionary(spark, tmp_path):
     path = tmp_path / "labels.json"
     path.write_text('{\n "Acme": "Company A",\n "Beta \\"B\\"": "Company B"\n}')

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veil.errors import PolicyError
 from veil.functions.build import SUPPRESSED
 from veil.functions.canonical import canon, ident
+from veil.functions.keyed import local_table
+
+_WAS, _IS = "__veil_was", "__veil_is"
 
 
 def _values(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -82,11 +86,18 @@ def drift(
     mean_limit: float = 0.1,
     std_limit: float = 0.3,
 ) -> DataFrame:
-    """Shift of mean and deviation, in shares of the old ones; per segment if asked."""
+    """Shift of mean and deviation, in shares of the old ones; per segment if asked.
+
+    Null is a segment like any other.  A segment that is new or gone has nulls
+    on the other side and is not within the limits.
+    """
     by = by or []
     old = _moments(before, columns, by, "before")
     new = _moments(after, columns, by, "after")
-    out = old.join(new, [*by, "column"])
+    moments = [f"{stat}_{suffix}" for suffix in ("before", "after") for stat in ("mean", "std")]
+    sides = old.unionByName(new, allowMissingColumns=True)
+    out = sides.groupBy(*[ident(c) for c in by], "column").agg(
+        *[F.any_value(m, F.lit(True)).alias(m) for m in moments])
 
     def shift(name: str) -> Column:
         b, a = F.col(f"{name}_before"), F.col(f"{name}_after")
@@ -129,13 +140,25 @@ def relationships(before: DataFrame, after: DataFrame, left: str, right: str) ->
 
 
 def _paired(before: DataFrame, after: DataFrame, row_key: list[str], columns: list[str]) -> DataFrame:
-    """Old and new values side by side; the row key is unique and not anonymized."""
+    """Old and new values side by side; the row key is unique and not anonymized.
+
+    Rows of one side alone stay, with ``was`` or ``is`` null and no values of the
+    other side; so do rows whose key has a null.
+    """
     missing = [c for c in [*row_key, *columns] if c not in before.columns or c not in after.columns]
     if missing:
         raise PolicyError(f"not in both tables: {missing}")
-    old = before.select(*[ident(k) for k in row_key], *[ident(c).alias(f"old {c}") for c in columns])
-    new = after.select(*[ident(k) for k in row_key], *[ident(c).alias(f"new {c}") for c in columns])
-    return old.join(new, row_key)
+    here = F.lit(True)
+    old = before.select(
+        *[ident(k) for k in row_key], here.alias(_WAS), *[ident(c).alias(f"old {c}") for c in columns])
+    new = after.select(
+        *[ident(k) for k in row_key], here.alias(_IS), *[ident(c).alias(f"new {c}") for c in columns])
+    return old.join(new, row_key, "full")
+
+
+def _unpaired() -> list[Column]:
+    """How many rows are in one table only."""
+    return [F.count_if(ident(_IS).isNull()).alias("missing_rows"), F.count_if(ident(_WAS).isNull()).alias("extra_rows")]
 
 
 def digit_run(old: Column, new: Column, length: int) -> Column:
@@ -151,8 +174,9 @@ def digit_run(old: Column, new: Column, length: int) -> Column:
 def leaks(
     before: DataFrame, after: DataFrame, row_key: list[str], columns: list[str], digits: int | None = None
 ) -> DataFrame:
-    """Rows whose output equals the input or, if asked, keeps a run of its digits."""
+    """Rows whose output equals the input or, if asked, keeps a run of its digits; rows without a partner are counted."""
     pairs = _paired(before, after, row_key, columns)
+    both = ident(_WAS) & ident(_IS)
     stats = []
     for c in columns:
         old = canon(ident(f"old {c}"), before.schema[c].dataType)
@@ -160,15 +184,16 @@ def leaks(
         run = digit_run(old, new, digits) if digits else F.lit(None).cast("boolean")
         stats.append(F.struct(
             F.lit(c).alias("column"),
-            F.count(old).alias("values"),
+            F.count(F.when(both, old)).alias("values"),
             F.count_if(old == new).alias("unchanged"),
             F.count_if(run).alias("digit_runs"),
+            *_unpaired(),
         ))
     return pairs.agg(F.array(*stats).alias("s")).select(F.inline("s"))
 
 
 def noise(before: DataFrame, after: DataFrame, row_key: list[str], columns: list[str]) -> DataFrame:
-    """Bounds, centre and variation of what was added to each column."""
+    """Bounds, centre and variation of what was added to each column; rows without a partner are counted."""
     pairs = _paired(before, after, row_key, columns)
     stats = []
     for c in columns:
@@ -180,19 +205,19 @@ def noise(before: DataFrame, after: DataFrame, row_key: list[str], columns: list
             F.max(added).alias("max_noise"),
             F.avg(added).alias("mean_noise"),
             F.stddev_samp(added).alias("std_noise"),
+            *_unpaired(),
         ))
     return pairs.agg(F.array(*stats).alias("s")).select(F.inline("s"))
 
 
 def k_threshold(df: DataFrame, columns: list[str], k: int) -> DataFrame:
-    """Per column the smallest group of values that were not suppressed."""
-    kept = _values(df, columns).filter((F.col("value") != SUPPRESSED) | F.col("value").isNull())
-    n = F.when(F.col("value").isNotNull(), F.col("n"))
-    return kept.groupBy("column").agg(
-        F.count("value").alias("values"),
-        F.min(n).alias("min_group"),
-        F.count_if(n < k).alias("below_k"),
-    ).withColumn("holds", F.col("below_k") == 0)
+    """Per asked column the smallest group of values that were not suppressed; null if none is left."""
+    n = F.when(F.col("value") != SUPPRESSED, F.col("n"))
+    kept = _values(df, columns).groupBy("column").agg(
+        F.count(n).alias("values"), F.min(n).alias("min_group"), F.count_if(n < k).alias("below_k"))
+    asked = local_table(df.sparkSession, column=pa.array(columns, pa.string()))
+    return asked.join(kept, "column", "left").fillna(0, ["values", "below_k"]).withColumn(
+        "holds", F.col("below_k") == 0)
 
 
 def class_sizes(df: DataFrame, quasi_ids: list[str]) -> DataFrame:
@@ -204,10 +229,13 @@ def class_sizes(df: DataFrame, quasi_ids: list[str]) -> DataFrame:
 
 
 def class_sizes_by_subset(df: DataFrame, quasi_ids: list[str]) -> DataFrame:
-    """Smallest class and number of classes for every subset of the quasi-identifiers."""
-    cube = df.cube(*[ident(c) for c in quasi_ids]).agg(
-        F.grouping_id().alias("left_out"), F.count(F.lit(1)).alias("size")
-    )
+    """Smallest class and number of classes for every subset of the quasi-identifiers.
+
+    Only the classes of all of them are multiplied by the subsets, not the rows.
+    """
+    keys = [ident(c) for c in quasi_ids]
+    classes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__veil_n"))
+    cube = classes.cube(*keys).agg(F.grouping_id().alias("left_out"), F.sum("__veil_n").alias("size"))
     return cube.groupBy("left_out").agg(
         F.count(F.lit(1)).alias("classes"), F.min("size").alias("min_class")
     )

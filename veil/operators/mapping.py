@@ -24,7 +24,7 @@ _VALUE = "__veil_value"
 def build_vault(
     sources: list[tuple[DataFrame, str]], settings: Settings, prefix: str = "ID", width: int = 8
 ) -> DataFrame:
-    """One code per distinct value of all sources: ``value``, ``code``, ``widened``.
+    """One code per distinct value of all sources: ``value``, ``code``, ``widened``.  It is stored.
 
     A code is the shortest of the first 1, 2, 4, ... times ``width`` digits of
     the digest that no other value shares.  Values meet only values with the
@@ -47,26 +47,26 @@ def build_vault(
         shared = F.count(F.lit(1)).over(Window.partitionBy(*keys[: i + 1]))
         coded = coded.withColumn(f"n{i}", shared)
         code = F.when(F.col(f"n{i}") == 1, F.col(keys[i])).otherwise(code)
-    return coded.select(
+    return materialize(coded.select(
         "value",
         F.concat(F.lit(f"{prefix}_"), code).alias("code"),
         (F.length(code) > width).alias("widened"),
-    )
+    ))
 
 
 def apply_vault(
-    df: DataFrame, column: str, vault: DataFrame, settings: Settings, prefix: str = "ID", width: int = 8
+    df: DataFrame, column: str, vault: DataFrame, settings: Settings, prefix: str = "ID"
 ) -> DataFrame:
     """Replace a column by its vault codes.
 
-    All codes but the widened ones follow from the digest, so only those, few as
-    they are, are looked up.
+    A value that the vault does not have gets its whole digest, which no other
+    value has; a short code might be another value's.
     """
     text = canon(ident(column), df.schema[column].dataType)
-    plain = F.substring(Secrets(df.sparkSession, settings).digest(F.col(_VALUE)), 1, width)
-    widened = vault.filter("widened").select(F.col("value").alias(_VALUE), F.col("code").alias("__veil_code"))
-    out = attach(df.withColumn(_VALUE, text), [_VALUE], materialize(widened))
-    code = F.coalesce(F.col("__veil_code"), F.concat(F.lit(f"{prefix}_"), plain))
+    whole = Secrets(df.sparkSession, settings).digest(F.col(_VALUE))
+    codes = vault.select(F.col("value").alias(_VALUE), F.col("code").alias("__veil_code"))
+    out = attach(df.withColumn(_VALUE, text), [_VALUE], codes)
+    code = F.coalesce(F.col("__veil_code"), F.concat(F.lit(f"{prefix}_"), whole))
     return out.withColumn(column, F.when(F.col(_VALUE).isNotNull(), code)).select(
         *[ident(c) for c in df.columns]
     )
