@@ -176,6 +176,14 @@ def test_frequent_lines_need_a_neighbour(spark):
     assert [got[i] for i in range(8)] == [0] * 8 and [got[100 + i] for i in range(8)] == [0] + [2] * 7
 
 
+def test_frequent_lines_go_at_every_size(spark):
+    line = "The same frequent line of text stands in all of these documents."
+    rows = [(i, f"Own first line of document {i} as it is\n{line}\nOwn last line of document {i}") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["n_deleted"] for r in line_dedup.delete_common_lines(df).collect()}
+    assert got == {i: min(i, 1) for i in range(120)}
+
+
 def test_lines_of_odd_tables(clashing, nothing):
     out = line_dedup.delete_common_lines(clashing)
     assert out.columns == [*clashing.columns, "n_deleted_"] and out.count() == clashing.count()

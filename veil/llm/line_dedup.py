@@ -1,12 +1,14 @@
 """Line deduplication by pairwise alignment.
 
-Documents are paired through shared line hashes.  A rare line pairs every later
-document that has it with the earliest one; so does each run of two lines,
-however frequent, so that the number of pairs follows the number of lines and a
-block of frequent lines is found as well.  A pair is aligned by patience diff on
-line hashes: lines that stand once in both are the anchors, the longest run of
-anchors in order is kept, and matches grow from there.  Aligned blocks with
-enough text are deleted from the later document.  Of equal texts the earliest
+Documents are paired through shared runs of lines.  The shortest runs
+from and up to every line that have enough text for a block are keys; a line that
+is long enough is one by itself, however frequent.  Every line of a block worth
+deleting lies in a key inside the block.  A key pairs each later document with
+the earliest that has it, so the number of pairs follows the number of lines.
+
+A pair is aligned by patience diff on line hashes: lines that stand once in both
+are the anchors, the longest run of anchors in order is kept, and matches grow
+from there.  Aligned blocks with enough text are deleted from the later document.  Of equal texts the earliest
 document stays whole and the others lose all their lines.
 """
 
@@ -14,16 +16,45 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from veil.llm.rows import col, digest, fresh, order_key, whole_text
+from veil.llm.rows import col, digest, fresh, mixed, order_key, whole_text
 from veil.operators.materialize import materialize
 
-#: A line in more distinct texts than this is frequent; it pairs documents only together with a neighbour.
-RARE = 50
 #: Characters without white space that a block needs at least.
 BLOCK_CHARS = 40
+_FACTOR = 0xD6E8FEB86659FD93
+
+
+def least_runs(sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the shortest runs of ``least`` characters from each line that is not blank."""
+    ahead = np.concatenate([[0], np.cumsum(sizes)])
+    starts = np.flatnonzero(sizes > 0)
+    ends = np.searchsorted(ahead, ahead[starts] + least)
+    return starts[ends <= len(sizes)], ends[ends <= len(sizes)]
+
+
+def key_runs(sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the shortest runs from and up to each line: every line of a block lies in one inside it."""
+    starts, ends = least_runs(sizes, least)
+    ahead = np.concatenate([[0], np.cumsum(sizes)])
+    last = np.flatnonzero(sizes > 0) + 1
+    last = last[ahead[last] >= least]
+    spans = np.unique(np.concatenate([
+        np.stack([starts, ends], axis=1),
+        np.stack([np.searchsorted(ahead, ahead[last] - least, side="right") - 1, last], axis=1)]), axis=0)
+    return spans[:, 0], spans[:, 1]
+
+
+def run_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of lines from ``starts`` to before ``ends``."""
+    n = len(hashes)
+    power = np.cumprod(np.full(n + 1, _FACTOR, dtype=np.uint64), dtype=np.uint64)
+    back = np.cumprod(np.full(n + 1, pow(_FACTOR, -1, 2**64), dtype=np.uint64), dtype=np.uint64)
+    ahead = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mixed(hashes) * power[:n], dtype=np.uint64)])
+    return mixed((ahead[ends] - ahead[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -98,21 +129,60 @@ def _lines(text: Column) -> Column:
     return F.transform(F.split(text, "\n", -1), line)
 
 
-def _pairs(texts: DataFrame, rare: int) -> DataFrame:
-    """(later, earlier) text ids; ``texts`` has text_id, first (its place among documents) and lines."""
-    single = F.filter("lines", lambda x: x["size"] > 0)
-    keys = texts.select("text_id", "first", F.explode(F.array_union(
-        F.transform(single, lambda x: F.struct(F.lit(1).alias("run"), x["hash"].alias("hash"))),
-        F.when(F.size(single) > 1, F.zip_with(
-            F.slice(single, F.lit(1), F.size(single) - 1), F.slice(single, F.lit(2), F.size(single) - 1),
-            lambda x, y: F.struct(F.lit(2).alias("run"), F.xxhash64(x["hash"], y["hash"]).alias("hash")))).otherwise(
-            F.array().cast("array<struct<run:int,hash:bigint>>")))).alias("key"))
-    keys = keys.select("text_id", "first", "key.run", "key.hash")
-    hubs = keys.groupBy("run", "hash").agg(
-        F.count("*").alias("n"), F.min(F.struct("first", "text_id")).alias("hub")).filter(
-        (F.col("n") > 1) & ((F.col("run") == 2) | (F.col("n") <= rare)))
-    return keys.join(hubs.select("run", "hash", F.col("hub.text_id").alias("earlier")), ["run", "hash"]).filter(
-        F.col("text_id") != F.col("earlier")).select(F.col("text_id").alias("later"), "earlier").distinct()
+def _keys(texts: DataFrame, least: int, pairs_too: bool) -> DataFrame:
+    """(text_id, hash, single) of the runs in texts (text_id, lines, places) that ``places`` don't cover.
+
+    With ``pairs_too`` a line that is a run by itself also makes one with the next.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for text_id, lines, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                hashes = np.array([x["hash"] for x in lines], dtype=np.int64).view(np.uint64)
+                sizes = np.array([x["size"] for x in lines], dtype=np.int64)
+                starts, ends = key_runs(sizes, least)
+                if pairs_too:
+                    ahead = np.concatenate([[0], np.cumsum(sizes)])
+                    longer = np.searchsorted(ahead, ahead[ends] + 1)
+                    more = (ends - starts == 1) & (longer <= len(sizes))
+                    starts, ends = np.concatenate([starts, starts[more]]), np.concatenate([ends, longer[more]])
+                open_ = np.ones(len(sizes), dtype=np.int64)
+                open_[places or []] = 0
+                left = np.concatenate([[0], np.cumsum(open_)])
+                uncovered = left[ends] > left[starts]
+                starts, ends = starts[uncovered], ends[uncovered]
+                found, at = np.unique(run_hashes(hashes, starts, ends), return_index=True)
+                if len(found):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([text_id] * len(found), pa.binary()), pa.array(found.view(np.int64)),
+                         pa.array(ends[at] - starts[at] == 1)], ["text_id", "hash", "single"])
+
+    return texts.select("text_id", "lines", "places").mapInArrow(run, "text_id binary, hash bigint, single boolean")
+
+
+def _ranked(texts: DataFrame, rare: int | None, least: int) -> DataFrame:
+    """(hash, rank, text_id) of the runs that several texts have, ranked by the place of the texts."""
+    unread = texts.withColumn("places", F.lit(None).cast("array<int>"))
+    same = Window.partitionBy("hash")
+    ranked = _keys(unread, least, rare is not None).join(texts.select("text_id", "first"), "text_id").select(
+        "hash", "text_id", "single", F.row_number().over(same.orderBy("first", "text_id")).alias("rank"),
+        F.count("*").over(same).alias("n"))
+    wanted = F.col("n") > 1
+    return ranked.filter(wanted if rare is None else wanted & (~F.col("single") | (F.col("n") <= rare))).select(
+        "hash", "rank", "text_id")
+
+
+def _deleted(texts: DataFrame, rare: int | None, least: int) -> DataFrame:
+    """(text_id, places): the lines in blocks that earlier texts have."""
+    ranked = materialize(_ranked(texts, rare, least))
+    lines = texts.select("text_id", "lines")
+    hubs = ranked.filter("rank = 1").select("hash", F.col("text_id").alias("earlier"))
+    pairs = ranked.filter("rank > 1").join(hubs, "hash").select(F.col("text_id").alias("later"), "earlier").distinct()
+    both = pairs.join(
+        lines.select(F.col("text_id").alias("later"), F.col("lines").alias("later_lines")), "later").join(
+        lines.select(F.col("text_id").alias("earlier"), F.col("lines").alias("earlier_lines")), "earlier")
+    return _aligned(both, least).groupBy("text_id").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
 
 
 def _aligned(pairs: DataFrame, least: int) -> DataFrame:
@@ -134,7 +204,7 @@ def _aligned(pairs: DataFrame, least: int) -> DataFrame:
         run, "text_id binary, places array<int>")
 
 
-def line_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rare: int = RARE,
+def line_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rare: int | None = None,
                     least: int = BLOCK_CHARS) -> DataFrame:
     """(text_id, first_id, places) for each distinct text that has something to delete or occurs again.
 
@@ -144,12 +214,7 @@ def line_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     source = docs.select(col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
     source = source.select("doc_id", digest(F.col("text")).alias("text_id"), "text")
     texts = materialize(_distinct_texts(source))
-    pairs = _pairs(texts, rare)
-    lines = texts.select("text_id", "lines")
-    both = pairs.join(lines.select(F.col("text_id").alias("later"), F.col("lines").alias("later_lines")), "later").join(
-        lines.select(F.col("text_id").alias("earlier"), F.col("lines").alias("earlier_lines")), "earlier")
-    deleted = _aligned(both, least).groupBy("text_id").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
+    deleted = _deleted(texts, rare, least)
     return texts.select("text_id", F.col("first.doc_id").alias("first_id"), "several").join(
         deleted, "text_id", "left").filter(F.col("several") | F.col("places").isNotNull()).select(
         "text_id", "first_id", "places")
@@ -162,7 +227,7 @@ def _distinct_texts(source: DataFrame) -> DataFrame:
                                 F.any_value("lines").alias("lines"))
 
 
-def delete_common_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rare: int = RARE,
+def delete_common_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rare: int | None = None,
                         least: int = BLOCK_CHARS, out: str = "n_deleted") -> DataFrame:
     """All rows with their text without the lines that an earlier document has in an aligned block.
 
@@ -171,7 +236,8 @@ def delete_common_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     id, same text) are one document: all of them keep or lose the same lines.  A
     null text stays null; an empty one has nothing to lose.  Lines without a
     character but white space pair no documents but go with the block around
-    them.  ``out`` counts the deleted lines (underscores follow if the name is
+    them.  With ``rare``, a line in more distinct texts than that pairs documents
+    only together with a neighbour.  ``out`` counts the deleted lines (underscores follow if the name is
     taken); an empty table stays empty.
     """
     name, at, first, places, known = fresh(docs, out, "at", "first", "places", "known")
