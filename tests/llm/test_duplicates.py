@@ -184,6 +184,43 @@ def test_frequent_lines_go_at_every_size(spark):
     assert got == {i: min(i, 1) for i in range(120)}
 
 
+def brute_lines(rows):
+    """Each text against all earlier texts."""
+    split = {key: [(x.strip(), len(re.sub(r"\s", "", x))) for x in text.split("\n")] for key, text in rows}
+    out = {}
+    for key, own in split.items():
+        lost = set()
+        for other in (o for k, o in split.items() if k < key):
+            lost |= set(line_dedup.common_blocks([x for x, _ in other], [x for x, _ in own], [n for _, n in own]))
+        out[key] = len({i for i in lost if own[i][1]})
+    return out
+
+
+P1, P2 = "A first line of the passage that stands in the hub twice.", "A second line of the passage that is shared by all of them."
+
+
+def test_other_partners_than_the_first(spark):
+    # The hub holds the passage twice.
+    rows = [(0, f"x\n{P1}\n{P2}\ny\n{P1}\n{P2}\nz")] + [(i, f"own {i}\n{P1}\n{P2}\nend {i}") for i in range(1, 5)]
+    # Short lines whose runs of two have different hubs.
+    a, b, c = "fifteen letters", "and again fifteen", "the last fifteen"
+    rows += [(10, f"o\n{a}\n{b}\np"), (11, f"q\n{b}\n{c}\nr"), (12, f"s\n{a}\n{b}\n{c}\nt"), (13, f"u\n{a}\n{b}\n{c}\nv")]
+    # The first document has the passages in the other order.
+    rows += [(20, f"{P1}!\no20\n{P2}!"), (21, f"o21\n{P1}!\ne21"), (22, f"o22\n{P2}!\ne22"), (23, f"{P2}!\no23\n{P1}!")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: r["n_deleted"] for r in line_dedup.delete_common_lines(df).collect()}
+    assert got == {0: 0} | {i: 2 for i in range(1, 5)} | {10: 0, 11: 0, 12: 0, 13: 3} | {20: 0, 21: 1, 22: 1, 23: 2}
+
+
+def test_lines_against_all_earlier_documents(spark):
+    draw = random.Random(8)
+    lines = [f"line {n} " + "abc" * draw.randrange(1, 16) for n in range(12)]
+    rows = [(i, "\n".join(draw.choice(lines) for _ in range(draw.randrange(1, 9))) + f"\n{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    out = {r["doc_id"]: r["n_deleted"] for r in line_dedup.delete_common_lines(df).collect()}
+    assert out == brute_lines(rows)
+
+
 def test_lines_of_odd_tables(clashing, nothing):
     out = line_dedup.delete_common_lines(clashing)
     assert out.columns == [*clashing.columns, "n_deleted_"] and out.count() == clashing.count()

@@ -3,12 +3,16 @@
 Documents are paired through shared runs of lines.  The shortest runs
 from and up to every line that have enough text for a block are keys; a line that
 is long enough is one by itself, however frequent.  Every line of a block worth
-deleting lies in a key inside the block.  A key pairs each later document with
-the earliest that has it, so the number of pairs follows the number of lines.
+deleting lies in a key inside the block.  A key pairs each later document with the earliest
+that has it; places that the alignment leaves uncovered go on to the next
+documents that have their keys, twice as many in each round, until none are left.
+So the number of pairs follows the number of lines, not its square, unless a key
+stays uncovered in many documents.
 
 A pair is aligned by patience diff on line hashes: lines that stand once in both
 are the anchors, the longest run of anchors in order is kept, and matches grow
-from there.  Aligned blocks with enough text are deleted from the later document.  Of equal texts the earliest
+from there; between anchors the longest common runs follow.  Aligned blocks with
+enough text are deleted from the later document.  Of equal texts the earliest
 document stays whole and the others lose all their lines.
 """
 
@@ -77,8 +81,39 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def patience(a: list, b: list) -> list[tuple[int, int]]:
-    """Matching places of two sequences, in order in both."""
+def _longest_run(a: list, b: list, sizes: list[int], least: int) -> list[tuple[int, int]]:
+    """The common run with the most text, if that is ``least`` or more; ``sizes`` are those of ``b``."""
+    number, size = {x: n for n, x in enumerate(dict.fromkeys([*a, *b]))}, dict(zip(b, sizes, strict=True))
+    hashes = [np.array([number[x] for x in s], dtype=np.uint64) for s in (a, b)]
+    weights = [np.array([size.get(x, 0) for x in s], dtype=np.int64) for s in (a, b)]
+    low, high, best = least, int(min(w.sum() for w in weights)), None
+    while low <= high:
+        middle = (low + high) // 2
+        (s, e), (t, f) = (least_runs(w, middle) for w in weights)
+        _, i, j = np.intersect1d(run_hashes(hashes[0], s, e), run_hashes(hashes[1], t, f), return_indices=True)
+        if len(i):
+            first = np.argmin(j)
+            best, low = (int(s[i[first]]), int(t[j[first]])), middle + 1
+        else:
+            high = middle - 1
+    if best is None:
+        return []
+    (i, j), out = best, []
+    while i and j and a[i - 1] == b[j - 1]:
+        i, j = i - 1, j - 1
+    while i < len(a) and j < len(b) and a[i] == b[j]:
+        out.append((i, j))
+        i, j = i + 1, j + 1
+    return out
+
+
+def patience(a: list, b: list, sizes: list[int] | None = None, least: int = 1) -> list[tuple[int, int]]:
+    """Matching places of two sequences, in order in both.
+
+    Where no element stands once in both, the longest common run of ``least`` or
+    more is the anchor; ``sizes`` of the second sequence say how much its elements count.
+    """
+    sizes = [1] * len(b) if sizes is None else sizes
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -99,6 +134,8 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
             if once.get(b[j], -1) >= 0:
                 other[b[j]] = j if b[j] not in other else -1
         anchors = _increasing(sorted((once[x], j) for x, j in other.items() if j >= 0))
+        if not anchors:
+            anchors = [(a0 + i, b0 + j) for i, j in _longest_run(a[a0:a1], b[b0:b1], sizes[b0:b1], least)]
         if not anchors:
             continue
         edges = [(a0 - 1, b0 - 1), *anchors, (a1, b1)]
@@ -110,7 +147,7 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
 def common_blocks(earlier: list, later: list, sizes: list[int], least: int = BLOCK_CHARS) -> list[int]:
     """Places in the later sequence that lie in an aligned block of ``least`` characters or more."""
     out, block = [], []
-    for a, b in [*patience(earlier, later), (-1, -1)]:
+    for a, b in [*patience(earlier, later, sizes, least), (-1, -1)]:
         if block and (a, b) != (block[-1][0] + 1, block[-1][1] + 1):
             if sum(sizes[j] for _, j in block) >= least:
                 out += [j for _, j in block]
@@ -176,13 +213,27 @@ def _deleted(texts: DataFrame, rare: int | None, least: int) -> DataFrame:
     """(text_id, places): the lines in blocks that earlier texts have."""
     ranked = materialize(_ranked(texts, rare, least))
     lines = texts.select("text_id", "lines")
-    hubs = ranked.filter("rank = 1").select("hash", F.col("text_id").alias("earlier"))
-    pairs = ranked.filter("rank > 1").join(hubs, "hash").select(F.col("text_id").alias("later"), "earlier").distinct()
-    both = pairs.join(
-        lines.select(F.col("text_id").alias("later"), F.col("lines").alias("later_lines")), "later").join(
-        lines.select(F.col("text_id").alias("earlier"), F.col("lines").alias("earlier_lines")), "earlier")
-    return _aligned(both, least).groupBy("text_id").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
+    low, high, found = 1, 1, None
+    open_ = ranked.filter("rank > 1")
+    while True:
+        earlier = ranked.filter(F.col("rank").between(low, high)).select(
+            "hash", F.col("rank").alias("before"), F.col("text_id").alias("earlier"))
+        pairs = open_.join(earlier, "hash").filter("before < rank").select(
+            F.col("text_id").alias("later"), "earlier").distinct()
+        both = pairs.join(
+            lines.select(F.col("text_id").alias("later"), F.col("lines").alias("later_lines")), "later").join(
+            lines.select(F.col("text_id").alias("earlier"), F.col("lines").alias("earlier_lines")), "earlier")
+        new = _aligned(both, least)
+        places = (new if found is None else found.unionByName(new)).groupBy("text_id").agg(
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
+        found = materialize(places)
+        more = open_.filter(F.col("rank") > high + 1)
+        left = lines.join(more.select("text_id").distinct(), "text_id").join(found, "text_id", "left")
+        open_ = materialize(more.join(_keys(left, least, rare is not None).select("text_id", "hash"),
+                                      ["text_id", "hash"]))
+        if open_.isEmpty():
+            return found
+        low, high = high + 1, 2 * high + 1
 
 
 def _aligned(pairs: DataFrame, least: int) -> DataFrame:
@@ -237,7 +288,8 @@ def delete_common_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     null text stays null; an empty one has nothing to lose.  Lines without a
     character but white space pair no documents but go with the block around
     them.  With ``rare``, a line in more distinct texts than that pairs documents
-    only together with a neighbour.  ``out`` counts the deleted lines (underscores follow if the name is
+    only together with a neighbour.  A document is aligned with one earlier
+    document at a time: passages that none has in its order stay but one.  ``out`` counts the deleted lines (underscores follow if the name is
     taken); an empty table stays empty.
     """
     name, at, first, places, known = fresh(docs, out, "at", "first", "places", "known")
