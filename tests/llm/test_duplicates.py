@@ -1,5 +1,6 @@
 """Near duplicates, repeated strings, common lines and benchmark overlaps against brute force."""
 
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -273,6 +274,34 @@ def test_overlaps(spark):
     assert sum(r["n_items"] > 0 for r in got.values()) > 15
 
 
+def test_a_mask_fits_whatever_is_substituted():
+    masks = [int(m, 2) for m in decontaminate.MASKS]
+    for size in range(10, 26):
+        # A shorter item counts whole, so that it begins and ends with equal words.
+        free = range(size) if size >= decontaminate.LEAST_TOKENS else range(1, size - 1)
+        for places in itertools.combinations(free, size // 5):
+            swapped = sum(1 << p for p in places)
+            assert any(not swapped & m << at for m in masks for at in range(size - m.bit_length() + 1)), (size, places)
+
+
+def test_all_overlaps_are_found(spark):
+    draw = random.Random(9)
+    vocabulary = [f"t{i}" for i in range(4000)]
+    items = [[draw.choice(vocabulary) for _ in range(n)] for n in (10, 11, 12, 13, 15, 20, 40, 200)]
+    rows = []
+    for i in range(120):
+        words, part = [draw.choice(vocabulary) for _ in range(30)], list(items[i % 8])
+        every = range(2, len(part) - 1, 5) if i < 8 else draw.sample(range(1, len(part) - 1), len(part) // 5)
+        for at in every:
+            part[at] = "swapped"
+        rows.append((i, " ".join(words[:15] + part + words[15:])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    tests = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id int, text string")
+    got = {r["doc_id"]: (r["n_items"], r["longest"]) for r in decontaminate.mark_contaminated(docs, tests).collect()}
+    for key, text in rows:
+        assert got[key] == (1, brute_overlap(text.split(), items[key % 8])), key
+
+
 def test_overlap_by_brute_force():
     draw = np.random.default_rng(6)
     for _ in range(300):

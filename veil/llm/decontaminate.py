@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame, functions as F
 from veil.llm.rows import Words, col, digest, fresh, mixed, whole_text
 from veil.operators.materialize import materialize
 
-#: 1: the token counts, 0: it may differ.  Two substitutions at most four apart leave one of them untouched.
-MASKS = ("1111011011", "1101101111", "1110110111", "1011111101")
+#: 1: the token counts, 0: it may differ.  However a fifth of the tokens of an overlap is substituted, one of them fits
+#: at some place: a test enumerates 10 to 25 tokens, and of a longer overlap some part of 13 to 25 keeps to the share.
+MASKS = ("1101111", "1100010111", "11111001", "1110001011", "10110111", "111111")
 #: Tokens that an overlap needs, or the whole item if that is shorter; and the share of them that may differ.
 LEAST_TOKENS, SUBSTITUTED = 13, 0.2
 #: Cells of the bit table, of which each hash has two; with very many test hashes it passes more places on to the join.
@@ -103,7 +104,7 @@ def _item_seeds(items: DataFrame, masks, least: int) -> DataFrame:
             for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 tokens = make.of(text)
                 found = seeds(tokens, masks)
-                if 0 < len(tokens) < min(map(len, masks)):
+                if 0 < len(tokens) < max(map(len, masks)):
                     found = [(short_hashes(tokens, len(tokens)), np.zeros(1, dtype=np.int64))]
                 for h, at in found:
                     hashes.append(h.view(np.int64))
@@ -206,7 +207,7 @@ def contaminated_texts(docs: DataFrame, items: DataFrame, text: str = "text", it
         F.pmod("hash", F.lit(CELLS)).cast("int").alias("cell")).distinct().toPandas()["cell"]
     bits = np.zeros(CELLS, dtype=bool)
     bits[cells.to_numpy(dtype=np.int64)] = True
-    shortest = min(map(len, masks))
+    shortest = max(map(len, masks))
     short = [r["n"] for r in tokens.select(F.size("tokens").alias("n")).filter(
         (F.col("n") > 0) & (F.col("n") < shortest)).distinct().collect()]
     source = docs.select(digest(whole_text(text)).alias("text_id"), whole_text(text).alias("text"))
