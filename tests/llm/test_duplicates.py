@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veil.llm import decontaminate, line_dedup, ngram_join, repeats
 from veil.llm.components import components
@@ -57,6 +58,16 @@ def test_near_duplicates(spark, docs, edges, chunk_chars):
     assert Counter((r["doc_id"], r["class_id"], r["links"]) for r in got) == brute_classes(rows)
 
 
+def test_members_of_a_block_are_bounded(spark):
+    rows = near_copies(3, groups=3, size=30)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = ngram_join.near_duplicates(df, chunk_members=4).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["links"]) for r in got) == brute_classes(rows)
+    texts = spark.range(9000).select(F.array(F.lit("h")).alias("hubs"), F.lit("short text").alias("text"))
+    sizes = ngram_join._chunks(texts, ngram_join.CHUNK_CHARS, ngram_join.CHUNK_MEMBERS)
+    assert [r["chunks"] for r in sizes.collect()] == [5]
+
+
 def test_one_of_each_class_stays(spark, edges, clashing, nothing):
     kept = ngram_join.keep_one(clashing)
     assert kept.columns == clashing.columns

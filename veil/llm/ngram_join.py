@@ -7,7 +7,7 @@
    smallest class; a class takes part in the cells of all its hubs, so classes
    that share a bucket share a cell.  A cell's size does not depend on the number
    of its buckets, and no pairs are written anywhere.
-3. Cells with much text are dealt into chunks, and each pair of chunks is a block
+3. Cells with much text or many members are dealt into chunks, and each pair of chunks is a block
    of its own.  A block counts, in numpy, the shingles that its members share,
    keeps the pairs that reach the similarity, and returns one row for a member:
    how many documents it is linked to, and the root of its group in the block.  A
@@ -34,6 +34,8 @@ SIZE, SIMILARITY, RECALL = 5, 0.8, 0.999
 MOST_HASHES = 144
 #: Characters of text in a chunk of a cell; a block holds two chunks.
 CHUNK_CHARS = 2_000_000
+#: Members of a chunk, about; the memory of a block grows with the square of its members.
+CHUNK_MEMBERS = 2_000
 _WORD = re.compile(r"\w+")
 
 
@@ -220,7 +222,8 @@ def _verified(cells: DataFrame, similarity: float, size: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
-                    recall: float = RECALL, size: int = SIZE, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+                    recall: float = RECALL, size: int = SIZE, chunk_chars: int = CHUNK_CHARS,
+                    chunk_members: int = CHUNK_MEMBERS) -> DataFrame:
     """One row for each document: (doc_id, text_id, class_id, links, copies).
 
     Texts are linked if the Jaccard similarity of their n-grams is ``similarity``
@@ -257,8 +260,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")) &
                         (F.col("text_id") == F.col("first_text"))).select("set_id", "docs", "hubs", "text")
     pieces = texts.select("*", F.explode("hubs").alias("hub"))
-    sizes = texts.select(F.explode("hubs").alias("hub"), F.length("text").alias("chars")).groupBy("hub").agg(
-        F.sum("chars").alias("chars")).select("hub", F.ceil(F.col("chars") / chunk_chars).cast("int").alias("chunks"))
+    sizes = _chunks(texts, chunk_chars, chunk_members)
     links = materialize(_verified(_dealt(pieces, sizes), similarity, size))
 
     roots = components(links.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
@@ -273,6 +275,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("links"), F.col("docs").alias("copies"))
 
 
+def _chunks(texts: DataFrame, chunk_chars: int, chunk_members: int) -> DataFrame:
+    """(hub, chunks) so that neither the text nor the members of a chunk are too many."""
+    sizes = texts.select(F.explode("hubs").alias("hub"), F.length("text").alias("chars")).groupBy("hub").agg(
+        F.sum("chars").alias("chars"), F.count("*").alias("members"))
+    return sizes.select("hub", F.greatest(F.ceil(F.col("chars") / chunk_chars), F.ceil(
+        F.col("members") / chunk_members)).cast("int").alias("chunks"))
+
+
 def _dealt(pieces: DataFrame, sizes: DataFrame) -> DataFrame:
     """Members of cells dealt to the blocks of their chunk with itself and with each other chunk."""
     joined = pieces.join(sizes, "hub")
