@@ -313,6 +313,17 @@ def test_all_overlaps_are_found(spark):
         assert got[key] == (1, brute_overlap(text.split(), items[key % 8])), key
 
 
+def test_short_items_may_have_a_word_changed(spark):
+    items = [[f"s{n}w{k}" for k in range(n)] for n in range(1, 10)]
+    rows = [(100 * len(x) + at, " ".join(["before", *x[:at], "swapped", *x[at + 1:], "behind"]))
+            for x in items for at in range(1, len(x) - 1)]
+    rows += [(100 * len(x), " ".join(["before", *x, "behind"])) for x in items]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    tests = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id int, text string")
+    got = {r["doc_id"]: (r["n_items"], r["longest"]) for r in decontaminate.mark_contaminated(docs, tests).collect()}
+    assert got == {key: (1, key // 100) if key % 100 == 0 or key >= 500 else (0, 0) for key, _ in rows}
+
+
 def test_overlap_by_brute_force():
     draw = np.random.default_rng(6)
     for _ in range(300):

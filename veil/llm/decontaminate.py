@@ -12,6 +12,7 @@ stretch of the alignment with a share of substitutions that is allowed.
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -57,16 +58,11 @@ def seeds(tokens: np.ndarray, masks=MASKS) -> list[tuple[np.ndarray, np.ndarray]
     return out
 
 
-def short_hashes(tokens: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all runs of ``size`` tokens, for items that are shorter than a mask."""
-    n = len(tokens) - size + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.full(n, np.uint64(size + 1000))
-    for k in range(size):
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h += tokens[k:k + n]
-    return mixed(h)
+def short_masks(size: int, substituted: float) -> list[str]:
+    """Masks over a whole item that is shorter than a mask: all places of the tokens that may differ."""
+    zeros = min(int(substituted * size + 1e-9), max(0, size - 2))
+    return ["".join("0" if k in out else "1" for k in range(size))
+            for out in combinations(range(1, size - 1), zeros)]
 
 
 def overlap(a: np.ndarray, b: np.ndarray, least: int, substituted: float) -> int:
@@ -94,7 +90,7 @@ def overlap(a: np.ndarray, b: np.ndarray, least: int, substituted: float) -> int
     return best if best >= least else 0
 
 
-def _item_seeds(items: DataFrame, masks, least: int) -> DataFrame:
+def _item_seeds(items: DataFrame, masks, substituted: float) -> DataFrame:
     """(hash, item, place) of all places of the items (item, text), and the items' tokens by the way."""
 
     def run(batches):
@@ -105,7 +101,7 @@ def _item_seeds(items: DataFrame, masks, least: int) -> DataFrame:
                 tokens = make.of(text)
                 found = seeds(tokens, masks)
                 if 0 < len(tokens) < max(map(len, masks)):
-                    found = [(short_hashes(tokens, len(tokens)), np.zeros(1, dtype=np.int64))]
+                    found = seeds(tokens, short_masks(len(tokens), substituted))
                 for h, at in found:
                     hashes.append(h.view(np.int64))
                     places.append(at)
@@ -129,7 +125,7 @@ def _item_tokens(items: DataFrame) -> DataFrame:
     return items.mapInArrow(run, "item binary, tokens array<bigint>")
 
 
-def _regions(docs: DataFrame, table, short: list[int], masks) -> DataFrame:
+def _regions(docs: DataFrame, table, short: list[list[str]], masks) -> DataFrame:
     """The parts of documents (text_id, text) around places whose hash may be an item's.
 
     A region has the tokens from ``AROUND`` before its first place to ``AROUND``
@@ -144,8 +140,8 @@ def _regions(docs: DataFrame, table, short: list[int], masks) -> DataFrame:
             for text_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 tokens = make.of(text)
                 found = []
-                whole = [short_hashes(tokens, size) for size in short]
-                for h, at in seeds(tokens, masks) + [(h, np.arange(len(h))) for h in whole]:
+                whole = [found for same in short for found in seeds(tokens, same)]
+                for h, at in seeds(tokens, masks) + whole:
                     hit = np.flatnonzero(bits[(h & np.uint64(CELLS - 1)).astype(np.int64)])
                     high = (h[hit] >> np.uint64(CELL_BITS)) & np.uint64(CELLS - 1)
                     hit = hit[bits[high.astype(np.int64)]]
@@ -199,7 +195,7 @@ def contaminated_texts(docs: DataFrame, items: DataFrame, text: str = "text", it
     """(text_id, n_items, longest) for each distinct text that overlaps an item; ``items`` may have any size."""
     spark = docs.sparkSession
     tests = items.select(digest(whole_text(item_text)).alias("item"), whole_text(item_text).alias("text")).distinct()
-    hashed = materialize(_item_seeds(tests, masks, least))
+    hashed = materialize(_item_seeds(tests, masks, substituted))
     tokens = materialize(_item_tokens(tests))
     # The table has a fixed number of cells, whatever the number of items.
     both = F.array(F.col("hash"), F.shiftrightunsigned("hash", CELL_BITS))
@@ -211,7 +207,7 @@ def contaminated_texts(docs: DataFrame, items: DataFrame, text: str = "text", it
     short = [r["n"] for r in tokens.select(F.size("tokens").alias("n")).filter(
         (F.col("n") > 0) & (F.col("n") < shortest)).distinct().collect()]
     source = docs.select(digest(whole_text(text)).alias("text_id"), whole_text(text).alias("text"))
-    regions = materialize(_regions(source, spark.sparkContext.broadcast(bits), sorted(short), masks).withColumn(
+    regions = materialize(_regions(source, spark.sparkContext.broadcast(bits), [short_masks(n, substituted) for n in sorted(short)], masks).withColumn(
         "region", F.xxhash64("text_id", F.element_at("places", 1), F.size("tokens"), "tokens")).dropDuplicates(
         ["text_id", "region"]))
     places = regions.select("text_id", "region", F.explode(F.arrays_zip("hashes", "places")).alias("z")).select(
