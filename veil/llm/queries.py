@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veil.llm import (
-    byte_bpe, chat, decontaminate, line_dedup, line_labels, ngram_join, quality, repeats, surrogates, toxicity,
+    byte_bpe, chat, collocations, conversation_repair, decontaminate, line_dedup, line_labels, main_text, ngram_join,
+    quality, repeats, surrogates, toxicity,
 )
 from veil.llm.training import held_out
 
@@ -161,3 +162,85 @@ def op7_suffix_dedup(spark, folder):
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     out = repeats.remove_repeats(docs)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '')"
+
+
+@_query(rf"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang,
+            unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    worded AS (SELECT lang, {_WORDS} AS words FROM pieces),
+    opened AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS pos FROM worded),
+    sized AS (SELECT lang, words, pos, unnest(range(1, least(4, len(words) - pos + 1) + 1)) AS size FROM opened),
+    f AS (SELECT lang, size, array_to_string(words[pos:pos + size - 1], ' ') AS phrase, count(*) AS f
+        FROM sized GROUP BY ALL HAVING count(*) >= 30),
+    totals AS (SELECT lang, cast(sum(len(words)) AS BIGINT) AS n FROM worded GROUP BY lang),
+    candidates AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE size > 1),
+    cuts AS (SELECT *, unnest(range(1, size)) AS k FROM candidates),
+    scored AS (
+        SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r,
+            cast(2000000::HUGEINT * c.a // (x.f::HUGEINT + y.f) AS BIGINT) AS score
+        FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1:c.k], ' ')
+            JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[c.k + 1:], ' ')),
+    best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inner_spans AS (SELECT lang, words, size, a, unnest(range(2, size)) AS inside FROM candidates WHERE size > 2),
+    spans AS (SELECT *, unnest(range(1, size - inside + 2)) AS pos FROM inner_spans),
+    covered AS (SELECT lang, array_to_string(words[pos:pos + inside - 1], ' ') AS phrase, max(a) AS longer
+        FROM spans GROUP BY ALL),
+    kept AS (SELECT b.* FROM best b LEFT JOIN covered c USING (lang, phrase)
+        WHERE c.longer IS NULL OR 100::HUGEINT * c.longer < 80::HUGEINT * b.a),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+""")
+def op13_collocations(spark, folder):
+    return collocations.collocations(_table(spark, folder, "documents").select("text", "lang"))
+
+
+#: On the given pages the main text is the marked article, whose blocks begin or end at four kinds of tags.
+@_query(r"""
+    WITH inner_html AS (
+        SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1),
+            '[\x09-\x0D\x20]+', ' ', 'g') AS body FROM pages),
+    lines AS (SELECT page_id, url, string_split(regexp_replace(regexp_replace(
+        regexp_replace(body, '</?(p|h1)>', chr(10), 'g'), '<br>', ' ', 'g'), '</?b>', '', 'g'), chr(10)) AS blocks
+        FROM inner_html),
+    decoded AS (SELECT page_id, url, list_transform(blocks, lambda b: trim(regexp_replace(regexp_replace(
+        regexp_replace(regexp_replace(regexp_replace(b, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'),
+        '&amp;?', '&', 'g'), ' +', ' ', 'g'))) AS blocks FROM lines),
+    texts AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda b: b <> ''), chr(10)) AS text FROM decoded)
+    SELECT page_id, url, text, length(text) AS n_chars FROM texts
+""")
+def op11_main_text(spark, folder):
+    out = main_text.main_text(_table(spark, folder, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def _damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with rows dropped, emptied, without sentence ends, repeated, or given to the user."""
+    def said(name):
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    damage = F.crc32(F.concat_ws(":", said("conv_id"), said("turn")).cast("binary")) % 20
+    text = F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.regexp_replace(said("text"), "[.!?]", ""))
+    return rows.withColumn("damage", damage).filter("damage != 0").select(
+        "conv_id", "turn", F.when(F.col("damage") == 4, "user").otherwise(said("role")).alias("role"),
+        text.otherwise(said("text")).alias("text"),
+        F.explode(F.array_repeat("damage", F.when(F.col("damage") == 3, 2).otherwise(1))).alias("copy")).drop("copy")
+
+
+@_query()
+def op12_conversation_repair(spark, folder):
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    report, repaired = conversation_repair.repair_conversations(_damaged(rows))
+    digests = conversation_repair.message_digests(repaired)
+    out = rows.select("conv_id").distinct()
+    for part in (report, digests):
+        named = part.withColumnRenamed("conv_id", "id")
+        out = out.join(named, out["conv_id"].eqNullSafe(named["id"]), "left").drop("id")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return out.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts],
+                      F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
