@@ -1,5 +1,8 @@
 """Files to files, datasets of several tables and generated samples."""
 
+import csv
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +59,50 @@ def test_split_files_refuse_quoted_line_breaks(spark, people, tmp_path):
     assert [tuple(r) for r in rows] == [(1, 'x "y", z'), (2, None)]
 
 
+@pytest.mark.parametrize("line_end", ["\n", "\r\n"])
+@pytest.mark.parametrize("block", [40, 700, 1 << 20])
+def test_records_are_the_same_at_any_split(spark, tmp_path, block, line_end):
+    rng = random.Random(block)
+    pieces = ["a", "\n", "\r", "\r\n", '"', ",", " ", "é😀", "", "long text " * 20]
+    wanted = []
+    (tmp_path / "t.csv").mkdir()
+    for part in range(3):
+        rows = [(str(rng.randrange(10**6)), "".join(rng.choices(pieces, k=rng.randrange(6))),
+                 "".join(rng.choices(pieces, k=rng.randrange(3)))) for _ in range(rng.choice([0, 5, 150]))]
+        rows += [("1", "x" + "\n" * 500, "a value over many blocks")]
+        with open(tmp_path / "t.csv" / f"part-{part}.csv", "w", newline="", encoding="utf-8") as out:
+            writer = csv.writer(out, lineterminator=line_end, quoting=csv.QUOTE_ALL)
+            writer.writerows([("a", "b\nb", "c"), *rows])
+        wanted += rows
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    try:
+        options = {"emptyValue": "", "nullValue": "\x00"}
+        found = load_tables(spark, str(tmp_path / "t.csv"), infer_types=False, **options)["Sheet1"]
+        assert found.columns == ["a", "b\nb", "c"]
+        assert sorted(map(tuple, found.collect())) == sorted(wanted)
+        inferred = load_tables(spark, str(tmp_path / "t.csv"), **options)["Sheet1"]
+        assert [t for _, t in inferred.dtypes] == ["int", "string", "string"]
+        if block < 100:
+            assert found.rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_an_open_quote_is_an_error(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('a,b\n1,"x\n')
+    with pytest.raises(ValueError, match="not closed"):
+        load_tables(spark, str(tmp_path / "t.csv"))
+
+
+def test_small_and_empty_files(spark, tmp_path):
+    (tmp_path / "blank.csv").write_text("\n\na,b\n\n1,x\n")
+    (tmp_path / "header.csv").write_text("a,b\n")
+    (tmp_path / "unended.csv").write_text("a,b\n1,x")
+    found = load_tables(spark, str(tmp_path))
+    assert [tuple(r) for r in found["blank"].collect()] == [tuple(r) for r in found["unended"].collect()] == [(1, "x")]
+    assert found["header"].columns == ["a", "b"] and found["header"].count() == 0
+
+
 def test_compressed_tables(spark, tmp_path):
     import gzip
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from veil.errors import PolicyError
+from veil.sources.records import csv_records
 
 SINGLE_TABLE = "Sheet1"
 FORMATS = ("csv", "parquet", "json", "orc")
@@ -98,19 +99,69 @@ def _check_lines(spark: SparkSession, path: str) -> None:
         raise ValueError(f"{path} has quoted line breaks: read it with quoted_line_breaks=True")
 
 
-def _read(spark: SparkSession, entry: Entry, fmt: str, schema, infer: bool, breaks: bool, options: dict) -> DataFrame:
+#: Reader options under which a line break is not all that matters for the records of a file.
+_WHOLE_FILE = ("comment", "encoding", "charset", "lineSep", "escape")
+
+
+def _split_csv(spark: SparkSession, entry: Entry, reader, schema, infer: bool, options: dict) -> DataFrame | None:
+    """A CSV file or folder read in blocks that may begin within a record; None where that is not possible."""
+    if any(o.lower() in map(str.lower, options) for o in _WHOLE_FILE if options.get(o) != "\n"):
+        return None
+    header = str(options.get("header", True)).lower() == "true"
+    records = csv_records(spark, entry.path, options.get("quote", '"'), header)
+    if records is None:
+        return None
+    names = None
+    if schema is None:
+        names = spark.read.options(**{**_CSV, **options}).csv(entry.path).columns
+        if not infer or records.isEmpty():
+            schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    reader = reader.options(**options).options(header=False, lineSep="\n", inferSchema=schema is None)
+    if schema is not None:
+        reader = reader.schema(schema)
+    texts = getattr(records._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    out = DataFrame(reader._jreader.csv(texts), spark)
+    return out if schema is not None else out.toDF(*names)
+
+
+_CSV = {"header": True, "escape": '"', "multiLine": True, "columnPruning": False, "mode": "FAILFAST"}
+
+
+def _read(spark: SparkSession, entry: Entry, fmt: str, schema, infer: bool, breaks: bool, options: dict,
+          split: bool = True) -> DataFrame:
     reader = spark.read.format(fmt)
+    if schema is not None and not isinstance(schema, T.StructType):
+        schema = T.StructType.fromDDL(str(schema))
     if fmt == "csv":
         if not breaks:
             _check_lines(spark, entry.path)
-        reader = reader.options(header=True, escape='"', multiLine=breaks, columnPruning=False, mode="FAILFAST")
+        reader = reader.options(**{**_CSV, "multiLine": breaks})
+        if breaks and split:
+            found = _split_csv(spark, entry, reader, schema, infer, options)
+            if found is not None:
+                return found
         reader = reader if schema is not None else reader.option("inferSchema", infer)
     reader = reader.options(**options)
     if schema is not None:
-        reader = reader.schema(schema if isinstance(schema, T.StructType) else str(schema))
+        reader = reader.schema(schema)
     return reader.load(entry.path)
 
 
+def _chosen(spark: SparkSession, path: str, tables, fmt, schemas: dict) -> dict[str, tuple[Entry, str]]:
+    """The files or folders of the asked tables and their formats."""
+    root = _stat(spark, path)
+    if not root.is_dir or root.suffix in FORMATS:
+        found = {SINGLE_TABLE: root}
+    else:
+        found = {e.stem: e for e in _children(spark, root.path)}
+        if found and all(not e.is_dir and e.name.startswith("part-") for e in found.values()):
+            found = {SINGLE_TABLE: root}
+    unknown = [t for t in [*(tables or []), *schemas] if t not in found]
+    if unknown:
+        raise PolicyError(f"no such tables: {unknown}")
+    return {t: (found[t], check_format(fmt) if fmt else _format_of(spark, found[t])) for t in (tables or found)}
+
+
 def load_tables(
     spark: SparkSession,
     path: str,
@@ -129,33 +180,23 @@ def load_tables(
     and reads the file once more; without ``infer_types`` all columns are text.
 
     A CSV record with too few or too many fields ends the job, at any size.  Values
-    may hold quoted line breaks, for which a file has to be read by one task.
-    Without ``quoted_line_breaks`` files are split; they are checked first, and one
-    that has such a value is an error.
+    may hold quoted line breaks: files are split all the same, after a pass that
+    counts their quotes.  Files in partition folders, and files read with their
+    own comments, encoding, escapes or line ends, are one task each.  Without
+    ``quoted_line_breaks`` that pass only checks them, and a file that has such a
+    value is an error.
     """
     schemas = schemas or {}
-    root = _stat(spark, path)
-    if not root.is_dir or root.suffix in FORMATS:
-        found = {SINGLE_TABLE: root}
-    else:
-        found = {e.stem: e for e in _children(spark, root.path)}
-        if found and all(not e.is_dir and e.name.startswith("part-") for e in found.values()):
-            found = {SINGLE_TABLE: root}
-    unknown = [t for t in [*(tables or []), *schemas] if t not in found]
-    if unknown:
-        raise PolicyError(f"no such tables: {unknown}")
-    chosen = {t: found[t] for t in (tables or found)}
-    kinds = {t: check_format(fmt) if fmt else _format_of(spark, e) for t, e in chosen.items()}
-    return {t: _read(spark, e, kinds[t], schemas.get(t), infer_types, quoted_line_breaks, options)
-            for t, e in chosen.items()}
+    return {t: _read(spark, e, kind, schemas.get(t), infer_types, quoted_line_breaks, options)
+            for t, (e, kind) in _chosen(spark, path, tables, fmt, schemas).items()}
 
 
 def list_columns(
     spark: SparkSession, path: str, tables: list[str] | None = None, fmt: str | None = None
 ) -> dict[str, list[tuple[str, str]]]:
     """The columns and types of each table, to choose methods for; of a CSV only the header is read."""
-    found = load_tables(spark, path, tables, fmt, infer_types=False)
-    return {name: df.dtypes for name, df in found.items()}
+    found = _chosen(spark, path, tables, fmt, {})
+    return {t: _read(spark, e, kind, None, False, True, {}, split=False).dtypes for t, (e, kind) in found.items()}
 
 
 def table_path(root: str, table: str, prefix: str = "anonymized_") -> str:
@@ -176,7 +217,9 @@ def save_tables(
     for name, df in tables.items():
         writer = df.write.format(fmt).mode(mode)
         if fmt == "csv":
-            writer = writer.options(header=True, escape='"')
+            # Blanks and line breaks at the ends of a value are part of it.
+            writer = writer.options(header=True, escape='"', ignoreLeadingWhiteSpace=False,
+                                    ignoreTrailingWhiteSpace=False)
         by = (partition_by or {}).get(name)
         writer = writer.partitionBy(*by) if by else writer
         paths[name] = table_path(root, name, prefix)
