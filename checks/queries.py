@@ -21,7 +21,7 @@ from veil.plans.job import anonymize_tables, run_job
 from veil.plans.presets import preset
 from veil.sources import samples
 from veil.sources.tables import load_tables, save_tables
-from veil.streaming import windowed_k_anonymity
+from veil.streaming import session_k_anonymity, windowed_k_anonymity
 
 SET = Settings(S.SALT, S.KEY)
 PARITY = Settings(S.SALT, S.KEY, parity=True)
@@ -533,6 +533,28 @@ def policy_multi(spark, d):
     }, SET)
 
 
+@query(f"""
+    WITH urgent AS (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT'),
+         places AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS r FROM urgent),
+         prices AS (SELECT o_totalprice AS dealt,
+             row_number() OVER (ORDER BY {S.draw('o_totalprice', 'o_orderkey')}) AS r FROM urgent),
+         n AS (SELECT *, count(*) FILTER (o_orderstatus = 'F') OVER (PARTITION BY o_orderdate) AS n FROM orders)
+    SELECT o_orderkey, o_orderstatus, coalesce(dealt, o_totalprice) AS o_totalprice,
+        CASE WHEN o_orderstatus = 'F' THEN repeat('*', length(o_orderpriority)) ELSE o_orderpriority END AS o_orderpriority,
+        CASE WHEN o_orderstatus <> 'F' OR n >= 3 THEN {S.stamp('o_orderdate')} ELSE '[SUPPRESSED]' END AS o_orderdate,
+        CASE WHEN o_totalprice > 100000 THEN {S.digest('o_custkey::VARCHAR')} ELSE o_custkey::VARCHAR END AS o_custkey
+    FROM n LEFT JOIN places USING (o_orderkey) LEFT JOIN prices USING (r)
+""")
+def policy_where(spark, d):
+    """Rules that hold for some rows: a mask, a digest, k-anonymity counted within them, values dealt among them."""
+    return anonymize(table(spark, d, "orders"), {
+        "o_orderpriority": {"method": "mask", "where": "o_orderstatus = 'F'"},
+        "o_orderdate": {**rule("k_anonymity", k=3), "where": "o_orderstatus = 'F'"},
+        "o_totalprice": {"method": "shuffle", "where": "o_orderpriority = '1-URGENT'"},
+        "o_custkey": {"method": "hash", "where": "o_totalprice > 100000"},
+    }, SET, ["o_orderkey"])
+
+
 @query(f"""
     SELECT c_custkey, {S.digest('c_name')} AS c_name, c_mktsegment,
         CASE WHEN count(*) OVER (PARTITION BY c_nationkey) >= 60 THEN c_nationkey::VARCHAR
@@ -1036,6 +1058,36 @@ def stream_daily_k(spark, d):
     return _drain(windowed_k_anonymity(stream, "ts", "1 day", "user_id", 3, ["event_id"]), scratch_path(spark)).drop("ts")
 
 
+_PAUSE = 3 * 3_600_000_000
+_SESSIONS = f"""
+    WITH e AS (SELECT *, epoch_us(ts) AS us, epoch_us(ts) // 86400000000 AS day FROM events),
+         b AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id, day ORDER BY us) <= {_PAUSE} THEN 0 ELSE 1
+             END AS begins FROM e),
+         s AS (SELECT *, sum(begins) OVER (PARTITION BY user_id, day ORDER BY us RANGE UNBOUNDED PRECEDING) AS session
+             FROM b),
+         n AS (SELECT *, count(*) OVER w AS n, max(us) OVER w AS last_us, max(us) OVER () AS newest FROM s
+             WINDOW w AS (PARTITION BY user_id, day, session))
+    SELECT event_id, CASE WHEN n >= 2 THEN user_id::VARCHAR ELSE '[SUPPRESSED]' END AS user_id, value FROM n
+"""
+
+
+def _sessions(df):
+    columns = df.select("event_id", "ts", "user_id", "value")
+    return session_k_anonymity(columns, "ts", "3 hours", "user_id", 2, ["event_id"])
+
+
+@query(_SESSIONS)
+def events_session_k(spark, d):
+    """Users with a single event in their session of a day."""
+    return _sessions(table(spark, d, "events")).drop("ts")
+
+
+@query(_SESSIONS + f" WHERE last_us + {_PAUSE} <= newest // 1000 * 1000")
+def stream_session_k(spark, d):
+    """Every row of a closed session; sessions up to three hours before the last event stay open."""
+    return _drain(_sessions(_stream(spark, d)), scratch_path(spark)).drop("ts")
+
+
 # --- generated tables -------------------------------------------------------------
 
 

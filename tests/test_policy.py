@@ -215,3 +215,41 @@ def test_names_in_another_case_are_the_same_column(spark, settings):
     assert len(anonymize(df, {"name": "hash"}, loose).first()["Name"]) == 64
     with pytest.raises(PolicyError):
         anonymize(df, {"name": "hash", "NAME": "mask"}, settings)
+
+
+def test_rules_for_some_rows(spark, settings):
+    df = spark.createDataFrame(
+        [(1, "EU", "anna", 1.5), (2, "US", "bob", 2.5), (3, None, "carl", None), (4, "EU", None, 4.0), (5, "EU", "anna", 5.0)],
+        "id int, `re gion` string, name string, pay double")
+    eu = "`re gion` = 'EU'"
+    policy = json.dumps({"t": {
+        "name": {"method": "mask", "where": eu}, "pay": {"method": "generalize_numeric", "where": f"{eu} AND pay > 2"},
+        "re gion": {"method": "k_anonymity", "options": {"k": 2}, "where": "id < 5"}}})
+    out = anonymize_tables({"t": df}, policy, settings)["t"]
+    assert [tuple(r) for r in out.orderBy("id").collect()] == [
+        (1, "EU", "****", "1.5"), (2, "[SUPPRESSED]", "bob", "2.5"), (3, None, "carl", None), (4, "EU", None, "0-9"),
+        (5, "EU", "****", "0-9")]
+
+
+def test_a_condition_may_name_a_removed_column(spark, settings):
+    df = spark.createDataFrame([(1, "x", "a"), (2, "y", "b"), (3, "y", "c"), (4, "y", "d")], "id int, kind string, name string")
+    out = anonymize(df, {"kind": "remove", "name": {"method": "shuffle", "where": "kind = 'y'"}}, settings, ["id"])
+    rows = {r["id"]: r["name"] for r in out.collect()}
+    assert out.columns == ["id", "name"] and rows[1] == "a" and sorted(rows.values()) == ["a", "b", "c", "d"]
+    numbered = anonymize(df, {"name": {"method": "shuffle", "where": "kind = 'y'"}}, settings)
+    assert {r["id"]: r["name"] for r in numbered.collect()}[1] == "a"
+
+
+@pytest.mark.parametrize("rule", [
+    {"method": "remove", "where": "id = 1"}, {"method": "mask", "where": "nothing = 1"}, {"method": "mask", "where": "id"},
+    {"method": "mask", "where": "rand() < 0.5"}, {"method": "mask", "where": "id = = 1"}, {"method": "mask", "where": 1}])
+def test_bad_conditions(spark, settings, rule):
+    df = spark.createDataFrame([(1, "x")], "id int, name string")
+    with pytest.raises(PolicyError):
+        anonymize(df, {"name": rule}, settings)
+
+
+def test_keys_take_no_condition():
+    written = {"a": {"k": {"method": "hash", "where": "k > 1"}}, "b": {"k": "hash"}}
+    with pytest.raises(PolicyError, match="some rows"):
+        Policy.of(written).check_keys([("a.k", "b.k")])

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from veil import PolicyError, anonymize
-from veil.streaming import shuffle_batches, windowed_k_anonymity
+from veil.streaming import session_k_anonymity, shuffle_batches, windowed_k_anonymity
 
 
 @pytest.fixture()
@@ -94,3 +94,45 @@ def test_shuffle_in_batches(spark, settings, events, tmp_path):
         assert Counter(r["user_id"] for r in part) == Counter(old[r["event_id"]]["user_id"] for r in part)
         assert all(r["value"] == old[r["event_id"]]["value"] for r in part)
     assert sum(len(part) for _, part in seen) == len(old)
+
+
+@pytest.mark.parametrize("spread", [1, 4])
+def test_session_k_anonymity(spark, events, tmp_path, spread):
+    """Batch and stream agree on closed sessions, with a hot value, nulls and rows without a time."""
+    batch, stream = [df.select("event_id", F.expr("CASE WHEN event_id % 11 > 0 THEN ts END").alias("ts"), F.expr(
+        "CASE WHEN event_id % 3 = 0 THEN 1 WHEN event_id % 7 > 0 THEN user_id END").alias("user_id")) for df in events]
+    options = {"time": "ts", "gap": "90 minutes", "column": "user_id", "k": 3, "row_key": ["event_id"],
+               "longest": "12 hours", "spread": spread}
+    got = {r["event_id"]: r["user_id"] for r in drain(session_k_anonymity(stream, **options), tmp_path).collect()}
+    want = {r["event_id"]: r["user_id"] for r in session_k_anonymity(batch, **options).collect()}
+    assert len(want) == batch.count()
+    sessions, runs = {}, []
+    for r in sorted(batch.filter("ts IS NOT NULL").collect(), key=lambda r: r["ts"]):
+        stretch = int(r["ts"].timestamp() // 43200)
+        known = sessions.get(r["user_id"])
+        if not known or known[-1]["stretch"] != stretch or (r["ts"] - known[-1]["last"]).total_seconds() > 5400:
+            known = sessions.setdefault(r["user_id"], [])
+            known.append({"stretch": stretch, "ids": []})
+            runs.append(known[-1])
+        known[-1]["last"] = r["ts"]
+        known[-1]["ids"].append((r["event_id"], r["user_id"]))
+    newest = max(run["last"] for run in runs)
+    brute, closed = {}, set()
+    for run in runs:
+        for number, user in run["ids"]:
+            brute[number] = None if user is None else str(user) if len(run["ids"]) >= 3 else "[SUPPRESSED]"
+            if (newest - run["last"]).total_seconds() >= 5401:
+                closed.add(number)
+    timed = {k: v for k, v in want.items() if k in brute}
+    assert timed == brute and {"[SUPPRESSED]", "1", None} <= set(brute.values())
+    assert {v for k, v in want.items() if k not in brute} <= {"[SUPPRESSED]", None}
+    assert closed <= set(got) and all(got[k] == want[k] for k in got)
+    assert len(set(brute) & set(got)) <= len(closed) + 10
+
+
+def test_sessions_refuse_bad_requests(events):
+    batch, _ = events
+    with pytest.raises(PolicyError, match="longer"):
+        session_k_anonymity(batch, "ts", "2 days", "user_id", 2, ["event_id"])
+    with pytest.raises(PolicyError, match="no such columns"):
+        session_k_anonymity(batch, "when", "1 hour", "user_id", 2, ["event_id"])

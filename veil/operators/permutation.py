@@ -83,17 +83,8 @@ def rank_by_draw(drawn: DataFrame) -> tuple[DataFrame, int]:
     return _dense(materialize(placed.drop(_DRAW, _PART)))
 
 
-def shuffle_columns(
-    df: DataFrame, columns: list[str], row_key: list[str], secrets: Secrets, table: str = ""
-) -> DataFrame:
-    """``df`` with each named column permuted on its own.
-
-    Only row keys and the permuted values are ranked; the wide rows move once,
-    in the final join on the row key.
-    """
-    missing = [c for c in [*columns, *row_key] if c not in df.columns]
-    if missing or not row_key:
-        raise PolicyError(f"no such columns: {missing}" if missing else "shuffle needs a row key")
+def _dealt(df: DataFrame, columns: list[str], row_key: list[str], secrets: Secrets, table: str) -> DataFrame:
+    """The row keys of ``df`` with the permuted values, in the order of the columns."""
     rows, total = rank_by_key(df, row_key)
     keys = key_text(df, row_key)
     dealt = rows
@@ -104,11 +95,40 @@ def shuffle_columns(
         if count != total:
             raise PolicyError("the table changed while it was shuffled")
         dealt = dealt.join(values, _RANK)
-    dealt = dealt.drop(_RANK).withColumnsRenamed({k: f"__veil_key_{i}" for i, k in enumerate(row_key)})
-    condition = F.lit(True)
-    for i, k in enumerate(row_key):
-        condition = condition & (ident(k) == ident(f"__veil_key_{i}"))
-    place = {c: i for i, c in enumerate(columns)}
-    return df.join(dealt, condition).select(*[
-        ident(f"__veil_new_{place[c]}").alias(c) if c in place else ident(c) for c in df.columns
-    ])
+    return dealt.drop(_RANK).withColumnsRenamed({k: f"__veil_key_{i}" for i, k in enumerate(row_key)})
+
+
+def shuffle_columns(
+    df: DataFrame,
+    columns: list[str],
+    row_key: list[str],
+    secrets: Secrets,
+    table: str = "",
+    scopes: dict[str, str] | None = None,
+) -> DataFrame:
+    """``df`` with each named column permuted on its own.
+
+    ``scopes`` names a boolean column for some of them: only rows where it holds
+    are ranked and change places among themselves.  Only row keys and the
+    permuted values are ranked; the wide rows move once for each scope, in the
+    final join on the row key.
+    """
+    missing = [c for c in [*columns, *row_key] if c not in df.columns]
+    if missing or not row_key:
+        raise PolicyError(f"no such columns: {missing}" if missing else "shuffle needs a row key")
+    by_scope: dict[str | None, list[str]] = {}
+    for column in columns:
+        by_scope.setdefault((scopes or {}).get(column), []).append(column)
+    out, names = df, df.columns
+    for scope, chosen in by_scope.items():
+        subset = df if scope is None else df.filter(ident(scope))
+        dealt = _dealt(subset, chosen, row_key, secrets, table)
+        condition = F.lit(True) if scope is None else ident(scope)
+        for i, k in enumerate(row_key):
+            condition = condition & (ident(k) == ident(f"__veil_key_{i}"))
+        place = {c: ident(f"__veil_new_{i}") for i, c in enumerate(chosen)}
+        if scope is not None:
+            place = {c: F.when(ident(scope), new).otherwise(ident(c)) for c, new in place.items()}
+        out = out.join(dealt, condition, "inner" if scope is None else "left").select(*[
+            place[c].alias(c) if c in place else ident(c) for c in names])
+    return out

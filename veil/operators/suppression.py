@@ -7,9 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from veil.errors import PolicyError
 from veil.functions.build import SUPPRESSED
 from veil.functions.canonical import canon, ident, is_text
-from veil.operators.lookup import BROADCAST_BYTES, _COUNT, attach, key_counts, row_bytes
+from veil.operators.lookup import BROADCAST_BYTES, _COUNT, attach, row_bytes
 from veil.operators.materialize import materialize
 
+_SCOPE = "__veil_scope"
 _LONG = 72  # longer texts are compared by their 71-byte stand-in
 
 
@@ -29,9 +30,13 @@ def flag_frequent(
     flag: str,
     source: DataFrame | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
+    scope: Column | None = None,
 ) -> DataFrame:
     """Add ``flag``: whether the row's values occur at least ``k`` times.
 
+    With a ``scope`` only the rows in it count, and the flag means nothing for
+    the others; they are still part of what is measured to find hot values.
+
     Counting is one aggregate over the named columns, combined before its
     shuffle.  The way back is a broadcast of the frequent or of the rare
     combinations, whichever is small; only if neither is, rows are shuffled.
@@ -39,18 +44,21 @@ def flag_frequent(
     """
     keys = [f"__veil_k{i}" for i in range(len(columns))]
     source = df if source is None else source
-    narrow = source.select(*[_compact(source, c).alias(k) for c, k in zip(columns, keys)])
-    counts = materialize(key_counts(narrow, keys))
+    inside = F.lit(True) if scope is None else scope
+    narrow = source.select(*[_compact(source, c).alias(k) for c, k in zip(columns, keys)], inside.alias(_SCOPE))
+    counts = materialize(narrow.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias(_COUNT), F.count_if(ident(_SCOPE)).alias(_SCOPE)))
     size = row_bytes(counts, keys)
-    frequent = F.col(_COUNT) >= k
+    frequent, rare = F.col(_SCOPE) >= k, F.col(_SCOPE).between(1, k - 1)
     sizes = counts.agg(
         F.coalesce(F.sum(F.when(frequent, size)), F.lit(0)).alias("frequent"),
-        F.coalesce(F.sum(F.when(~frequent, size)), F.lit(0)).alias("rare"),
+        F.coalesce(F.sum(F.when(rare, size)), F.lit(0)).alias("rare"),
     ).first()
     use_rare = sizes["rare"] < sizes["frequent"]
-    table = counts.filter(~frequent if use_rare else frequent).select(
+    table = counts.filter(rare if use_rare else frequent).select(
         *keys, F.lit(not use_rare).alias(flag)
     )
+    counts = counts.drop(_SCOPE)
     keyed = df.withColumns({k: _compact(df, c) for c, k in zip(columns, keys)})
     size = min(sizes["rare"], sizes["frequent"])
     out = attach(keyed, keys, table, counts, size, broadcast_bytes).drop(*keys)

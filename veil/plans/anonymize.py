@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException, ParseException
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from veil.errors import PolicyError
 from veil.functions.build import Build
-from veil.functions.canonical import ident
+from veil.functions.canonical import canon, ident
 from veil.functions.keyed import Secrets, key_text
 from veil.functions.registry import CROSS, DROP, ROW
 from veil.operators.permutation import ROW_ID, shuffle_columns, with_row_id
@@ -33,6 +34,27 @@ def _numbered(df: DataFrame, keys: list[str], stored: bool) -> DataFrame:
     return with_row_id(df) if stored else df.withColumn(ROW_ID, F.monotonically_increasing_id())
 
 
+def _scope(df: DataFrame, rule: ResolvedRule) -> Column:
+    """Whether a rule holds for a row; a condition that is null does not hold."""
+    try:
+        tested = df.select(F.expr(rule.where))
+        kind = tested.schema.fields[0].dataType if len(tested.columns) == 1 else None
+    except (AnalysisException, ParseException) as e:
+        raise PolicyError(f"{rule.column}: {rule.where!r} is no condition on the table: {e}") from e
+    if not isinstance(kind, T.BooleanType) or not tested._jdf.queryExecution().analyzed().deterministic():
+        raise PolicyError(f"{rule.column}: {rule.where!r} is no condition on the table")
+    return F.coalesce(F.expr(rule.where), F.lit(False))
+
+
+def _within(out: DataFrame, rule: ResolvedRule, written: Column, scope: str) -> Column:
+    """The rule's result where it holds, elsewhere the value itself, as text if the result is text."""
+    kind = out.select(written).schema.fields[0].dataType
+    c = ident(rule.column)
+    if kind != rule.dtype:
+        c = canon(c, rule.dtype) if isinstance(kind, T.StringType) else c.cast(kind)
+    return F.when(ident(scope), written).otherwise(c)
+
+
 def anonymize(
     df: DataFrame,
     policy,
@@ -45,6 +67,10 @@ def anonymize(
     All row methods share one projection.  k-anonymity and shuffle read the raw
     column, so the order of the rules does not matter.  Every rule is written
     out, and so checked, before the first job of k-anonymity or shuffle starts.
+
+    A rule with ``where``, a condition on the raw columns, holds for the rows
+    that meet it: k-anonymity counts them alone, shuffle permutes them among
+    themselves, and all other rows keep their value.
     """
     rules = TablePolicy.of(policy).resolve(df.schema, settings.strict)
     cross = [r for r in rules if r.method.kind == CROSS]
@@ -53,6 +79,8 @@ def anonymize(
     mixed = [r.column for r in cross if r.method.name == "shuffle"]
     flags = {r.column: f"__veil_keep_{i}" for i, r in enumerate(cross) if r.method.name == "k_anonymity"}
     columns = df.columns
+    scopes = {r.column: f"__veil_where_{i}" for i, r in enumerate(rules) if r.where}
+    tests = {scopes[r.column]: _scope(df, r) for r in rules if r.where}
     keys = _row_key(df, rules, list(row_key or []))
     secrets = Secrets(df.sparkSession, settings)
     key_columns = [F.col(ROW_ID).cast("string")] if keys == [ROW_ID] else key_text(df, keys)
@@ -67,14 +95,19 @@ def anonymize(
             written[rule.column] = suppressed(c, rule.dtype, flags[rule.column], rule.options["scale"])
 
     dropped = {r.column for r in rules if r.method.kind == DROP}
-    needed = df.select(*[ident(c) for c in columns if c not in dropped or c in keys])
+    needed = df.select(*[ident(c) for c in columns if c not in dropped or c in keys],
+                       *[test.alias(name) for name, test in tests.items()])
     source = _numbered(needed, keys, stored=bool(mixed))
-    out = shuffle_columns(source, mixed, keys, secrets, table) if mixed else source
+    out = shuffle_columns(source, mixed, keys, secrets, table, scopes) if mixed else source
     for rule in cross:
         if rule.column in flags:
-            out = flag_frequent(out, [rule.column], rule.options["k"], flags[rule.column], source=source)
+            out = flag_frequent(out, [rule.column], rule.options["k"], flags[rule.column], source=source,
+                                scope=ident(scopes[rule.column]) if rule.column in scopes else None)
     for stage in build.stages:
         out = out.withColumns(stage) if stage else out
+    for rule in rules:
+        if rule.column in written and rule.column in scopes:
+            written[rule.column] = _within(out, rule, written[rule.column], scopes[rule.column])
     return out.select(*[
         (written[c].alias(c) if c in written else ident(c)) for c in columns if c not in dropped
     ])

@@ -68,7 +68,8 @@ def run_job(
     for name, df in source.items():
         folder = table_path(output_path, name)
         for rule in policy.table(name).resolve(df.schema, settings.strict):
-            lines.append((name, rule.column, rule.method.name, rule.method.kind, rule.note, folder))
+            notes = [rule.note, f"where {rule.where}" if rule.where else ""]
+            lines.append((name, rule.column, rule.method.name, rule.method.kind, ", ".join(filter(None, notes)), folder))
         if name not in policy.tables:
             lines.append((name, None, None, None, "no policy, passed through", folder))
     with temporary_tables(spark):

@@ -21,6 +21,7 @@ class ColumnRule:
 
     method: str
     options: dict = field(default_factory=dict)
+    where: str = ""
 
     @classmethod
     def of(cls, written) -> ColumnRule:
@@ -31,9 +32,10 @@ class ColumnRule:
         if isinstance(written, Mapping):
             options = written.get("options") or {}
             method = written.get("method", registry.FALLBACK)
-            if not isinstance(method, str) or not isinstance(options, Mapping):
+            where = written.get("where") or ""
+            if not isinstance(method, str) or not isinstance(options, Mapping) or not isinstance(where, str):
                 raise PolicyError(f"not a column rule: {written!r}")
-            return cls(registry.normal_name(method), dict(options))
+            return cls(registry.normal_name(method), dict(options), where)
         raise PolicyError(f"not a column rule: {written!r}")
 
 
@@ -46,6 +48,7 @@ class ResolvedRule:
     method: Method
     options: dict
     note: str = ""
+    where: str = ""
 
 
 @dataclass(frozen=True)
@@ -83,7 +86,9 @@ class TablePolicy:
                 method, options = registry.find(registry.FALLBACK), {}
                 note = f"unknown method {rule.method!r}, column was hashed"
             options = method.complete(options, strict)
-            resolved.append(ResolvedRule(column, types[column], method, options, note))
+            if rule.where and method.kind == registry.DROP:
+                raise PolicyError(f"{column}: a column cannot be removed from some rows only")
+            resolved.append(ResolvedRule(column, types[column], method, options, note, rule.where))
         return resolved
 
 
@@ -137,6 +142,8 @@ class Policy:
                     ends.append((PASS_THROUGH, {}))
                     continue
                 method = method or registry.find(registry.FALLBACK)
+                if rule.where:
+                    raise PolicyError(f"{end}: a rule for some rows does not keep the key {left} = {right}")
                 if method.kind != registry.ROW or not (method.deterministic or rule.options.get("consistent")):
                     raise PolicyError(f"{end}: {method.name} does not keep the key {left} = {right}")
                 ends.append((method.name, method.complete(rule.options, True)))

@@ -1,5 +1,5 @@
-"""Policies on streams, and k-anonymity within event-time windows."""
+"""Policies on streams, and k-anonymity within event-time windows and sessions."""
 
-from veil.streaming.windows import shuffle_batches, windowed_k_anonymity
+from veil.streaming.windows import session_k_anonymity, shuffle_batches, windowed_k_anonymity
 
-__all__ = ["shuffle_batches", "windowed_k_anonymity"]
+__all__ = ["session_k_anonymity", "shuffle_batches", "windowed_k_anonymity"]
