@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from checks import sql as S
 from veil import Settings, anonymize
 from veil.functions.substitution import LISTS
-from veil.operators import audit, mapping
+from veil.operators import audit, mapping, sketches
 from veil.operators.detection import detect_pii
 from veil.operators.materialize import materialize, scratch_path
 from veil.operators.suppression import k_anonymity
@@ -836,6 +836,96 @@ def audit_drift(spark, d):
     return out.withColumns({c: F.round(c, n) for c, n in places.items()})
 
 
+def _exact_quantiles_sql(price: str, name: str) -> str:
+    return f"""
+        {name}_r AS (SELECT o_orderpriority, {price} AS x,
+                row_number() OVER (PARTITION BY o_orderpriority ORDER BY {price}) AS r,
+                count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders),
+        {name} AS (SELECT o_orderpriority, quantile, x AS {name} FROM {name}_r, q WHERE r = ceil(quantile * n))
+    """
+
+
+_RANKS = "q AS (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95])::DOUBLE AS quantile)"
+_PRICES = f"""
+    WITH {_RANKS}, {_exact_quantiles_sql('o_totalprice', 'before')}, {_exact_quantiles_sql(_DRIFT, 'after')},
+        spread AS (SELECT o_orderpriority, max(before) FILTER (quantile = 0.75) - max(before) FILTER (quantile = 0.25)
+            AS spread FROM before GROUP BY o_orderpriority),
+        drift AS (SELECT *, abs(after - before) / spread AS shift
+            FROM before JOIN after USING (o_orderpriority, quantile) JOIN spread USING (o_orderpriority))
+"""
+
+
+def _moved_prices(spark, d):
+    before = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return before, anonymize(before, {"o_totalprice": "perturb"}, SET, ["o_orderkey"])
+
+
+@query(_PRICES + """
+    SELECT o_orderpriority, 'o_totalprice' AS "column", quantile, round(before, 3) AS before, round(after, 3) AS after,
+        round(shift, 6) AS shift, shift <= 0.02 AS within FROM drift WHERE quantile IN (0.05, 0.5, 0.95)
+""")
+def audit_drift_quantiles_exact(spark, d):
+    before, after = _moved_prices(spark, d)
+    out = sketches.quantile_drift(before, after, ["o_totalprice"], ["o_orderpriority"], limit=0.02, exact=True)
+    return out.withColumns({"before": F.round("before", 3), "after": F.round("after", 3), "shift": F.round("shift", 6)})
+
+
+@query(f"""
+    WITH {_RANKS} SELECT o_orderpriority, quantile, count(*) AS n, true AS before_in_bound, true AS after_in_bound
+    FROM orders, q WHERE quantile NOT IN (0.25, 0.75) GROUP BY ALL
+""")
+def audit_drift_quantiles(spark, d):
+    """Quantiles of stored, merged sketches; the share of rows below each is within twice the stated error."""
+    folder, bound = scratch_path(spark), 2 * sketches.rank_error()
+    sides = dict(zip(("before", "after"), _moved_prices(spark, d), strict=True))
+    stored = {}
+    for name, df in sides.items():
+        for chunk in range(3):
+            part = df.filter(F.col("o_orderkey") % 3 == chunk)
+            sketches.quantile_sketches(part, ["o_totalprice"], ["o_orderpriority"]).write.parquet(
+                f"{folder}/{name}/chunk={chunk}")
+        stored[name] = spark.read.parquet(f"{folder}/{name}").drop("chunk")
+    drift = sketches.quantile_drift(stored["before"], stored["after"], ["o_totalprice"], ["o_orderpriority"])
+    out = drift.select("o_orderpriority", "quantile", "before", "after")
+    for name, df in sides.items():
+        x, value = F.col("o_totalprice"), F.col(name)
+        shares = df.select("o_orderpriority", "o_totalprice").join(F.broadcast(out.select(
+            "o_orderpriority", "quantile", name)), "o_orderpriority").groupBy("o_orderpriority", "quantile").agg(
+            F.count(F.lit(1)).alias("n"), F.avg((x < value).cast("int")).alias("less"),
+            F.avg((x <= value).cast("int")).alias("upto"))
+        fits = (F.col("less") <= F.col("quantile") + bound) & (F.col("upto") >= F.col("quantile") - bound)
+        checked = shares.select("o_orderpriority", "quantile", *(["n"] if name == "before" else []),
+                                fits.alias(f"{name}_in_bound"))
+        out = out.drop(name).join(checked, ["o_orderpriority", "quantile"])
+    return out
+
+
+_SKETCHED = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"]
+
+
+@query(" UNION ALL ".join(f"""
+    SELECT '{c}' AS "column", count(*) AS rows, count(*) FILTER ({x} IS NULL) AS nulls,
+        count(DISTINCT {x}) AS "distinct", true AS in_bound, {str(c != 'o_orderkey').lower()} AS kept FROM orders
+""" for c, x in zip(_SKETCHED, [*_SKETCHED[:3], "nullif(o_orderpriority, '5-LOW')"], strict=True)))
+def audit_sketches(spark, d):
+    """Distinct values from the stored sketches of chunks, beside the counted ones; one key lost half of its values."""
+    folder, bits = scratch_path(spark), 12
+    before = table(spark, d, "orders").select(*_SKETCHED).withColumn(
+        "o_orderpriority", F.expr("nullif(o_orderpriority, '5-LOW')"))
+    after = before.withColumn("o_orderkey", F.floor(F.col("o_orderkey") / 2))
+    merged = {}
+    for name, df in {"before": before, "after": after}.items():
+        chunked = df.withColumn("chunk", F.pmod("o_custkey", F.lit(4)))
+        sketches.distinct_sketches(chunked, _SKETCHED, ["chunk"], bits).write.parquet(f"{folder}/{name}")
+        merged[name] = sketches.merge_distinct([spark.read.parquet(f"{folder}/{name}")], bits=bits)
+    counted = audit.profile(before).select("column", F.col("distinct").alias("counted"))
+    kept = sketches.estimated_uniqueness(merged["before"], merged["after"], bits).select("column", "kept")
+    off = F.abs(F.col("distinct") - F.col("counted"))
+    return sketches.estimated_profile(merged["before"]).join(counted, "column").join(kept, "column").select(
+        "column", "rows", "nulls", F.col("counted").alias("distinct"),
+        (off <= F.col("counted") * sketches.distinct_error(bits)).alias("in_bound"), "kept")
+
+
 @query("""
     WITH p AS (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')
     SELECT count(*) AS rows, count(DISTINCT o_custkey) AS keys,
