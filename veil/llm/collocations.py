@@ -5,11 +5,11 @@ it in its piece of text, as four lead columns, padded where the piece ends.  Onl
 these longest windows are counted; ``ROLLUP`` over the four columns sums them to
 the counts of all shorter phrases, down to the words of a language.
 
-Before that, pairs of neighbours are counted in a table of cells of fixed size.
-A cell below the least count proves that its pairs, and so all phrases over
-them, are rarer: windows are cut there.  Pairs that share a cell can only let
-a window stay longer than it has to be, so counts from the least count on are
-exact at every size of the corpus.
+Before that, runs of two and then of three neighbours are counted in a table of
+cells of fixed size.  A cell below the least count proves that its runs, and so
+all phrases over them, are rarer: windows are cut there.  Runs that share a cell
+can only let a window stay longer than it has to be, so counts from the least
+count on are exact at every size of the corpus.
 """
 
 from __future__ import annotations
@@ -20,14 +20,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from veil.llm.rows import Words, col, hash64, mixed, whole_text
+from veil.llm.rows import Words, col, hash64, whole_text, windows
 from veil.operators.materialize import materialize
 
 ORDER, LEAST, TOP, SHARE = 4, 30, 2000, 80
-#: Cells of the table of pairs, and the cells of one row of it on the way to the driver: 8 MB of bits in all.
+#: Cells of a table of runs, and the cells of one row of it on the way to the driver: 8 MB of bits in all.
 CELL_BITS, ROW_BITS = 26, 16
+#: Tables of runs: of two words and of three.
+TABLES = 2
 #: Characters of text that are split at once, and words whose hash or number is kept at once.
-SLICE, VOCABULARY = 4_000_000, 500_000
+SLICE, VOCABULARY = 1_000_000, 200_000
 #: Candidates of a language are ranked in so many parts first.
 PARTS = 64
 WORDS = [f"w{k + 1}" for k in range(ORDER)]
@@ -72,35 +74,49 @@ def _slices(batch: pa.RecordBatch):
         yield lang, tokens(lang)
 
 
-def _cells(lang: str, hashes: np.ndarray, cell_bits: int) -> np.ndarray:
-    """The cells of all neighbours."""
-    pairs = (hashes[:-1] + np.uint64(hash64(lang))) * np.uint64(0xD6E8FEB86659FD93) + hashes[1:]
-    return (mixed(pairs) >> np.uint64(64 - cell_bits)).astype(np.int64)
+def _frequent(lang: str, hashes: np.ndarray, word: np.ndarray, tables: list[np.ndarray], cell_bits: int):
+    """For runs of one word, two words, ...: whether a run begins here and may be frequent, and its cells if it is counted.
 
-
-def _pair_counts(docs: DataFrame, least: int, cell_bits: int) -> DataFrame:
-    """(cell, count) from each task, counts up to the least one that matters."""
+    A run may be frequent if both runs that are a word shorter may be, and if the table of its size does not deny it.
+    """
+    seeded = hashes ^ np.uint64(hash64(lang))
+    may, size = word, 1
+    while True:
+        yield may
+        size += 1
+        at = np.flatnonzero(may[:-1] & may[1:])
+        cells = (windows(seeded, size)[at] >> np.uint64(64 - cell_bits)).astype(np.int64) if len(at) else at
+        if size - 2 == len(tables):
+            yield cells
+            return
+        bits = (tables[size - 2][cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1
+        may = np.zeros(len(word), dtype=bool)
+        may[at[bits == 1]] = True
+
+
+def _cell_counts(docs: DataFrame, tables, least: int, cell_bits: int) -> DataFrame:
+    """(cell, times) of runs one word longer than the tables know, from each task, up to the least count that matters."""
     def run(batches):
         words, end = Words(most=VOCABULARY), hash64(_END)
-        counts = np.zeros(2**cell_bits, dtype=np.uint16 if least < 2**16 else np.int64)
+        known = [t.value for t in tables]
+        counts = np.zeros(2**cell_bits, dtype=np.uint8 if least < 2**8 else np.int64)
         for batch in batches:
             for lang, tokens in _slices(batch):
                 hashes = words.array(tokens)
-                inside = hashes != end
-                cells, times = np.unique(_cells(lang, hashes, cell_bits)[inside[:-1] & inside[1:]], return_counts=True)
+                *_, found = _frequent(lang, hashes, hashes != end, known, cell_bits)
+                cells, times = np.unique(found, return_counts=True)
                 counts[cells] = np.minimum(counts[cells] + times, least)
-        found = np.flatnonzero(counts)
-        for start in range(0, len(found), 1_000_000):
-            part = found[start:start + 1_000_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part].astype(np.int64))],
-                                             ["cell", "times"])
+        for start in range(0, len(counts), 2**22):
+            found = np.flatnonzero(counts[start:start + 2**22]) + start
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found.astype(np.int32)), pa.array(counts[found].astype(np.int64))], ["cell", "times"])
 
     return docs.mapInArrow(run, "cell int, times bigint")
 
 
-def frequent_cells(docs: DataFrame, least: int, cell_bits: int) -> np.ndarray:
-    """One bit for each cell: whether its pairs may occur ``least`` times.  The table's size is fixed."""
-    counted = _pair_counts(docs, least, cell_bits).groupBy("cell").agg(F.sum("times").alias("times"))
+def frequent_cells(docs: DataFrame, tables, least: int, cell_bits: int) -> np.ndarray:
+    """One bit for each cell: whether its runs may occur ``least`` times.  The table's size is fixed."""
+    counted = _cell_counts(docs, tables, least, cell_bits).groupBy("cell").agg(F.sum("times").alias("times"))
     row_bits = min(ROW_BITS, cell_bits)
     rows = counted.filter(F.col("times") >= least).groupBy(
         F.shiftright("cell", row_bits).alias("row")).agg(
@@ -118,18 +134,18 @@ def frequent_cells(docs: DataFrame, least: int, cell_bits: int) -> np.ndarray:
     table = np.zeros((2**(cell_bits - row_bits), max(1, 2**row_bits // 8)), dtype=np.uint8)
     for row, bits in rows.mapInArrow(run, "row int, bits binary").collect():
         table[row] = np.frombuffer(bits, dtype=np.uint8)
-    return table
+    return table.reshape(-1)
 
 
-def longest_windows(docs: DataFrame, table, cell_bits: int) -> DataFrame:
-    """(lang, w1 .. w4, times): one window for each word occurrence, cut at the end of its piece and at rare pairs.
+def longest_windows(docs: DataFrame, tables, cell_bits: int) -> DataFrame:
+    """(lang, w1 .. w4, times): one window for each word occurrence, cut at the end of its piece and at rare runs.
 
     Windows of a word alone are summed in the task, in a bounded vocabulary.
     """
     def run(batches):
-        bits = table.value.reshape(-1)
+        denied = [t.value for t in tables]
 
-        def windows(lang, numbers, words, times):
+        def batch_of(lang, numbers, words, times):
             names = pa.array(words, pa.binary()).cast(pa.string())
             size = len(times)
             return pa.RecordBatch.from_arrays(
@@ -138,37 +154,30 @@ def longest_windows(docs: DataFrame, table, cell_bits: int) -> DataFrame:
                 ["lang", *WORDS, "times"])
 
         def alone(lang):
-            numbers = singles.pop(lang)
-            words, counts = known.pop(lang), numbers[0]
+            words, counts = known.pop(lang), singles.pop(lang)
             found = np.flatnonzero(counts[:len(words)])
             if len(found):
                 none = np.zeros(len(found), dtype=np.int64)
-                yield windows(lang, [found, none, none, none], list(words), counts[found])
+                yield batch_of(lang, [found, *[none] * (ORDER - 1)], list(words), counts[found])
 
         known: dict[str, _Numbers] = {}
-        singles: dict[str, list[np.ndarray]] = {}
+        singles: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, tokens in _slices(batch):
                 ids = known.setdefault(lang, _Numbers())
                 at = np.fromiter(map(ids.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-                word = at > 1
-                joined = np.zeros(len(at), dtype=bool)
-                inside = np.flatnonzero(word[:-1] & word[1:])
-                cells = _cells(lang, ids.hashes()[at], cell_bits)[inside]
-                joined[inside] = (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1
-                counts = np.bincount(at[word & ~joined], minlength=len(ids))
-                old = singles.setdefault(lang, [np.zeros(0, dtype=np.int64)])
-                counts[:len(old[0])] += old[0]
-                old[0] = counts
-                starts = np.flatnonzero(joined)
+                word, *longer, _ = _frequent(lang, ids.hashes()[at], at > 1, denied, cell_bits)
+                while len(longer) < ORDER - 1:  # beyond the tables a run may be frequent if both shorter ones may be
+                    longer.append(np.append(longer[-1][:-1] & longer[-1][1:], False))
+                counts = np.bincount(at[word & ~longer[0]], minlength=len(ids))
+                counts[:len(singles.get(lang, ()))] += singles.get(lang, 0)
+                singles[lang] = counts
+                starts = np.flatnonzero(longer[0])
                 if len(starts):
                     padded = np.concatenate([at, np.zeros(ORDER, dtype=np.int64)])
-                    goes_on, columns = np.ones(len(starts), dtype=bool), [padded[starts]]
-                    chain = np.concatenate([joined, np.zeros(ORDER, dtype=bool)])
-                    for k in range(1, ORDER):
-                        goes_on &= chain[starts + k - 1]
-                        columns.append(np.where(goes_on, padded[starts + k], 0))
-                    yield windows(lang, columns, list(ids), np.ones(len(starts), dtype=np.int64))
+                    columns = [padded[starts]]
+                    columns += [np.where(may[starts], padded[starts + k], 0) for k, may in enumerate(longer, 1)]
+                    yield batch_of(lang, columns, list(ids), np.ones(len(starts), dtype=np.int64))
                 if sum(map(len, known.values())) > VOCABULARY:
                     for full in list(known):
                         yield from alone(full)
@@ -178,9 +187,9 @@ def longest_windows(docs: DataFrame, table, cell_bits: int) -> DataFrame:
     return docs.mapInArrow(run, f"lang string, {', '.join(w + ' string' for w in WORDS)}, times bigint")
 
 
-def phrase_counts(windows: DataFrame, least: int) -> DataFrame:
+def phrase_counts(opened: DataFrame, least: int) -> DataFrame:
     """(lang, size, phrase, f) of all phrases that occur often enough; size 0 has all words of the language."""
-    counted = windows.groupBy("lang", *WORDS).agg(F.sum("times").alias("times"))
+    counted = opened.groupBy("lang", *WORDS).agg(F.sum("times").alias("times"))
     rolled = counted.rollup("lang", *WORDS).agg(F.sum("times").alias("f"), F.grouping_id().alias("level"))
     words = rolled.withColumn("size", F.lit(ORDER) - F.bit_count("level")).filter(
         (F.col("size") >= 0) & ((F.col("f") >= least) | (F.col("size") == 0)))
@@ -249,8 +258,10 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     spark = docs.sparkSession
     source = docs.select(F.coalesce(col(lang).cast("string"), F.lit("und")).alias("lang"),
                          whole_text(text).cast("binary").alias("text"))
-    table = spark.sparkContext.broadcast(frequent_cells(source, least, cell_bits))
-    phrases = materialize(phrase_counts(longest_windows(source, table, cell_bits), least))
+    tables: list = []
+    for _ in range(TABLES):
+        tables.append(spark.sparkContext.broadcast(frequent_cells(source, list(tables), least, cell_bits)))
+    phrases = materialize(phrase_counts(longest_windows(source, tables, cell_bits), least))
     scored = _cut_scores(phrases).join(_covered(phrases), ["lang", "phrase"], "left")
     left = scored.filter(F.col("longer").isNull() | (
         _exact("longer") * 100 < _exact("a") * share)).drop("longer")
