@@ -770,6 +770,60 @@ def vault_unseen(spark, d):
     return mapping.apply_vault(customers, "c_custkey", vault, SET)
 
 
+_GROWN = f"""
+    WITH v AS (SELECT o_orderkey::VARCHAR AS value, o_orderpriority = '1-URGENT' AS old FROM orders),
+         h AS (SELECT *, {S.digest('value')} AS h FROM v),
+         n AS (SELECT *, {', '.join(f"count(*) {f} OVER (PARTITION BY substr(h, 1, {w})) AS {a}{w}"
+                                    for w in (4, 8, 16) for a, f in (('all', ''), ('old', 'FILTER (old)')))} FROM h)
+    SELECT value, 'ID_' || CASE
+            WHEN CASE WHEN old THEN old4 ELSE all4 END = 1 THEN substr(h, 1, 4)
+            WHEN CASE WHEN old THEN old8 ELSE all8 END = 1 THEN substr(h, 1, 8)
+            WHEN CASE WHEN old THEN old16 ELSE all16 END = 1 THEN substr(h, 1, 16) ELSE h END AS code,
+        CASE WHEN old THEN 1 ELSE 2 END AS version FROM n
+"""
+
+
+@query(_GROWN)
+def vault_grows(spark, d):
+    """A vault of urgent orders, grown by all others: old codes stay, new ones make room."""
+    orders, folder = table(spark, d, "orders"), scratch_path(spark)
+    urgent = orders.filter("o_orderpriority = '1-URGENT'")
+    mapping.grow_vault(spark, folder, [(urgent, "o_orderkey")], SET, width=4)
+    grown = mapping.grow_vault(spark, folder, [(orders, "o_orderkey"), (urgent, "o_orderkey")], SET, width=4)
+    return grown.select("value", "code", "version")
+
+
+def _deep_hierarchy(spark, d):
+    """Customers below nations, regions, for two of those EURASIA, and for all but two the WORLD."""
+    people = _national(spark, d).selectExpr("cast(c_custkey AS string) AS value", "n_name AS parent")
+    upper = table(spark, d, "region").filter("r_name IN ('AFRICA', 'ASIA', 'EUROPE')").selectExpr(
+        "r_name AS value", "IF(r_name = 'AFRICA', 'WORLD', 'EURASIA') AS parent")
+    top = spark.createDataFrame([("EURASIA", "WORLD"), ("WORLD", None), ("AMERICA", "AMERICA")], "value string, parent string")
+    nations = _hierarchy(spark, d).filter("parent != 'EURASIA'")
+    return people.unionByName(nations).unionByName(upper).unionByName(top)
+
+
+_DEEP = """
+    SELECT c_custkey AS id, CASE r_name WHEN 'AFRICA' THEN {} WHEN 'ASIA' THEN {} WHEN 'EUROPE' THEN {} ELSE {} END
+        AS place FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+"""
+
+
+def _places(spark, d):
+    return table(spark, d, "customer").selectExpr("c_custkey AS id", "cast(c_custkey AS string) AS place")
+
+
+@query(_DEEP.format("'WORLD'", "'WORLD'", "'WORLD'", "r_name"))
+def category_root(spark, d):
+    return mapping.generalize_to_root(_places(spark, d), "place", _deep_hierarchy(spark, d))
+
+
+@query(_DEEP.format("'AFRICA'", "'EURASIA'", "'EURASIA'", "n_name"))
+def category_below_root(spark, d):
+    """The same level below the root, from leaves of different depth."""
+    return mapping.generalize_to_root(_places(spark, d), "place", _deep_hierarchy(spark, d), depth=1)
+
+
 # --- audits -----------------------------------------------------------------------
 
 
@@ -949,6 +1003,29 @@ def audit_relationships(spark, d):
     return audit.relationships(before, after, "a", "b")
 
 
+@query(f"""
+    WITH k AS (SELECT o_custkey::VARCHAR AS old, {S.digest('o_custkey::VARCHAR')} AS new FROM orders
+        UNION SELECT c_custkey::VARCHAR, {S.digest('c_custkey::VARCHAR')} FROM customer)
+    SELECT 'customer.c_custkey' AS domain, count(*) AS keys, count(*) AS codes, 0::BIGINT AS merged, 0::BIGINT AS split,
+        0::BIGINT AS lost, true AS holds FROM k
+    UNION ALL
+    SELECT 'lineitem.l_partkey', count(DISTINCT l_partkey), count(DISTINCT l_partkey), 1, 1, 0, false FROM lineitem
+""")
+def audit_bijection(spark, d):
+    """Keys of two tables that keep their relation, and keys of two others with a merge and a split planted."""
+    line = ["l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"]
+    before = {"customer": table(spark, d, "customer").select("c_name", "c_custkey"),
+              "orders": table(spark, d, "orders").select("o_orderkey", "o_custkey"),
+              "lineitem": table(spark, d, "lineitem").select(*line, "l_partkey")}
+    after = anonymize_tables(before, {"customer": {"c_custkey": "hash"}, "orders": {"o_custkey": "hash"}}, SET)
+    # Parts 1 and 2 become one, part 3 becomes two.
+    after["lineitem"] = before["lineitem"].withColumn("l_partkey", F.expr(
+        "CASE WHEN l_partkey = 2 THEN 1 WHEN l_partkey = 3 AND l_linenumber % 2 = 0 THEN -3 ELSE l_partkey END"))
+    keys = {"customer": ["c_name"], "orders": ["o_orderkey"], "lineitem": line}
+    return audit.bijections(before, after, keys, [
+        ("orders.o_custkey", "customer.c_custkey"), ("lineitem.l_partkey", "lineitem.l_partkey")])
+
+
 _SHORT_PHONE = f"({_phone_sql('s')})"
 
 

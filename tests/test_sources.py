@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from veil import PolicyError, Settings
 from veil.operators import audit
-from veil.plans.job import run_job
+from veil.plans.job import _Staging, run_job
 from veil.sources import samples
 from veil.sources.tables import check_format, list_columns, load_tables, save_tables
 
@@ -205,3 +205,64 @@ def test_sample_files(spark, settings, tmp_path):
     save_tables(samples.sample_dataset(spark, settings), str(tmp_path), "csv", prefix="")
     back = load_tables(spark, str(tmp_path))
     assert back["Customers"].count() == 100 and set(back) == {"Staff", "Employees", "Customers", "Transactions"}
+
+
+def _results(folder):
+    return sorted(p.name for p in folder.iterdir()) if folder.exists() else []
+
+
+def test_a_job_that_fails_leaves_nothing(spark, tmp_path):
+    source, out = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    (source / "a.csv").write_text("id,name\n1,x\n2,y\n")
+    (source / "b.csv").write_text("id,name\n1,x\n2\n")
+    schemas = {t: "id int, name string" for t in "ab"}
+    policy = {"a": {"name": {"method": "k_anonymity", "options": {"k": 1}}}, "b": {"name": "hash"}}
+    with pytest.raises(Exception, match="MALFORMED"):
+        run_job(spark, str(source), str(out), policy, Settings("s"), schemas=schemas)
+    assert _results(out) == []
+    (source / "b.csv").write_text("id,name\n1,x\n2,z\n")
+    run_job(spark, str(source), str(out), policy, Settings("s"), schemas=schemas)
+    assert _results(out) == ["anonymized_a", "anonymized_b"]
+    with pytest.raises(FileExistsError, match="anonymized_a"):
+        run_job(spark, str(source), str(out), policy, Settings("s"), schemas=schemas)
+    # Overwriting keeps the old tables until all new ones are there.
+    (source / "a.csv").write_text("id,name\n7,new\n")
+    (source / "b.csv").write_text("id,name\n1,x,y\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        run_job(spark, str(source), str(out), policy, Settings("s"), schemas=schemas, mode="overwrite")
+    assert _results(out) == ["anonymized_a", "anonymized_b"]
+    assert spark.read.parquet(str(out / "anonymized_a")).count() == 2
+    (source / "b.csv").write_text("id,name\n1,x\n")
+    run_job(spark, str(source), str(out), policy, Settings("s"), schemas=schemas, mode="overwrite")
+    assert _results(out) == ["anonymized_a", "anonymized_b"]
+    assert [tuple(r) for r in spark.read.parquet(str(out / "anonymized_a")).collect()] == [(7, "new")]
+
+
+def test_moves_are_undone_if_one_fails(spark, tmp_path):
+    staging = _Staging(spark, str(tmp_path))
+    for name in ("old", "new"):
+        (tmp_path / staging.folder.rsplit("/", 1)[1] / name).mkdir(parents=True)
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "kept").write_text("x")
+    with pytest.raises(Exception, match="missing|moved"):
+        staging.publish({"a": f"{staging.folder}/new", "b": f"{staging.folder}/missing"},
+                        {"a": str(tmp_path / "t"), "b": str(tmp_path / "u")})
+    assert (tmp_path / "t" / "kept").exists() and not (tmp_path / "u").exists()
+    staging.discard()
+    assert _results(tmp_path) == ["t"]
+
+
+@pytest.mark.parametrize("change", [
+    {"policy": {"nation": {"n_name": {"method": "k_anonymity"}}, "region": {"r_name": "perturb"}}},
+    {"policy": {"region": {"r_name": {"method": "mask", "where": "nothing > 1"}}}},
+    {"links": [("nation.n_regionkey", "region.r_name")], "policy": {"nation": {"n_regionkey": "hash"}, "region": {"r_name": "hash"}}},
+    {"links": [("nation.n_key", "region.r_regionkey")]}, {"mode": "append"},
+])
+def test_bad_jobs_end_before_anything_runs(spark, sf, tmp_path, change):
+    request = {"policy": {"nation": {"n_name": "hash"}}, "tables": ["nation", "region"], **change}
+    before = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    with pytest.raises(PolicyError):
+        run_job(spark, sf, str(tmp_path / "o"), settings=Settings("s"), **request)
+    assert not (tmp_path / "o").exists()
+    assert len(set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before) <= 2  # file schemas

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -9,6 +11,7 @@ from veil.errors import PolicyError
 from veil.functions.build import SUPPRESSED
 from veil.functions.canonical import canon, ident
 from veil.functions.keyed import local_table
+from veil.operators.materialize import materialize
 
 _WAS, _IS = "__veil_was", "__veil_is"
 
@@ -139,6 +142,59 @@ def relationships(before: DataFrame, after: DataFrame, left: str, right: str) ->
     )
 
 
+def _domains(links: list[tuple[str, str]]) -> dict[str, str]:
+    """The least column of each set of linked columns, by column."""
+    domains: dict[str, set[str]] = {}
+    for left, right in links:
+        joined = domains.get(left, {left}) | domains.get(right, {right})
+        for column in joined:
+            domains[column] = joined
+    return {column: min(joined) for column, joined in domains.items()}
+
+
+def bijections(
+    before: dict[str, DataFrame],
+    after: dict[str, DataFrame],
+    row_keys: dict[str, list[str]],
+    links: list[tuple[str, str]],
+) -> DataFrame:
+    """Whether old and new keys correspond one to one over all linked columns of all tables.
+
+    A link is a pair of ``table.column`` names; columns that are linked, also over
+    others, share one ``domain``.  Rows are paired by their row key.  ``merged``
+    counts new keys that stand for several old ones, ``split`` old keys that have
+    become several, ``lost`` keys that are null on one side only.  Pairs are made
+    distinct once; then each way is one aggregate over the pairs.
+    """
+    domains = _domains([(left, right) for left, right in links])
+    pairs = []
+    for table in sorted({c.rpartition(".")[0] for c in domains}):
+        columns = sorted(c.rpartition(".")[2] for c in domains if c.rpartition(".")[0] == table)
+        if table not in before or table not in after:
+            raise PolicyError(f"no such table: {table}")
+        if not row_keys.get(table):
+            raise PolicyError(f"{table} needs a row key that was not anonymized")
+        paired = _paired(before[table], after[table], row_keys[table], columns).filter(ident(_WAS) & ident(_IS))
+        pairs.append(paired.select(F.inline(F.array(*[
+            F.struct(F.lit(domains[f"{table}.{c}"]).alias("domain"),
+                     canon(ident(f"old {c}"), before[table].schema[c].dataType).alias("old"),
+                     canon(ident(f"new {c}"), after[table].schema[c].dataType).alias("new")) for c in columns]))))
+    if not pairs:
+        raise PolicyError("there must be a link")
+    distinct = materialize(reduce(DataFrame.unionByName, pairs).distinct())
+    known = distinct.filter("old IS NOT NULL AND new IS NOT NULL")
+
+    def several(key: str, keys: str, many: str) -> DataFrame:
+        return known.groupBy("domain", key).agg(F.count(F.lit(1)).alias("n")).groupBy("domain").agg(
+            F.count(F.lit(1)).alias(keys), F.count_if(F.col("n") > 1).alias(many))
+
+    lost = distinct.groupBy("domain").agg(F.count_if(F.col("old").isNull() != F.col("new").isNull()).alias("lost"))
+    out = lost.join(several("old", "keys", "split"), "domain", "left").join(
+        several("new", "codes", "merged"), "domain", "left").fillna(0, ["keys", "split", "codes", "merged"])
+    holds = (F.col("split") == 0) & (F.col("merged") == 0) & (F.col("lost") == 0)
+    return out.select("domain", "keys", "codes", "merged", "split", "lost", holds.alias("holds"))
+
+
 def _paired(before: DataFrame, after: DataFrame, row_key: list[str], columns: list[str]) -> DataFrame:
     """Old and new values side by side; the row key is unique and not anonymized.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -55,28 +57,55 @@ def _within(out: DataFrame, rule: ResolvedRule, written: Column, scope: str) ->
     return F.when(ident(scope), written).otherwise(c)
 
 
-def anonymize(
-    df: DataFrame,
-    policy,
-    settings: Settings,
-    row_key: list[str] | None = None,
-    table: str = "",
-) -> DataFrame:
-    """The same table with the policy's columns transformed, in the same column order.
-
-    All row methods share one projection.  k-anonymity and shuffle read the raw
-    column, so the order of the rules does not matter.  Every rule is written
-    out, and so checked, before the first job of k-anonymity or shuffle starts.
-
-    A rule with ``where``, a condition on the raw columns, holds for the rows
-    that meet it: k-anonymity counts them alone, shuffle permutes them among
-    themselves, and all other rows keep their value.
-    """
+@dataclass
+class Planned:
+    """A table and its rules, written out and checked; nothing has been computed."""
+
+    df: DataFrame
+    columns: list[str]
+    keys: list[str]
+    secrets: Secrets
+    table: str
+    rules: list[ResolvedRule]
+    cross: list[ResolvedRule]
+    written: dict[str, Column]
+    flags: dict[str, str]
+    scopes: dict[str, str]
+    stages: list[dict[str, Column]]
+
+    @property
+    def dropped(self) -> set[str]:
+        return {r.column for r in self.rules if r.method.kind == DROP}
+
+    def result(self, staged: DataFrame) -> DataFrame:
+        """The policy's columns of the raw ones, the flags and the conditions."""
+        for stage in self.stages:
+            staged = staged.withColumns(stage) if stage else staged
+        written = dict(self.written)
+        for rule in self.rules:
+            if rule.column in written and rule.column in self.scopes:
+                written[rule.column] = _within(staged, rule, written[rule.column], self.scopes[rule.column])
+        return staged.select(*[
+            (written[c].alias(c) if c in written else ident(c)) for c in self.columns if c not in self.dropped])
+
+    def run(self) -> DataFrame:
+        """The anonymized table; k-anonymity and shuffle start their jobs here."""
+        mixed = [r.column for r in self.cross if r.method.name == "shuffle"]
+        source = _numbered(self.df, self.keys, stored=bool(mixed))
+        out = shuffle_columns(source, mixed, self.keys, self.secrets, self.table, self.scopes) if mixed else source
+        for rule in self.cross:
+            if rule.column in self.flags:
+                scope = ident(self.scopes[rule.column]) if rule.column in self.scopes else None
+                out = flag_frequent(out, [rule.column], rule.options["k"], self.flags[rule.column], source=source, scope=scope)
+        return self.result(out)
+
+
+def plan(df: DataFrame, policy, settings: Settings, row_key: list[str] | None = None, table: str = "") -> Planned:
+    """Write all rules out; whatever cannot hold for this table is an error here, before any job."""
     rules = TablePolicy.of(policy).resolve(df.schema, settings.strict)
     cross = [r for r in rules if r.method.kind == CROSS]
     if cross and df.isStreaming:
         raise PolicyError(f"not possible on a stream: {[f'{r.column}: {r.method.name}' for r in cross]}")
-    mixed = [r.column for r in cross if r.method.name == "shuffle"]
     flags = {r.column: f"__veil_keep_{i}" for i, r in enumerate(cross) if r.method.name == "k_anonymity"}
     columns = df.columns
     scopes = {r.column: f"__veil_where_{i}" for i, r in enumerate(rules) if r.where}
@@ -97,20 +126,31 @@ def anonymize(
     dropped = {r.column for r in rules if r.method.kind == DROP}
     needed = df.select(*[ident(c) for c in columns if c not in dropped or c in keys],
                        *[test.alias(name) for name, test in tests.items()])
-    source = _numbered(needed, keys, stored=bool(mixed))
-    out = shuffle_columns(source, mixed, keys, secrets, table, scopes) if mixed else source
-    for rule in cross:
-        if rule.column in flags:
-            out = flag_frequent(out, [rule.column], rule.options["k"], flags[rule.column], source=source,
-                                scope=ident(scopes[rule.column]) if rule.column in scopes else None)
-    for stage in build.stages:
-        out = out.withColumns(stage) if stage else out
-    for rule in rules:
-        if rule.column in written and rule.column in scopes:
-            written[rule.column] = _within(out, rule, written[rule.column], scopes[rule.column])
-    return out.select(*[
-        (written[c].alias(c) if c in written else ident(c)) for c in columns if c not in dropped
-    ])
+    planned = Planned(needed, columns, keys, secrets, table, rules, cross, written, flags, scopes, build.stages)
+    # Spark resolves and types every expression; flags and row numbers stand in for those to come.
+    stand_ins = {flag: F.lit(True) for flag in flags.values()} | ({ROW_ID: F.lit(0)} if keys == [ROW_ID] else {})
+    planned.result(needed.withColumns(stand_ins) if stand_ins else needed)
+    return planned
+
+
+def anonymize(
+    df: DataFrame,
+    policy,
+    settings: Settings,
+    row_key: list[str] | None = None,
+    table: str = "",
+) -> DataFrame:
+    """The same table with the policy's columns transformed, in the same column order.
+
+    All row methods share one projection.  k-anonymity and shuffle read the raw
+    column, so the order of the rules does not matter.  Every rule is written
+    out, and so checked, before the first job of k-anonymity or shuffle starts.
+
+    A rule with ``where``, a condition on the raw columns, holds for the rows
+    that meet it: k-anonymity counts them alone, shuffle permutes them among
+    themselves, and all other rows keep their value.
+    """
+    return plan(df, policy, settings, row_key, table).run()
 
 
 def preview(

@@ -101,6 +101,25 @@ def _same_name(name: str, columns) -> str:
     return next((c for c in columns if c.lower() == name.lower()), name)
 
 
+def _text_kind(schemas: dict[str, T.StructType], end: str) -> str:
+    """Types whose equal values have equal texts get the same name."""
+    table, _, column = end.rpartition(".")
+    if table not in schemas:
+        return ""  # not among the tables of this job
+    names = schemas[table].fieldNames()
+    column = _same_name(column, names)
+    if column not in names:
+        raise PolicyError(f"no such column: {end}")
+    dtype = schemas[table][column].dataType
+    for name, kind in (("whole number", T.IntegralType), ("text", (T.StringType, T.CharType, T.VarcharType)),
+                       ("time", (T.TimestampType, T.TimestampNTZType))):
+        if isinstance(dtype, kind):
+            return name
+    if isinstance(dtype, T.DecimalType):
+        return f"decimal of {dtype.scale} places"
+    return dtype.simpleString()
+
+
 @dataclass(frozen=True)
 class Policy:
     """Table policies by table name."""
@@ -126,14 +145,17 @@ class Policy:
     def table(self, name: str) -> TablePolicy:
         return self.tables.get(name, TablePolicy())
 
-    def check_keys(self, links: list[tuple[str, str]]) -> None:
+    def check_keys(self, links: list[tuple[str, str]], schemas: dict[str, T.StructType] | None = None) -> None:
         """Both ends of each declared key must keep equal values equal.
 
         A link is a pair of ``table.column`` names.  Both ends need the same
-        deterministic row method with the same options, or no rule at all.
+        deterministic row method with the same options, or no rule at all.  With
+        schemas, both columns must exist, and if they are digested their types
+        must have the same text forms: 1 and 1.0 are equal but digest differently.
         """
         for left, right in links:
             ends = []
+            kinds = [_text_kind(schemas, end) for end in (left, right)] if schemas is not None else []
             for end in (left, right):
                 table, _, column = end.rpartition(".")
                 rule = self.table(table).rules.get(column, ColumnRule(PASS_THROUGH))
@@ -149,3 +171,5 @@ class Policy:
                 ends.append((method.name, method.complete(rule.options, True)))
             if ends[0] != ends[1]:
                 raise PolicyError(f"{left} and {right} need the same method and options")
+            if len(set(kinds)) > 1 and ends[0][0] != PASS_THROUGH and ends[0][1].get("scale") is None:
+                raise PolicyError(f"{left} and {right} have types with different texts: {kinds}")
