@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from checks import sql as S
 from veil import Settings, anonymize
 from veil.functions.substitution import LISTS
-from veil.operators import audit, mapping, sketches
+from veil.operators import audit, mapping, sketches, value_types
 from veil.operators.detection import detect_pii
 from veil.operators.materialize import materialize, scratch_path
 from veil.operators.suppression import k_anonymity
@@ -1145,6 +1145,49 @@ def audit_privacy(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in ["max_risk", "mean_risk"]})
 
 
+_REPORT_QIS = ["o_orderdate", "o_orderpriority"]
+_SUBSETS = " UNION ALL ".join(f"""
+    SELECT '{','.join(qis)}' AS item, count(*) AS size FROM t GROUP BY {', '.join(qis)}
+""" for qis in (_REPORT_QIS, _REPORT_QIS[:1], _REPORT_QIS[1:]))
+
+
+@query(f"""
+    WITH t AS (SELECT strftime(o_orderdate, '%Y-%m') AS o_orderdate, o_orderpriority, o_orderstatus, o_totalprice,
+            {_DRIFT} AS moved FROM orders),
+        cells AS (SELECT o_orderdate, o_orderpriority, o_orderstatus, count(*) AS n FROM t GROUP BY ALL),
+        overall AS (SELECT o_orderstatus, sum(n) / (SELECT count(*) FROM t) AS share FROM cells GROUP BY o_orderstatus),
+        sized AS (SELECT *, sum(n) OVER (PARTITION BY o_orderdate, o_orderpriority) AS size FROM cells),
+        c AS (SELECT o_orderdate, o_orderpriority, any_value(size) AS size, count(*) AS d, max(n / size) AS top,
+            sum(greatest(n / size - share, 0)) AS off FROM sized JOIN overall USING (o_orderstatus) GROUP BY ALL),
+        s AS ({_SUBSETS}),
+        long AS (
+            SELECT 'classes' AS section, 'count' AS item, count(*)::DOUBLE AS value FROM c
+            UNION ALL SELECT 'classes', 'rows', sum(size) FROM c UNION ALL SELECT 'classes', 'min', min(size) FROM c
+            UNION ALL SELECT 'classes', 'max', max(size) FROM c UNION ALL SELECT 'risk', 'max', 1.0 / min(size) FROM c
+            UNION ALL SELECT 'risk', 'mean', count(*) / sum(size) FROM c
+            UNION ALL SELECT 'risk', 'unique_rows', count(*) FILTER (size = 1) FROM c
+            UNION ALL SELECT 'diversity', 'min_distinct', min(d) FROM c
+            UNION ALL SELECT 'diversity', 'max_share', max(top) FROM c UNION ALL SELECT 'closeness', 'max', max(off) FROM c
+            UNION ALL SELECT 'histogram', size::BIGINT::VARCHAR, count(*) FROM c GROUP BY size
+            UNION ALL SELECT 'subset', item, min(size) FROM s GROUP BY item
+            UNION ALL SELECT 'subset_classes', item, count(*) FROM s GROUP BY item
+            UNION ALL SELECT 'unique', item, count(*) FILTER (size = 1) FROM s GROUP BY item
+            UNION ALL SELECT 'mean_shift', 'o_totalprice', abs(avg(moved) - avg(o_totalprice)) / abs(avg(o_totalprice)) FROM t
+            UNION ALL SELECT 'std_shift', 'o_totalprice', abs(stddev_samp(moved) - stddev_samp(o_totalprice))
+                / stddev_samp(o_totalprice) FROM t)
+    SELECT section, item, round(value, 7) AS value FROM long
+""")
+def audit_report(spark, d):
+    """An anonymized table with its old prices beside the new ones, read once."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus", "o_totalprice")
+    old = orders.select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("old"))
+    after = anonymize(orders, {"o_orderdate": "generalize_date", "o_totalprice": "perturb"}, SET, ["o_orderkey"])
+    both = after.withColumnRenamed("o_totalprice", "new").join(old, F.col("o_orderkey") == F.col("key")).drop("key")
+    report = audit.full_report(both.withColumnRenamed("old", "o_totalprice"), _REPORT_QIS, "o_orderstatus",
+                               {"o_totalprice": "new"})
+    return report.withColumn("value", F.round("value", 7))
+
+
 _FRAMED = "(^|[^0-9])({})([^0-9]|$)"
 _KINDS = {
     "email": r"[A-Za-z0-9._%+-]@[A-Za-z0-9.-]+\.[A-Za-z][A-Za-z]",
@@ -1174,6 +1217,57 @@ def detect_columns(spark, d):
     return detect_pii(table(spark, d, "customer").selectExpr(f"{MAIL} AS mail", f"{PHONE} AS phone", f"{SSN} AS ssn"))
 
 
+_CARD15 = "cast(400000000000000 + c_custkey * 7919 AS string)"
+_TYPED = {
+    "key": ("c_custkey", "integer", "identifier", "true"),
+    "nation": ("c_nationkey", "integer", "category", "true"),
+    "balance": ("c_acctbal", "decimal", "measure", "true"),
+    "mixed": ("CASE WHEN c_custkey % 2 = 0 THEN cast(c_nationkey AS string) ELSE '1.5' END", "decimal", "category", "true"),
+    "segment": ("c_mktsegment", "text", "category", "true"),
+    "mail": ("CASE WHEN c_custkey % 50 = 0 THEN 'none' ELSE concat('u', c_custkey, '@example.com') END", "email",
+             "identifier", "c_custkey % 50 <> 0"),
+    "number": ("concat(cast(c_custkey % 600 + 1 + 66 AS string), '-11-', cast(1000 + c_custkey % 9000 AS string))", "phone",
+               "identifier", "true"),
+    "tax": ("concat(cast(c_custkey % 500 + 100 AS string), '-11-', cast(1000 + c_custkey % 9000 AS string))", "ssn",
+            "identifier", "true"),
+    "iso": ("concat(2000 + c_custkey % 20, '-0', 1 + c_custkey % 9, '-1', c_custkey % 9)", "date_dashed", "attribute", "true"),
+    "us": ("concat('0', 1 + c_custkey % 9, '/', 10 + c_custkey % 19, '/', 2000 + c_custkey % 20)", "date_month_first",
+           "attribute", "true"),
+    "dates": ("CASE c_custkey % 2 WHEN 0 THEN concat('2020-0', 1 + c_custkey % 9, '-1', c_custkey % 9)"
+              " ELSE concat(10 + c_custkey % 19, '/0', 1 + c_custkey % 9, '/2001') END", "date", "attribute", "true"),
+    "flag": ("CASE WHEN c_custkey % 3 = 0 THEN 'Yes' ELSE 'no' END", "boolean", "category", "true"),
+    "note": ("concat('customer ', c_custkey % 700, ' lives in nation ', c_nationkey, ' and has ', c_custkey % 700)", "text",
+             "identifier", "true"),
+    "address": ("concat('10.', c_nationkey, '.', c_custkey % 250, '.1')", "ip", "identifier", "true"),
+}
+
+
+@query(" UNION ALL ".join(f"""
+    SELECT '{name}' AS "column", count({text.replace('AS string', 'AS VARCHAR')}) AS values, 0::BIGINT AS nulls,
+        '{kind}' AS type, round(count(*) FILTER ({hit}) / count(*)::DOUBLE, 6) AS share,
+        CASE WHEN count(DISTINCT {text.replace('AS string', 'AS VARCHAR')}) >= 0.95 * count(*) AND '{kind}' <> 'decimal'
+            THEN 'identifier' WHEN count(DISTINCT {text.replace('AS string', 'AS VARCHAR')}) <= greatest(20, 0.01 * count(*))
+            THEN 'category' WHEN '{kind}' IN ('integer', 'decimal') THEN 'measure' WHEN '{name}' = 'note' THEN 'prose'
+            ELSE 'attribute' END AS role,
+        count(DISTINCT {text.replace('AS string', 'AS VARCHAR')}) AS "distinct" FROM customer
+""" for name, (text, kind, _, hit) in _TYPED.items()) + """
+    UNION ALL SELECT 'card', count(*), 0, 'card', 1.0, 'identifier', count(*) FROM customer
+    UNION ALL SELECT 'no_card', count(*), 0, 'integer', 1.0, 'identifier', count(*) FROM customer
+""")
+def detect_types(spark, d):
+    """Columns of one type, of mixed types, with a few odd values, and numbers with right and wrong check digits."""
+    customers = table(spark, d, "customer").select(
+        "*", *[F.expr(text).alias(name) for name, (text, *_) in _TYPED.items()], F.expr(_CARD15).alias("start"))
+    # The check digit makes the sum of the digits, every second one doubled, a multiple of ten.
+    doubled = F.expr("""aggregate(transform(split(start, ''), (c, i) -> IF(i % 2 = 0,
+        IF(int(c) > 4, 2 * int(c) - 9, 2 * int(c)), int(c))), 0, (a, x) -> a + x)""")
+    check = F.pmod(-doubled, F.lit(10))
+    customers = customers.withColumns({
+        "card": F.concat("start", check.cast("string")), "no_card": F.concat("start", ((check + 1) % 10).cast("string"))})
+    out = value_types.detect_types(customers, [*_TYPED, "card", "no_card"]).drop("method")
+    return out.withColumns({"share": F.round("share", 6), "distinct": F.round("distinct").cast("bigint")})
+
+
 # --- streams ----------------------------------------------------------------------
 
 

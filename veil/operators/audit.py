@@ -320,3 +320,105 @@ def privacy_report(df: DataFrame, quasi_ids: list[str], sensitive: str | None =
         F.try_divide(F.count(F.lit(1)), F.sum(size)).alias("mean_risk"),
         F.min("diversity").alias("min_diversity"),
     )
+
+
+def _weighted(base: DataFrame, numbers: dict[str, str]) -> DataFrame:
+    """(column, side, mean, std) over groups of which each has its count, mean and sum of squares.
+
+    Deviations are added up from the means of the groups, which loses no digits
+    as a difference of large sums of squares would.
+    """
+    parts = base.select(F.inline(F.array(*[
+        F.struct(F.lit(column).alias("column"), F.lit(side).alias("side"), F.col(f"n_{key}").alias("n"),
+                 F.col(f"mean_{key}").alias("mean"), F.col(f"var_{key}").alias("var"))
+        for i, column in enumerate(numbers) for side, key in (("before", f"b{i}"), ("after", f"a{i}"))]))).filter("n > 0")
+    centre = parts.groupBy("column", "side").agg(F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("centre"))
+    off = F.col("n") * (F.col("var") + F.pow(F.col("mean") - F.col("centre"), 2))
+    return parts.join(F.broadcast(centre), ["column", "side"]).groupBy("column", "side").agg(
+        F.any_value("centre").alias("mean"), F.sqrt(F.try_divide(F.sum(off), F.sum("n") - 1)).alias("std"))
+
+
+def full_report(
+    df: DataFrame, quasi_ids: list[str], sensitive: str | None = None, numbers: dict[str, str] | None = None
+) -> DataFrame:
+    """Everything about the privacy of a table in one pass: (section, item, value).
+
+    The table is read once, grouped by quasi-identifiers and sensitive value, and
+    that aggregate is stored.  From it come
+
+    * ``classes``: their number, rows, smallest and largest size;
+    * ``histogram``: how many classes have a size;
+    * ``risk``: of the smallest class, on average, and rows that are alone;
+    * ``diversity``: least distinct sensitive values and largest share of one value
+      in a class; ``closeness``: largest distance of a class's values from all;
+    * ``subset``, ``subset_classes``, ``unique``: for each subset of the quasi-identifiers
+      its smallest class, its classes and those of one row;
+    * ``mean_shift``, ``std_shift``: for each pair of an old and a new column in
+      ``numbers`` the shift as a share of the old figure.
+    """
+    numbers = numbers or {}
+    missing = [c for c in [*quasi_ids, *([sensitive] if sensitive else []), *numbers, *numbers.values()]
+               if c not in df.columns]
+    if missing or not quasi_ids:
+        raise PolicyError(f"no such columns: {missing}" if missing else "name the quasi-identifiers")
+    keys = [f"q{i}" for i in range(len(quasi_ids))]
+    value = ident(sensitive) if sensitive else F.lit(None).cast("string")
+    moments = []
+    for i, (old, new) in enumerate(numbers.items()):
+        for key, c in ((f"b{i}", old), (f"a{i}", new)):
+            x = ident(c).cast("double")
+            moments += [F.count(x).alias(f"n_{key}"), F.avg(x).alias(f"mean_{key}"), F.var_pop(x).alias(f"var_{key}")]
+    base = materialize(df.groupBy(*[ident(c).alias(k) for c, k in zip(quasi_ids, keys, strict=True)],
+                                  value.alias("v")).agg(F.count(F.lit(1)).alias("n"), *moments))
+
+    total = base.agg(F.sum("n").alias("total"))
+    overall = base.groupBy("v").agg(F.sum("n").alias("of_value"))
+    # Half of the summed differences of shares; a value that the class lacks differs by its whole share, so only values
+    # it has are looked at: the distance is the sum of what the class has too much.
+    shared = base.select(*keys, "v", "n").join(overall, base["v"].eqNullSafe(overall["v"])).drop(overall["v"]).join(
+        F.broadcast(total))
+    sized = base.groupBy(*keys).agg(F.sum("n").alias("size"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"s_{k}"))
+    excess = F.greatest(F.col("n") / F.col("size") - F.col("of_value") / F.col("total"), F.lit(0.0))
+    classes = materialize(shared.join(sized.withColumnsRenamed({k: f"s_{k}" for k in keys}), same).groupBy(*keys).agg(
+        F.any_value("size").alias("size"), F.count("v").alias("distinct"),
+        F.max(F.col("n") / F.col("size")).alias("largest"), F.sum(excess).alias("distance")))
+
+    def rows(df: DataFrame, **items) -> DataFrame:
+        return df.select(F.inline(F.array(*[
+            F.struct(F.lit(section).alias("section"), F.lit(item).cast("string").alias("item"),
+                     F.col(column).cast("double").alias("value"))
+            for column, (section, item) in items.items()])))
+
+    size = F.col("size")
+    sums = classes.agg(
+        F.count(F.lit(1)).alias("classes"), F.coalesce(F.sum(size), F.lit(0)).alias("rows"), F.min(size).alias("least"),
+        F.max(size).alias("most"), F.try_divide(F.lit(1.0), F.min(size)).alias("max_risk"),
+        F.try_divide(F.count(F.lit(1)), F.sum(size)).alias("mean_risk"), F.count_if(size == 1).alias("alone"),
+        F.min("distinct").alias("distinct"), F.max("largest").alias("share"), F.max("distance").alias("distance"))
+    out = rows(sums, classes=("classes", "count"), rows=("classes", "rows"), least=("classes", "min"), most=("classes", "max"),
+               max_risk=("risk", "max"), mean_risk=("risk", "mean"), alone=("risk", "unique_rows"))
+    if sensitive:
+        out = out.unionByName(rows(sums, distinct=("diversity", "min_distinct"), share=("diversity", "max_share"),
+                                   distance=("closeness", "max")))
+    out = out.unionByName(classes.groupBy("size").agg(F.count(F.lit(1)).cast("double").alias("value")).select(
+        F.lit("histogram").alias("section"), F.col("size").cast("string").alias("item"), "value"))
+    # Only classes are multiplied by the subsets, not rows.
+    cube = classes.cube(*keys).agg(F.grouping_id().alias("left_out"), F.sum("size").alias("size"))
+    bits = [F.when(F.shiftright("left_out", len(keys) - 1 - i) % 2 == 0, c) for i, c in enumerate(quasi_ids)]
+    subsets = cube.groupBy(F.concat_ws(",", *bits).alias("item")).agg(
+        F.min("size").alias("least"), F.count(F.lit(1)).alias("classes"), F.count_if(size == 1).alias("alone"))
+    out = out.unionByName(subsets.filter("item != ''").select(F.inline(F.array(*[
+        F.struct(F.lit(section).alias("section"), F.col("item").alias("item"), F.col(c).cast("double").alias("value"))
+        for c, section in (("least", "subset"), ("classes", "subset_classes"), ("alone", "unique"))]))))
+    if numbers:
+        sides = _weighted(base, numbers).groupBy("column").agg(*[
+            F.max(F.when(F.col("side") == side, F.col(stat))).alias(f"{stat}_{side}")
+            for side in ("before", "after") for stat in ("mean", "std")])
+        shifts = [F.struct(F.lit(f"{stat}_shift").alias("section"), F.col("column").alias("item"), F.try_divide(
+            F.abs(F.col(f"{stat}_after") - F.col(f"{stat}_before")), F.abs(f"{stat}_before")).alias("value"))
+            for stat in ("mean", "std")]
+        out = out.unionByName(sides.select(F.inline(F.array(*shifts))))
+    return out
