@@ -10,9 +10,8 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from checks import sql as S
+from checks import entries as E, sql as S
 from veil import Settings, anonymize
-from veil.functions.substitution import LISTS
 from veil.operators import audit, mapping, sketches, value_types
 from veil.operators.detection import detect_pii
 from veil.operators.materialize import materialize, scratch_path
@@ -415,7 +414,7 @@ def substitute_list(spark, d):
     return anonymize(df, {"c_mktsegment": rule("substitute", list=_SEG)}, SET, ["c_custkey"])
 
 
-@query(f"SELECT c_custkey, {S.pick(S.u('c_name', 'c_custkey'), LISTS['names'])} AS c_name FROM customer")
+@query(f"SELECT c_custkey, {S.pick(S.u('c_name', 'c_custkey'), E.SUBSTITUTES['names'])} AS c_name FROM customer")
 def substitute_type(spark, d):
     df = table(spark, d, "customer").select("c_custkey", "c_name")
     return anonymize(df, {"c_name": rule("substitute", type="names")}, SET, ["c_custkey"])
@@ -428,7 +427,7 @@ def substitute_default(spark, d):
 
 
 @query(f"""
-    SELECT o_orderkey, {S.pick(f"({S.uniform_of(S.digest('o_orderpriority'))})", LISTS['cities'])}
+    SELECT o_orderkey, {S.pick(f"({S.uniform_of(S.digest('o_orderpriority'))})", E.SUBSTITUTES['cities'])}
         AS o_orderpriority FROM orders
 """)
 def substitute_consistent(spark, d):
@@ -1376,18 +1375,18 @@ def _spread(first: str, last: str) -> str:
 
 @query(f"""
     WITH r AS (SELECT c_custkey AS id, max(c_custkey) OVER () + 1 AS n FROM customer)
-    SELECT id + 1 AS EmployeeID, {S.pick(_AT('name'), samples.PEOPLE)} AS Name,
+    SELECT id + 1 AS EmployeeID, {S.pick(_AT('name'), E.PEOPLE)} AS Name,
         {S.between(_AT('age'), 22, 65)} AS Age,
-        replace(lower({S.pick(_AT('mail_name'), samples.PEOPLE)}), ' ', '.') || id || '@'
-            || replace(lower({S.pick(_AT('mail_firm'), samples.FIRMS)}), ' ', '') || '.com' AS Email,
+        replace(lower({S.pick(_AT('mail_name'), E.PEOPLE)}), ' ', '.') || id || '@'
+            || replace(lower({S.pick(_AT('mail_firm'), E.FIRMS)}), ' ', '') || '.com' AS Email,
         '(' || {S.between(_AT('phone1'), 200, 999)} || ') ' || {S.between(_AT('phone2'), 200, 999)} || '-'
             || {S.between(_AT('phone3'), 1000, 9999)} AS Phone,
         {S.between(_AT('ssn1'), 100, 999)} || '-' || {S.between(_AT('ssn2'), 10, 99)} || '-'
             || {S.between(_AT('ssn3'), 1000, 9999)} AS SSN,
-        {S.pick(_AT('company'), samples.FIRMS)} AS Company,
-        {S.pick(_AT('department'), samples.DEPARTMENTS)} AS Department,
+        {S.pick(_AT('company'), E.FIRMS)} AS Company,
+        {S.pick(_AT('department'), E.DEPARTMENTS)} AS Department,
         {S.between(_AT('salary'), 40000, 150000)} AS Salary, {_spread('2020-01-01', '2023-12-31')} AS HireDate,
-        {S.pick(_AT('city'), samples.CITIES)} AS City, {S.pick(_AT('state'), samples.STATES)} AS State,
+        {S.pick(_AT('city'), E.CITIES)} AS City, {S.pick(_AT('state'), E.STATES)} AS State,
         {S.between(_AT('credit'), 300, 850)} AS CreditScore, {S.between(_AT('bonus'), 0, 25000)} AS AnnualBonus,
         {S.between(_AT('projects'), 1, 15)} AS ProjectCount
     FROM r
@@ -1398,11 +1397,11 @@ def sample_staff(spark, d):
 
 @query(f"""
     WITH c AS (SELECT c_custkey AS id FROM customer), t AS (SELECT o_orderkey AS id FROM orders),
-         cs AS (SELECT id + 1 AS CustomerID, {S.pick(_CU('city'), samples.CITIES[:5])} AS City,
+         cs AS (SELECT id + 1 AS CustomerID, {S.pick(_CU('city'), E.CITIES[:5])} AS City,
              round(100 + {_CU('balance')} * 49900, 2) AS AccountBalance FROM c),
          ts AS (SELECT cast(floor({_TX('customer')} * (SELECT count(*) FROM c)) + 1 AS BIGINT) AS CustomerID,
              round(10 + {_TX('amount')} * 4990, 2) AS Amount,
-             {S.pick(_TX('type'), samples.TRANSACTION_TYPES)} AS TransactionType FROM t)
+             {S.pick(_TX('type'), E.TRANSACTION_TYPES)} AS TransactionType FROM t)
     SELECT City, TransactionType, count(*) AS transactions, count(DISTINCT CustomerID) AS customers,
         round(sum(Amount), 2) AS amount, round(max(AccountBalance), 2) AS top_balance
     FROM ts JOIN cs USING (CustomerID) GROUP BY ALL
@@ -1425,17 +1424,17 @@ _EM = _sample_sql("employees")
 
 @query(f"""
     WITH r AS (SELECT c_custkey AS id, max(c_custkey) OVER () + 1 AS n FROM customer)
-    SELECT id + 1 AS EmployeeID, {S.pick(_EM('name'), samples.PEOPLE[:10])} AS Name,
+    SELECT id + 1 AS EmployeeID, {S.pick(_EM('name'), E.PEOPLE[:10])} AS Name,
         {S.between(_EM('age'), 22, 65)} AS Age, {_spread('1960-01-01', '2000-12-31')} AS DateOfBirth,
         'employee' || (id + 1) || '@company.com' AS Email,
         '(' || {S.between(_EM('phone1'), 200, 999)} || ') ' || {S.between(_EM('phone2'), 200, 999)} || '-'
             || {S.between(_EM('phone3'), 1000, 9999)} AS Phone,
         {S.between(_EM('ssn1'), 100, 999)} || '-' || {S.between(_EM('ssn2'), 10, 99)} || '-'
             || {S.between(_EM('ssn3'), 1000, 9999)} AS SSN,
-        {S.pick(_EM('department'), samples.DEPARTMENTS)} AS Department,
+        {S.pick(_EM('department'), E.DEPARTMENTS)} AS Department,
         {S.between(_EM('salary'), 40000, 150000)} AS Salary, {_spread('2015-01-01', '2023-12-31')} AS HireDate,
-        {S.pick(_EM('manager'), samples.MANAGERS)} AS Manager,
-        {S.between(_EM('house'), 1, 9999)} || ' ' || {S.pick(_EM('street'), samples.STREETS)} || ' St, City '
+        {S.pick(_EM('manager'), E.MANAGERS)} AS Manager,
+        {S.between(_EM('house'), 1, 9999)} || ' ' || {S.pick(_EM('street'), E.STREETS)} || ' St, City '
             || (id + 1) AS Address,
         'Contact' || (id + 1) || '@family.com' AS EmergencyContact
     FROM r
