@@ -7,11 +7,13 @@ cannot express the operator.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks import entries as E, sql as S
-from veil import Settings, anonymize
+from veil import Settings, anonymize, preview
+from veil.functions import registry
 from veil.operators import audit, mapping, sketches, value_types
 from veil.operators.detection import detect_pii
 from veil.operators.materialize import materialize, scratch_path
@@ -19,8 +21,8 @@ from veil.operators.suppression import k_anonymity
 from veil.plans.job import anonymize_tables, run_job
 from veil.plans.presets import preset
 from veil.sources import samples
-from veil.sources.tables import load_tables, save_tables
-from veil.streaming import session_k_anonymity, windowed_k_anonymity
+from veil.sources.tables import list_columns, load_tables, save_tables
+from veil.streaming import session_k_anonymity, shuffle_batches, windowed_k_anonymity
 
 SET = Settings(S.SALT, S.KEY)
 PARITY = Settings(S.SALT, S.KEY, parity=True)
@@ -344,6 +346,18 @@ def dp_int(spark, d):
     return anonymize(df, {"p_size": "differential_privacy"}, SET, ["p_partkey"])
 
 
+@query(f"""
+    WITH p AS (SELECT o_orderkey, cast(o_totalprice AS DECIMAL(14, 2)) AS d FROM orders),
+         n AS (SELECT o_orderkey, d::DOUBLE + {S.laplace(S.u('d', 'o_orderkey'), 1.0)} AS x FROM p)
+    SELECT o_orderkey, round(cast(x AS DECIMAL(30, 10)), 2)::DECIMAL(14, 2)::DOUBLE AS d FROM n
+""")
+def dp_decimal(spark, d):
+    """Noise on decimals is rounded to their places."""
+    df = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(14,2)").alias("d"))
+    out = anonymize(df, {"d": "differential_privacy"}, SET, ["o_orderkey"])
+    return out.withColumn("d", F.col("d").cast("double"))
+
+
 _BIG_U = S.u("big", "o_orderkey")
 
 
@@ -602,6 +616,40 @@ def preset_pci(spark, d):
     return anonymize(table(spark, d, "customer"), preset("pci", roles), SET)
 
 
+@query(f"""
+    WITH n AS (SELECT *, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+    SELECT 'S_' || substr({S.digest('user_id::VARCHAR')}, 1, 16) AS user_id, {S.digest('event_id::VARCHAR')} AS event_id,
+        year(ts) || '-Q' || quarter(ts) AS ts,
+        CASE WHEN n >= 10 THEN event_type ELSE '[SUPPRESSED]' END AS event_type, value FROM n
+""")
+def preset_gdpr(spark, d):
+    roles = {"user_id": "subject", "event_id": "online_identifier", "ts": "birth_date", "event_type": "place",
+             "value": "country", "props": "free_text"}
+    return anonymize(table(spark, d, "events"), preset("gdpr", roles), SET)
+
+
+@query(f"""
+    WITH n AS (SELECT *, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer)
+    SELECT 'C_' || substr({S.digest('c_name')}, 1, 12) AS c_name, {S.digest('c_custkey::VARCHAR')} AS c_custkey,
+        round(c_acctbal + {S.laplace(S.u('c_acctbal', 'c_custkey'), 200.0)}, 4) AS c_acctbal,
+        CASE WHEN n >= 20 THEN c_nationkey::VARCHAR ELSE '[SUPPRESSED]' END AS c_nationkey, c_mktsegment FROM n
+""")
+def preset_finance(spark, d):
+    roles = {"c_name": "customer", "c_custkey": "account", "c_acctbal": "balance", "c_nationkey": "segment"}
+    out = anonymize(table(spark, d, "customer"), preset("finance", roles), SET, ["c_custkey"])
+    return _rounded(out, "c_acctbal")
+
+
+@query(f"""
+    WITH n AS (SELECT *, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)
+    SELECT 'P_' || substr({S.digest('s_suppkey::VARCHAR')}, 1, 12) AS s_suppkey, {S.binned('s_acctbal', 5000)} AS s_acctbal,
+        CASE WHEN n >= 8 THEN s_nationkey::VARCHAR ELSE '[SUPPRESSED]' END AS s_nationkey FROM n
+""")
+def preset_hr(spark, d):
+    roles = {"s_suppkey": "person", "s_name": "name", "s_acctbal": "pay", "s_nationkey": "team"}
+    return anonymize(table(spark, d, "supplier"), preset("hr", roles), SET)
+
+
 _ENDS = "CASE doc_id % 4 WHEN 0 THEN text || chr(13) WHEN 1 THEN chr(13) || chr(10) || text WHEN 2 THEN text END"
 
 
@@ -622,6 +670,65 @@ def csv_texts(spark, d):
         spark.conf.set("spark.sql.files.maxPartitionBytes", block)
 
 
+@query(f"""
+    WITH n AS (SELECT *, count(*) OVER (PARTITION BY o_orderdate) AS n FROM orders)
+    SELECT o_orderkey, 'ID_' || substr({S.digest('o_custkey::VARCHAR')}, 1, 8) AS o_custkey,
+        CASE WHEN n >= 4 THEN {S.stamp('o_orderdate')} ELSE '[SUPPRESSED]' END AS o_orderdate FROM n
+    ORDER BY n.o_orderkey LIMIT 25
+""")
+def preview_orders(spark, d):
+    """The first rows of a result; groups are counted over the whole table."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate").orderBy("o_orderkey")
+    policy = {"o_custkey": "pseudonymize", "o_orderdate": rule("k_anonymity", k=4)}
+    return preview(orders, policy, SET, 25).orderBy("o_orderkey")
+
+
+_KINDS_OF_COLUMNS = "CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' " \
+    "WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' ELSE data_type END"
+
+
+@query(f"""
+    SELECT table_name AS "table", column_name AS "column", {_KINDS_OF_COLUMNS} AS type FROM information_schema.columns
+    WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents',
+        'embeddings', 'pages', 'benchmark', 'labels', 'conversations')
+""")
+def dataset_columns(spark, d):
+    """What a policy can be written for: the columns of all tables of a dataset."""
+    rows = [(t, c, kind) for t, columns in list_columns(spark, d).items() for c, kind in columns]
+    return spark.createDataFrame(rows, 'table string, column string, type string')
+
+
+@query(f"""
+    SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {S.digest('l_shipdate::DATE::VARCHAR')} AS shipped,
+        round(l_quantity + (2 * {S.u('l_quantity', *_LINE)} - 1) * 3, 6) AS l_quantity FROM lineitem
+""")
+def policy_chunks(spark, d):
+    """Chunks that are anonymized one by one make the same table as all rows at once."""
+    lines = table(spark, d, "lineitem").select(*_LINE, F.to_date("l_shipdate").alias("shipped"), "l_quantity")
+    policy = {"shipped": "hash", "l_quantity": rule("perturb", range=3)}
+    chunks = [anonymize(lines.filter(F.pmod(F.xxhash64(*_LINE), F.lit(4)) == i), policy, SET, _LINE) for i in range(4)]
+    return reduce(DataFrame.unionByName, chunks).withColumn("l_quantity", F.round("l_quantity", 6))
+
+
+@query("""
+    SELECT c_custkey, reverse(c_name) || '#' || length(c_name) AS c_name,
+        CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'credit' END AS c_acctbal FROM customer
+""")
+def registered_methods(spark, d):
+    """Two methods of one's own: a column function of the text, and one with an option."""
+    def turned(build, name, c, dtype, options):
+        return F.concat(F.reverse(c), F.lit("#"), F.length(c).cast("string"))
+
+    def signed(build, name, c, dtype, options):
+        return F.when(c < 0, options["below"]).otherwise("credit")
+
+    for name, write, options in (("turned", turned, None), ("signed", signed, {"below": "minus"})):
+        if registry.find(name) is None:
+            registry.register_method(name, write, options)
+    customers = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    return anonymize(customers, {"c_name": "turned", "c_acctbal": rule("signed", below="debt")}, SET)
+
+
 _TWO = {
     "customer": {"c_custkey": "hash", "c_name": "remove", "c_acctbal": rule("perturb", type="percentage")},
     "orders": {"o_custkey": "hash", "o_totalprice": rule("generalize_numeric", bin_size=100000)},
@@ -696,6 +803,20 @@ def dictionary_map(spark, d):
     return mapping.map_values(_national(spark, d), "n_name", mapping.dictionary(spark, _LABELS), "Elsewhere")
 
 
+@query("""
+    SELECT c_custkey, CASE WHEN n_nationkey % 3 = 0 THEN 'unlisted' ELSE '"' || r_name || '" ' || n_nationkey END AS n_name
+    FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+""")
+def dictionary_file(spark, d):
+    """A dictionary in a JSON file, made from the nations; some are left out of it."""
+    region = table(spark, d, "region")
+    pairs = table(spark, d, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey")).filter(
+        "n_nationkey % 3 > 0").selectExpr("n_name", """concat('"', r_name, '" ', n_nationkey) AS label""")
+    folder = scratch_path(spark)
+    pairs.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("n_name", "label"))))).coalesce(1).write.text(folder)
+    return mapping.map_values(_national(spark, d), "n_name", mapping.read_dictionary(spark, folder), "unlisted")
+
+
 _REGIONAL = f"""
     SELECT c_custkey, CASE WHEN r_name IN ('ASIA', 'EUROPE') THEN {{}} ELSE {{}} END AS n_name
     FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
@@ -1318,6 +1439,38 @@ def stream_daily_k(spark, d):
     return _drain(windowed_k_anonymity(stream, "ts", "1 day", "user_id", 3, ["event_id"]), scratch_path(spark)).drop("ts")
 
 
+@query(f"""
+    WITH places AS (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) AS r FROM events),
+         a AS (SELECT user_id, row_number() OVER (ORDER BY {S.draw('events#0.user_id', 'event_id')}) AS r FROM events)
+    SELECT event_id, event_type, user_id FROM places JOIN a USING (r)
+""")
+def stream_shuffle(spark, d):
+    """A stream of one batch, whose users change places within it."""
+    folder = scratch_path(spark)
+    stream = _stream(spark, d).select("event_id", "event_type", "user_id")
+    writer = shuffle_batches(stream, ["user_id"], ["event_id"], SET, lambda batch, number: batch.write.parquet(
+        f"{folder}/rows/batch={number}"), "events")
+    writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").drop("batch")
+
+
+@query("""
+    WITH n AS (SELECT *, count(*) OVER (PARTITION BY date_trunc('day', ts), user_id) AS n,
+            max(date_trunc('day', ts)) OVER () AS last_day FROM events)
+    SELECT event_id, CASE WHEN n >= 2 THEN user_id::VARCHAR ELSE '[SUPPRESSED]' END AS user_id FROM n
+    WHERE date_trunc('day', ts) < last_day
+""")
+def stream_late_rows(spark, d):
+    """Rows that come when their day is closed are dropped: here all events once more, in a second file."""
+    events, folder = table(spark, d, "events").select("event_id", "ts", "user_id"), scratch_path(spark)
+    for df in (events, events.withColumn("event_id", -F.col("event_id") - 1)):
+        df.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+        out = _drain(windowed_k_anonymity(stream, "ts", "1 day", "user_id", 2, ["event_id"]), f"{folder}/out")
+    last = events.agg(F.date_trunc("day", F.max("ts")).alias("last"))
+    return out.join(F.broadcast(last), F.date_trunc("day", "ts") < F.col("last")).select("event_id", "user_id")
+
+
 _PAUSE = 3 * 3_600_000_000
 _SESSIONS = f"""
     WITH e AS (SELECT *, epoch_us(ts) AS us, epoch_us(ts) // 86400000000 AS day FROM events),
@@ -1395,6 +1548,53 @@ def sample_staff(spark, d):
     return samples.staff(spark, SET, _ids(spark, d, "customer", "c_custkey"))
 
 
+_CUSTOMERS = f"""
+    SELECT id + 1 AS CustomerID, {S.pick(_CU('name'), E.CLIENTS)} AS Name, 'customer' || (id + 1) || '@email.com' AS Email,
+        '(' || {S.between(_CU('phone1'), 200, 999)} || ') ' || {S.between(_CU('phone2'), 200, 999)} || '-'
+            || {S.between(_CU('phone3'), 1000, 9999)} AS Phone,
+        {S.between(_CU('house'), 1, 9999)} || ' ' || {S.pick(_CU('street'), E.STREETS)} || ' St, City ' || (id + 1) AS Address,
+        {S.pick(_CU('city'), E.CITIES[:5])} AS City, {S.pick(_CU('state'), E.STATES[:5])} AS State,
+        {S.between(_CU('zip'), 10000, 99999)}::VARCHAR AS ZipCode, {S.between(_CU('credit'), 300, 850)} AS CreditScore,
+        {S.between(_CU('income'), 30000, 200000)} AS AnnualIncome,
+        round(100 + {_CU('balance')} * 49900, 2) AS AccountBalance, {_spread('2023-01-01', '2023-12-31')} AS LastPurchaseDate
+"""
+_TRANSACTIONS = f"""
+    SELECT id + 1 AS TransactionID, cast(floor({_TX('customer')} * c) + 1 AS BIGINT) AS CustomerID,
+        round(10 + {_TX('amount')} * 4990, 2) AS Amount, {_spread('2023-01-01', '2023-12-31')} AS TransactionDate,
+        {S.pick(_TX('type'), E.TRANSACTION_TYPES)} AS TransactionType, {S.pick(_TX('merchant'), E.MERCHANTS)} AS MerchantName,
+        {S.pick(_TX('category'), E.CATEGORIES)} AS Category, {S.pick(_TX('payment'), E.PAYMENTS)} AS PaymentMethod,
+        {S.pick(_TX('location'), E.LOCATIONS)} AS Location
+"""
+
+
+@query(f"WITH r AS (SELECT c_custkey AS id, max(c_custkey) OVER () + 1 AS n FROM customer) {_CUSTOMERS} FROM r")
+def sample_customers(spark, d):
+    return samples.customers(spark, SET, _ids(spark, d, "customer", "c_custkey"))
+
+
+@query(f"""
+    WITH r AS (SELECT o_orderkey AS id, max(o_orderkey) OVER () + 1 AS n, (SELECT count(*) FROM customer) AS c FROM orders)
+    {_TRANSACTIONS} FROM r
+""")
+def sample_sales(spark, d):
+    people = table(spark, d, "customer").count()
+    return samples.transactions(spark, SET, _ids(spark, d, "orders", "o_orderkey"), people)
+
+
+@query(f"""
+    WITH s AS (SELECT (count(*) // 500)::BIGINT AS scale FROM customer),
+         c AS (SELECT unnest(range(100 * scale)) AS id, 100 * scale AS n, scale FROM s),
+         t AS (SELECT unnest(range(200 * scale)) AS id, 200 * scale AS n, 100 * scale AS c FROM s),
+         cs AS ({_CUSTOMERS} FROM c), ts AS ({_TRANSACTIONS} FROM t)
+    SELECT TransactionID, CustomerID, Amount, MerchantName, Name, City, AccountBalance FROM ts JOIN cs USING (CustomerID)
+""")
+def sample_all(spark, d):
+    """All sample tables at a scale taken from the customers; transactions with their customers."""
+    tables = samples.sample_dataset(spark, SET, table(spark, d, "customer").count() // 500)
+    sales = tables["Transactions"].join(tables["Customers"], "CustomerID")
+    return sales.select("TransactionID", "CustomerID", "Amount", "MerchantName", "Name", "City", "AccountBalance")
+
+
 @query(f"""
     WITH c AS (SELECT c_custkey AS id FROM customer), t AS (SELECT o_orderkey AS id FROM orders),
          cs AS (SELECT id + 1 AS CustomerID, {S.pick(_CU('city'), E.CITIES[:5])} AS City,
