@@ -179,13 +179,28 @@ def test_lines_of_earlier_documents_go(spark):
         (None, left(21), 1), (9, None, 0), (10, "", 0)])
 
 
-def test_frequent_lines_need_a_neighbour(spark):
-    line = "The same frequent line of text stands in all of these documents."
-    rows = [(i, f"Own first line of document {i} as it is\n{line}\nOwn last line of document {i}") for i in range(8)]
-    rows += [(100 + i, f"{line}\nAnother frequent line that always follows the first.\nOwn {i}") for i in range(8)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r["doc_id"]: r["n_deleted"] for r in line_dedup.delete_common_lines(df, rare=3).collect()}
-    assert [got[i] for i in range(8)] == [0] * 8 and [got[100 + i] for i in range(8)] == [0] + [2] * 7
+def test_runs_of_many_texts_at_once():
+    draw = np.random.default_rng(3)
+    texts = [draw.integers(0, 30, draw.integers(0, 12)) for _ in range(200)]
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    found = set(zip(*(x.tolist() for x in line_dedup.key_runs(np.concatenate(texts), 40, bounds)), strict=True))
+    alone = set()
+    for start, sizes in zip(bounds, texts, strict=False):
+        for i in range(len(sizes)):
+            for j in range(i + 1, len(sizes) + 1):
+                inner = min(sizes[i + 1:j].sum(), sizes[i:j - 1].sum())
+                shortest = sizes[i:j].sum() >= 40 and (sizes[i] and sizes[i:j - 1].sum() < 40 or sizes[j - 1] and sizes[i + 1:j].sum() < 40)
+                if shortest and inner >= 0:
+                    alone.add((int(start + i), int(start + j)))
+    assert found == alone
+
+
+@pytest.mark.parametrize("text", ["", "\n", " a \t b\x0b\r\n\x0c\n  ", "é 😀\u00a0x\n x\u2003 "])
+def test_lines_of_a_text(text):
+    hashes, sizes = line_dedup.text_lines(text)
+    bare = [re.sub(r"^[ \t\x0b\x0c\r]+|[ \t\x0b\x0c\r]+$", "", x) for x in text.split("\n")]
+    assert sizes == [len(re.sub(r"[ \t\x0b\x0c\r]", "", x)) for x in bare]
+    assert [hashes[i] == hashes[0] for i in range(len(bare))] == [x == bare[0] for x in bare]
 
 
 def test_frequent_lines_go_at_every_size(spark):

@@ -9,6 +9,12 @@ documents that have their keys, twice as many in each round, until none are left
 So the number of pairs follows the number of lines, not its square, unless a key
 stays uncovered in many documents.
 
+Lines are read once, as flat arrays of hashes and sizes for a batch of texts.
+The earliest text of a key is an aggregate, and only keys that are still open get
+an order of their texts, in two steps, so no task sorts the texts of a frequent
+line.  For the alignments the partners of an earlier text are dealt to tasks, each
+of which gets its lines once and the partners one after another.
+
 A pair is aligned by patience diff on line hashes: lines that stand once in both
 are the anchors, the longest run of anchors in order is kept, and matches grow
 from there; between anchors the longest common runs follow.  Aligned blocks with
@@ -22,14 +28,20 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from veil.llm.rows import col, digest, fresh, mixed, order_key, whole_text
+from veil.llm.rows import col, digest, fresh, mixed, order_key, ragged, whole_text
 from veil.operators.materialize import materialize
 
 #: Characters without white space that a block needs at least.
 BLOCK_CHARS = 40
+#: Partners of one text that a task aligns with it; parts into which the texts of a key are dealt to find the first ones.
+PARTNERS, PARTS = 500, 16
+#: Characters of text that are split into lines at once.
+SLICE = 4_000_000
 _FACTOR = 0xD6E8FEB86659FD93
+_WHITE = " \t\n\x0b\x0c\r"
 
 
 def least_runs(sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -40,16 +52,25 @@ def least_runs(sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[ends <= len(sizes)], ends[ends <= len(sizes)]
 
 
-def key_runs(sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the shortest runs from and up to each line: every line of a block lies in one inside it."""
-    starts, ends = least_runs(sizes, least)
+def key_runs(sizes: np.ndarray, least: int, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the shortest runs from and up to each line: every line of a block lies in one inside it.
+
+    ``bounds`` are the edges of the texts whose lines stand one after another in ``sizes``.
+    """
+    bounds = np.array([0, len(sizes)]) if bounds is None else bounds
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     ahead = np.concatenate([[0], np.cumsum(sizes)])
-    last = np.flatnonzero(sizes > 0) + 1
-    last = last[ahead[last] >= least]
-    spans = np.unique(np.concatenate([
-        np.stack([starts, ends], axis=1),
-        np.stack([np.searchsorted(ahead, ahead[last] - least, side="right") - 1, last], axis=1)]), axis=0)
-    return spans[:, 0], spans[:, 1]
+    filled = np.flatnonzero(sizes > 0)
+    ends = np.searchsorted(ahead, ahead[filled] + least)
+    inside = ends <= bounds[text[filled] + 1]
+    enough = ahead[filled + 1] - ahead[bounds[text[filled]]] >= least
+    last = filled[enough] + 1
+    spans = np.stack([np.concatenate([filled[inside], np.searchsorted(ahead, ahead[last] - least, side="right") - 1]),
+                      np.concatenate([ends[inside], last])])
+    spans = spans[:, np.lexsort((spans[1], spans[0]))]
+    new = np.ones(spans.shape[1], dtype=bool)
+    new[1:] = (spans[:, 1:] != spans[:, :-1]).any(axis=0)
+    return spans[0, new], spans[1, new]
 
 
 def run_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -156,107 +177,155 @@ def common_blocks(earlier: list, later: list, sizes: list[int], least: int = BLO
     return out
 
 
-def _lines(text: Column) -> Column:
-    """Hash and size of every line; white space at its ends does not count."""
-    def line(x: Column) -> Column:
-        bare = F.regexp_replace(x, r"^\s+|\s+$", "")
-        return F.struct(F.xxhash64(bare).alias("hash"),
-                        F.length(F.regexp_replace(bare, r"\s+", "")).alias("size"))
-
-    return F.transform(F.split(text, "\n", -1), line)
-
-
-def _keys(texts: DataFrame, least: int, pairs_too: bool) -> DataFrame:
-    """(text_id, hash, single) of the runs in texts (text_id, lines, places) that ``places`` don't cover.
-
-    With ``pairs_too`` a line that is a run by itself also makes one with the next.
-    """
+def text_lines(text: str) -> tuple[list[int], list[int]]:
+    """Hash and size of every line; white space at its ends does not count, and none in the size."""
+    bare = [x.strip(_WHITE) for x in text.split("\n")]
+    hashes = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in bare]
+    if any(w in text for w in _WHITE[3:] + "\t"):
+        return hashes, [len(x) - sum(map(x.count, _WHITE)) for x in bare]
+    return hashes, [len(x) - x.count(" ") for x in bare]
+
+
+def _key_hashes(hashes: np.ndarray, sizes: np.ndarray, bounds: np.ndarray, least: int, open_: np.ndarray | None = None):
+    """(hashes, number for each text): the distinct keys of texts, or those with an open line in them."""
+    starts, ends = key_runs(sizes, least, bounds)
+    if open_ is not None:
+        left = np.concatenate([[0], np.cumsum(open_)])
+        some = left[ends] > left[starts]
+        starts, ends = starts[some], ends[some]
+    text = np.searchsorted(bounds, starts, side="right") - 1
+    keys = run_hashes(hashes, starts, ends)
+    order = np.lexsort((keys, text))
+    keys, text = keys[order], text[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])
+    return keys[new], np.bincount(text[new], minlength=len(bounds) - 1)
+
+
+def _read(source: DataFrame, least: int) -> DataFrame:
+    """(text_id, doc_id, hashes, sizes, keys) of (text_id, doc_id, text)."""
+    kind = source.schema["doc_id"].dataType.simpleString()
+    names = ["text_id", "doc_id", "hashes", "sizes", "keys"]
 
     def run(batches):
         for batch in batches:
-            for text_id, lines, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                hashes = np.array([x["hash"] for x in lines], dtype=np.int64).view(np.uint64)
-                sizes = np.array([x["size"] for x in lines], dtype=np.int64)
-                starts, ends = key_runs(sizes, least)
-                if pairs_too:
-                    ahead = np.concatenate([[0], np.cumsum(sizes)])
-                    longer = np.searchsorted(ahead, ahead[ends] + 1)
-                    more = (ends - starts == 1) & (longer <= len(sizes))
-                    starts, ends = np.concatenate([starts, starts[more]]), np.concatenate([ends, longer[more]])
-                open_ = np.ones(len(sizes), dtype=np.int64)
-                open_[places or []] = 0
-                left = np.concatenate([[0], np.cumsum(open_)])
-                uncovered = left[ends] > left[starts]
-                starts, ends = starts[uncovered], ends[uncovered]
-                found, at = np.unique(run_hashes(hashes, starts, ends), return_index=True)
-                if len(found):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([text_id] * len(found), pa.binary()), pa.array(found.view(np.int64)),
-                         pa.array(ends[at] - starts[at] == 1)], ["text_id", "hash", "single"])
-
-    return texts.select("text_id", "lines", "places").mapInArrow(run, "text_id binary, hash bigint, single boolean")
-
-
-def _ranked(texts: DataFrame, rare: int | None, least: int) -> DataFrame:
-    """(hash, rank, text_id) of the runs that several texts have, ranked by the place of the texts."""
-    unread = texts.withColumn("places", F.lit(None).cast("array<int>"))
-    same = Window.partitionBy("hash")
-    ranked = _keys(unread, least, rare is not None).join(texts.select("text_id", "first"), "text_id").select(
-        "hash", "text_id", "single", F.row_number().over(same.orderBy("first", "text_id")).alias("rank"),
-        F.count("*").over(same).alias("n"))
-    wanted = F.col("n") > 1
-    return ranked.filter(wanted if rare is None else wanted & (~F.col("single") | (F.col("n") <= rare))).select(
-        "hash", "rank", "text_id")
-
-
-def _deleted(texts: DataFrame, rare: int | None, least: int) -> DataFrame:
+            texts, a = batch.column(2), 0
+            while a < batch.num_rows:
+                hashes, sizes, counts, chars, b = [], [], [], 0, a
+                while b < batch.num_rows and chars < SLICE:
+                    text = texts[b].as_py()
+                    h, n = text_lines(text)
+                    hashes += h
+                    sizes += n
+                    counts.append(len(h))
+                    chars += len(text)
+                    b += 1
+                h, n, lengths = np.array(hashes, dtype=np.uint64), np.array(sizes, dtype=np.int64), np.array(counts)
+                keys, number = _key_hashes(h, n, np.concatenate([[0], np.cumsum(lengths)]), least)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
+                     ragged(h.view(np.int64), lengths, pa.int64()), ragged(n.astype(np.int32), lengths, pa.int32()),
+                     ragged(keys.view(np.int64), number, pa.int64())], names)
+                a = b
+
+    return source.select("text_id", "doc_id", "text").mapInArrow(
+        run, f"text_id binary, doc_id {kind}, hashes array<bigint>, sizes array<int>, keys array<bigint>")
+
+
+def _open_keys(texts: DataFrame, least: int) -> DataFrame:
+    """(text_id, hash) of the keys in texts (text_id, hashes, sizes, places) that ``places`` don't cover."""
+    def run(batches):
+        for batch in batches:
+            lists = [batch.column(i) for i in (1, 2)]
+            hashes, sizes = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+            bounds = lists[0].offsets.to_numpy().astype(np.int64)
+            bounds -= bounds[0]
+            open_ = np.ones(len(sizes), dtype=np.int64)
+            for n, places in enumerate(batch.column(3)):
+                if places.is_valid:
+                    open_[bounds[n] + places.values.to_numpy()] = 0
+            keys, number = _key_hashes(hashes.view(np.uint64), sizes.astype(np.int64), bounds, least, open_)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(np.repeat(np.arange(len(number)), number))), pa.array(keys.view(np.int64))],
+                ["text_id", "hash"])
+
+    return texts.select("text_id", "hashes", "sizes", "places").mapInArrow(run, "text_id binary, hash bigint")
+
+
+def _firsts(rows: DataFrame, number: int) -> DataFrame:
+    """(hash, rank, place) of the first texts of each key, found in parts of its texts and then among those."""
+    part = F.pmod(F.xxhash64("place.text_id"), F.lit(PARTS)).alias("part")
+    some = rows.select("hash", "place", part).withColumn("rank", F.row_number().over(
+        Window.partitionBy("hash", "part").orderBy("place"))).filter(F.col("rank") <= number)
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy("hash").orderBy("place"))).filter(
+        F.col("rank") <= number).select("hash", "rank", "place")
+
+
+def _deleted(texts: DataFrame, least: int) -> DataFrame:
     """(text_id, places): the lines in blocks that earlier texts have."""
-    ranked = materialize(_ranked(texts, rare, least))
-    lines = texts.select("text_id", "lines")
-    low, high, found = 1, 1, None
-    open_ = ranked.filter("rank > 1")
+    rows = texts.select(F.struct("first", "text_id").alias("place"), F.explode("keys").alias("hash"))
+    earliest = rows.groupBy("hash").agg(F.min("place").alias("earliest"), F.count("*").alias("n")).filter("n > 1")
+    shared = materialize(rows.join(earliest, "hash"))
+    pairs = shared.filter("place != earliest").select(
+        F.col("place.text_id").alias("later"), F.col("earliest.text_id").alias("earlier"))
+    lines = texts.select("text_id", "hashes", "sizes")
+    open_, low, found = shared.filter("place != earliest AND n > 2").select("hash", "place"), 2, None
     while True:
-        earlier = ranked.filter(F.col("rank").between(low, high)).select(
-            "hash", F.col("rank").alias("before"), F.col("text_id").alias("earlier"))
-        pairs = open_.join(earlier, "hash").filter("before < rank").select(
-            F.col("text_id").alias("later"), "earlier").distinct()
-        both = pairs.join(
-            lines.select(F.col("text_id").alias("later"), F.col("lines").alias("later_lines")), "later").join(
-            lines.select(F.col("text_id").alias("earlier"), F.col("lines").alias("earlier_lines")), "earlier")
-        new = _aligned(both, least)
-        places = (new if found is None else found.unionByName(new)).groupBy("text_id").agg(
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
-        found = materialize(places)
-        more = open_.filter(F.col("rank") > high + 1)
-        left = lines.join(more.select("text_id").distinct(), "text_id").join(found, "text_id", "left")
-        open_ = materialize(more.join(_keys(left, least, rare is not None).select("text_id", "hash"),
-                                      ["text_id", "hash"]))
+        new = _aligned(pairs.distinct(), lines, least)
+        found = materialize((new if found is None else found.unionByName(new)).groupBy("text_id").agg(
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places")))
+        left = lines.join(open_.select(F.col("place.text_id").alias("text_id")).distinct(), "text_id").join(
+            found, "text_id", "left")
+        still = _open_keys(left, least).select(F.col("text_id").alias("id"), F.col("hash").alias("key"))
+        open_ = materialize(open_.join(still, (F.col("place.text_id") == F.col("id")) & (F.col("hash") == F.col("key")),
+                                       "left_semi"))
         if open_.isEmpty():
             return found
-        low, high = high + 1, 2 * high + 1
-
-
-def _aligned(pairs: DataFrame, least: int) -> DataFrame:
-    """(text_id, deleted places) for pairs with the lines of both."""
+        # The next partners of the keys that are left: as many as there were, and one that shows whether there are more.
+        high = 2 * low - 1
+        firsts = materialize(_firsts(shared.select("hash", "place").join(
+            open_.select("hash").distinct(), "hash", "left_semi"), high + 1))
+        partners = firsts.filter(F.col("rank").between(low, high)).select("hash", F.col("place").alias("before"))
+        pairs = open_.join(partners, "hash").filter("before < place").select(
+            F.col("place.text_id").alias("later"), F.col("before.text_id").alias("earlier"))
+        more = firsts.filter(F.col("rank") == high + 1).select("hash", F.col("place").alias("limit"))
+        open_ = open_.join(more, "hash").filter("limit < place").drop("limit")
+        low = high + 1
+
+
+def _aligned(pairs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
+    """(text_id, deleted places) of the later texts of the pairs (later, earlier)."""
+    parts = pairs.groupBy("earlier").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "earlier").select(
+        "earlier", "later", F.pmod(F.xxhash64("later"), F.col("parts")).cast("int").alias("part"))
+    of_earlier = dealt.select("earlier", "part").distinct().join(
+        lines.withColumnRenamed("text_id", "earlier"), "earlier").select(
+        "earlier", "part", F.lit(None).cast("binary").alias("later"), "hashes", "sizes")
+    of_later = dealt.join(lines.withColumnRenamed("text_id", "later"), "later").select(*of_earlier.columns)
+    ordered = of_earlier.unionByName(of_later).repartition("earlier", "part").sortWithinPartitions(
+        "earlier", "part", F.col("later").isNotNull())
 
     def run(batches):
+        known: list[int] = []
         for batch in batches:
             ids, found = [], []
-            for later, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                places = common_blocks([e["hash"] for e in y], [e["hash"] for e in x], [e["size"] for e in x], least)
+            for n in range(batch.num_rows):
+                hashes, later = batch.column(1)[n].values.to_numpy(), batch.column(0)[n]
+                if not later.is_valid:
+                    known = hashes.tolist()
+                    continue
+                places = common_blocks(known, hashes.tolist(), batch.column(2)[n].values.to_numpy().tolist(), least)
                 if places:
-                    ids.append(later)
+                    ids.append(later.as_py())
                     found.append(places)
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(found, pa.list_(pa.int32()))],
                                                  ["text_id", "places"])
 
-    return pairs.select("later", "later_lines", "earlier_lines").mapInArrow(
-        run, "text_id binary, places array<int>")
+    return ordered.select("later", "hashes", "sizes").mapInArrow(run, "text_id binary, places array<int>")
 
 
-def line_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rare: int | None = None,
-                    least: int = BLOCK_CHARS) -> DataFrame:
+def line_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = BLOCK_CHARS) -> DataFrame:
     """(text_id, first_id, places) for each distinct text that has something to delete or occurs again.
 
     ``places`` are the lines that a document with this text loses; documents
@@ -264,22 +333,18 @@ def line_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     source = docs.select(col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
     source = source.select("doc_id", digest(F.col("text")).alias("text_id"), "text")
-    texts = materialize(_distinct_texts(source))
-    deleted = _deleted(texts, rare, least)
+    key = order_key(F.col("doc_id"))
+    texts = materialize(_read(source, least).groupBy("text_id").agg(
+        F.min(key).alias("first"), (F.min(key) != F.max(key)).alias("several"),
+        F.any_value(F.struct("hashes", "sizes", "keys")).alias("lines")).select("text_id", "first", "several", "lines.*"))
+    deleted = _deleted(texts, least)
     return texts.select("text_id", F.col("first.doc_id").alias("first_id"), "several").join(
         deleted, "text_id", "left").filter(F.col("several") | F.col("places").isNotNull()).select(
         "text_id", "first_id", "places")
 
 
-def _distinct_texts(source: DataFrame) -> DataFrame:
-    """(text_id, first, several, lines) for each distinct text."""
-    return source.select("text_id", order_key(F.col("doc_id")).alias("key"), _lines(F.col("text")).alias("lines")) \
-        .groupBy("text_id").agg(F.min("key").alias("first"), (F.min("key") != F.max("key")).alias("several"),
-                                F.any_value("lines").alias("lines"))
-
-
-def delete_common_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rare: int | None = None,
-                        least: int = BLOCK_CHARS, out: str = "n_deleted") -> DataFrame:
+def delete_common_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = BLOCK_CHARS,
+                        out: str = "n_deleted") -> DataFrame:
     """All rows with their text without the lines that an earlier document has in an aligned block.
 
     Earlier means a smaller id; documents without an id come last, documents with
@@ -287,13 +352,12 @@ def delete_common_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     id, same text) are one document: all of them keep or lose the same lines.  A
     null text stays null; an empty one has nothing to lose.  Lines without a
     character but white space pair no documents but go with the block around
-    them.  With ``rare``, a line in more distinct texts than that pairs documents
-    only together with a neighbour.  A document is aligned with one earlier
-    document at a time: passages that none has in its order stay but one.  ``out`` counts the deleted lines (underscores follow if the name is
-    taken); an empty table stays empty.
+    them.  A document is aligned with one earlier document at a time: passages
+    that none has in its order stay but one.  ``out`` counts the deleted lines
+    (underscores follow if the name is taken); an empty table stays empty.
     """
     name, at, first, places, known = fresh(docs, out, "at", "first", "places", "known")
-    found = line_duplicates(docs, doc_id, text, rare, least).select(
+    found = line_duplicates(docs, doc_id, text, least).select(
         F.col("text_id").alias(at), F.col("first_id").alias(first), F.col("places").alias(places),
         F.lit(True).alias(known))
     joined = docs.withColumn(at, digest(whole_text(text))).join(found, at, "left")
@@ -301,7 +365,11 @@ def delete_common_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     copy = col(known) & ~col(doc_id).eqNullSafe(col(first)) & (whole_text(text) != "")
 
     def kept(parts: Column) -> Column:
-        return F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(col(places), i)), "\n")
+        """What stands between two deleted places, one stretch after another."""
+        edges = F.concat(F.array(F.lit(-1)), col(places), F.array(F.size(parts)))
+        stretches = F.transform(F.slice(edges, F.lit(2), F.size(edges) - 1), lambda end, i: F.slice(
+            parts, F.get(edges, i) + 2, end - F.get(edges, i) - 1))
+        return F.array_join(F.flatten(stretches), "\n")
 
     rest = F.when(copy, F.lit("")).when(col(places).isNotNull(), F.get(F.transform(F.array(lines), kept), F.lit(0))) \
         .otherwise(col(text))
