@@ -119,3 +119,66 @@ def test_odd_tables(clashing, nothing):
     out = surrogates.replace_entities(clashing, "key")
     assert out.columns == [*clashing.columns, "n_replaced_"] and out.count() == clashing.count()
     assert surrogates.replace_entities(nothing, "key").count() == 0
+
+
+def replaced_texts(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    return {r["doc_id"]: (r["text"], r["n_replaced"]) for r in surrogates.replace_entities(df, "key").collect()}
+
+
+def test_digits_of_every_script(spark):
+    got = replaced_texts(spark, "ssn ١٢٣-٤٥-٦٧٨٩", "ssn 123-45-6789 x", "ssn ١٢٣-٤٥-٦٧٨٩ and 7", "tel ९८७-६५४-३२१०",
+                         "password=abc१२३xyz", "𝟏𝟐𝟑-𝟒𝟓-𝟔𝟕𝟖𝟗")
+    arabic = re.fullmatch(r"ssn ([٠-٩]{3}-[٠-٩]{2}-[٠-٩]{4})", got[0][0])[1]
+    plain = re.fullmatch(r"ssn (\d{3}-\d\d-\d{4}) x", got[1][0])[1]
+    # One entity in two kinds of digits, in one text with a digit of ASCII and in one without.
+    assert "".join(c if c == "-" else str(int(c)) for c in arabic) == plain != "123-45-6789"
+    assert got[2][0] == f"ssn {arabic} and 7"
+    assert re.fullmatch(r"tel [०-९]{3}-[०-९]{3}-[०-९]{4}", got[3][0]) and "९८७" not in got[3][0]
+    assert re.fullmatch(r"password=[a-z]{3}[०-९]{3}[a-z]{3}", got[4][0]) and "abc" not in got[4][0]
+    assert all(0x1D7CE <= ord(c) <= 0x1D7D7 or c == "-" for c in got[5][0]) and got[5][0] != "𝟏𝟐𝟑-𝟒𝟓-𝟔𝟕𝟖𝟗"
+    assert [got[i][1] for i in range(6)] == [1] * 6
+
+
+def test_mentions_of_a_person(spark):
+    got = replaced_texts(
+        spark, "Mrs Anna Weber went. Anna Weber said so. Weber left, and WEBER’s car too. Only anna did not.",
+        "Dr Anna Weber wrote.", "Mr JOHN SMITH met Mr John Smith; Mr Smith, John and SMITH.", "Anna Weber without a title.",
+        "Mrs Weber and Mr Karl Weber: Weber, Karl. Mrs Weber again.", "Ms Ann O'Brien-Kay and O'Brien-Kay's Ann",
+        "Señora Núñez. Núñez! Ángel", "Господин Иван Петров. Петров и ПЕТРОВ")
+    given, family = re.match(r"Mrs (\w+) (\w+) went", got[0][0]).groups()
+    assert given in surrogates.GIVEN["latin"]["f"]
+    assert got[0] == (f"Mrs {given} {family} went. {given} {family} said so. {family} left, and {family.upper()}’s car too. "
+                      "Only anna did not.", 5)
+    assert got[1][0] == f"Dr {given} {family} wrote."
+    john, smith = re.match(r"Mr [A-Z]+ [A-Z-]+ met Mr (\w+) ([\w-]+);", got[2][0]).groups()
+    assert got[2][0] == f"Mr {john.upper()} {smith.upper()} met Mr {john} {smith}; Mr {smith}, {john} and {smith.upper()}."
+    assert got[3] == ("Anna Weber without a title.", 0)
+    # Of two with one family name a title with a gender tells which, else the last one before.
+    woman, karl, man, last, again = re.fullmatch(r"Mrs (\S+) and Mr (\w+) (\S+): (\S+), \2. Mrs (\S+) again.", got[4][0]).groups()
+    assert woman == again != man == last and karl in surrogates.GIVEN["latin"]["m"]
+    ann, brien = re.match(r"Ms (\w+) (\S+) and", got[5][0]).groups()
+    assert got[5][0] == f"Ms {ann} {brien} and {brien}'s {ann}"
+    assert "Núñez" not in got[6][0] and got[6][0].endswith("Ángel") and got[6][1] == 2
+    assert not re.search("петров", got[7][0], re.IGNORECASE) and got[7][1] == 3
+
+
+def test_names_do_not_run_out(spark):
+    names = [(i, f"Mrs Nn{''.join(chr(97 + int(c)) for c in str(i))}") for i in range(1200)]
+    df = spark.createDataFrame(names, "doc_id int, text string")
+    got = [r["text"] for r in surrogates.replace_entities(df, "key").collect()]
+    assert len(set(got)) == 1200 and not any("Nn" in t for t in got)
+
+
+def test_hint_loses_nothing(spark):
+    """Texts put together at random are found the same with the fast pass and without."""
+    import random
+
+    rng = random.Random(6)
+    pieces = ["Mrs Anna Weber", "Weber", "password: hunterhunter", "a@b.co", "٣٣٣-٢٢-١١١١", "AKIA" + "A" * 16, "555.123.4567",
+              "plain words", "Herr", "token=", "10.0.0.1", "х", "Κυρία Ελένη"]
+    texts = [" ".join(rng.choices(pieces, k=rng.randrange(1, 4))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = df.select(F.size(F.regexp_extract_all("text", F.lit(surrogates.PATTERN), F.lit(0))).alias("n"),
+                      F.col("text").rlike(surrogates._HINT).alias("hinted")).collect()
+    assert all(r["hinted"] for r in found if r["n"]) and any(not r["hinted"] for r in found)
