@@ -1,7 +1,9 @@
 """From raw documents to token ids: five stages, each written as Parquet and read again as the next one's input.
 
 Every stage works on all documents that the one before kept, and all but the last
-return the columns of ``documents``.
+return the columns of ``documents``.  Null texts count as empty.  Columns of the
+documents with names that a stage uses itself are left as they are, and empty
+tables go through all stages.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veil.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality
+from veil.llm.rows import col, fresh
 from veil.operators.materialize import materialize
 
 #: The rank file of the last stage.
@@ -19,17 +22,18 @@ RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier gives a probability of a half or more."""
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score_quality(docs, model, out="pipeline_score")
-    return scored.filter(F.col("pipeline_score") >= 0.5).select(*docs.columns)
+    score, = fresh(docs, "pipeline_score")
+    return quality.score_quality(docs, model, out=score).filter(col(score) >= 0.5).drop(score)
 
 
 def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the blocks of lines that an earlier document has; documents that lose all their text go."""
-    cut = line_dedup.delete_common_lines(docs, out="pipeline_deleted")
-    changed = F.col("pipeline_deleted") > 0
-    left = cut.filter(~(changed & (F.trim("text") == "")))
+    """Texts without the blocks of lines that an earlier document has; documents that lose all but white space go."""
+    deleted, = fresh(docs, "pipeline_deleted")
+    cut = line_dedup.delete_common_lines(docs, out=deleted)
+    changed = col(deleted) > 0
+    left = cut.filter(~changed | F.col("text").rlike(r"\S"))
     return left.withColumn("n_chars", F.when(changed, F.length("text").cast("bigint")).otherwise(
-        F.col("n_chars"))).select(*docs.columns)
+        F.col("n_chars"))).drop(deleted)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +44,14 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def unseen_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap no benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.mark_contaminated(docs, items).filter(F.col("n_items") == 0).select(*docs.columns)
+    n_items, longest = fresh(docs, "n_items", "longest")
+    return decontaminate.mark_contaminated(docs, items).filter(col(n_items) == 0).drop(n_items, longest)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all texts, and whether they decode to the text again."""
     vocabulary = byte_bpe.Vocabulary(spark, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
+    docs = docs.select("doc_id", "lang", "source", "text")
     decoded = byte_bpe.decode(byte_bpe.encode(docs, vocabulary), vocabulary)
     return decoded.select(
         "doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
@@ -59,7 +65,7 @@ STAGES = [
     ("benchmark_decontamination", unseen_documents),
     ("byte_bpe", token_ids),
 ]
-#: No stage can be said in SQL: models, alignments, MinHash and merges; the tests have a slow form of each.
+#: No stage can be said in SQL: models, alignments, MinHash and merges; the tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 
