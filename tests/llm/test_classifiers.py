@@ -1,5 +1,7 @@
 """Toxicity, quality and line labels: held-out accuracy and the methods' own properties."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +64,63 @@ def test_swapped_terms_change_scores_little(spark):
     assert free > 0.05 and held[0] < free / 5 and held[1][2] > held[1][0]
 
 
+SENTENCES = ["the women here met the men", "Women, women and a girl.", "muslims like muslim food", "no group at all", "",
+             "the man who saw black and white", "womenfolk and women", "ausländer und einwanderer und ausländisch"]
+
+
+def test_the_penalty_is_that_of_swapped_sentences():
+    """Scores of sentences written out with each other term, against the matrix."""
+    terms = {t: (kind, ts) for kind, ts in toxicity.IDENTITY_TERMS.items() for t in ts}
+    texts = [*SENTENCES, *terms]
+    known: dict = {}
+    for text in texts:
+        for word in [*re.findall(r"\w+", text.lower()), *terms]:
+            for f in toxicity.features(word):
+                known.setdefault(f, len(known))
+    weights = np.random.default_rng(1).normal(size=len(known))
+    make = toxicity._Features(known)
+
+    def score(words):
+        return sum(weights[f] for f in make.of(" ".join(words)))
+
+    wanted = 0.0
+    for text in texts:
+        words = re.findall(r"\w+", text.lower())
+        for term in set(words) & set(terms):
+            for other in terms[term][1]:
+                if other != term:
+                    wanted += (score([other if w == term else w for w in words]) - score(words)) ** 2
+    found = [(come, go, 1) for s in SENTENCES for come, go in toxicity.swapped(s.lower())]
+    got = weights @ toxicity.swap_penalty(found, known) @ weights
+    assert got == pytest.approx(wanted) and len(found) > 20
+
+
+def test_neutral_mentions_of_every_term_are_clean(known, labels):
+    model = toxicity.fit_toxicity(known, labels)
+    terms = [t for ts in toxicity.IDENTITY_TERMS.values() for t in ts]
+    texts = [f"{a} {t} {b}" for t in terms for a, b in (("many", "live in this town"), ("we met", "at school"), ("", ""))]
+    assert (model.score(texts, toxicity._Features(model.known)) < 0.7).all()
+
+
+def test_the_penalty_lowers_false_alarms(spark):
+    """Groups named in toxic texts alone: without the penalty their names alone raise a score, with it they do not."""
+    kinds = [ts for ts in toxicity.IDENTITY_TERMS.values() if len(ts) > 3]
+    named = [ts[0] for ts in kinds]
+    rows = [(i, f"{named[i % len(named)]} {['scum', 'idiots', 'trash'][i % 3]} {i}" if i % 2 else f"a fine day {i}")
+            for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    truth = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id bigint, toxic int")
+
+    def gaps(swap):
+        model = toxicity.fit_toxicity(docs, truth, swap=swap)
+        make = toxicity._Features(model.known)
+        named_scores, others = (model.score([f"{ts[i]} work here" for ts in kinds], make) for i in (0, 2))
+        return np.abs(named_scores - others).max(), model.score(["idiots", "scum", "trash"], make).min()
+
+    free, held = gaps(0.0), gaps(toxicity.SWAP)
+    assert held[0] < free[0] / 5 and held[1] >= 0.7
+
+
 def test_one_label_or_none(spark, known, edges, nothing, clashing):
     for truth in ([], [(1, 1), (8, 1), (3, 1)]):
         labels = spark.createDataFrame(truth, "doc_id bigint, quality int").withColumn("toxic", F.col("quality"))

@@ -1,15 +1,18 @@
 """Toxicity of documents: a linear classifier whose scores hardly change when identity terms are swapped.
 
 Features are a document's distinct words and the beginnings of words (hashed);
-the ones kept differ most between the labels.  In the labelled sentences that
-name a group, the name is swapped for the other names of its kind, and the
-squared change of the score is a penalty in training.  So a name that happens to
-stand in toxic documents does not make a neutral mention toxic.
+the ones kept differ most between the labels.  Every labelled sentence that names
+a group is read again with each other name of its kind in place of that name, and
+the squared change of the sentence's score is a penalty in training.  What the
+other words of the sentence have in common with either name does not change, so
+it is no part of the penalty.  So a name that happens to stand in toxic documents
+does not make a neutral mention toxic.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +41,7 @@ IDENTITY_TERMS = {
     "origin_es": ["extranjeros", "inmigrantes", "refugiados", "gitanos", "españoles"],
     "religion_es": ["musulmanes", "cristianos", "judíos", "ateos"],
 }
+_KIND = {term: kind for kind, terms in IDENTITY_TERMS.items() for term in terms}
 #: Labelled documents learned from, and features kept.
 MOST_ROWS, MOST_FEATURES = 16_000, 1024
 #: A feature stands in so many labelled documents at least, and its share of ones is off by so many deviations.
@@ -45,7 +49,7 @@ LEAST_DOCS, LEAST_DEVIATIONS = 5, 4.0
 #: Weights of the penalties: squares of the weights, and squared changes of scores by swaps.
 RIDGE, SWAP = 0.1, 4.0
 #: Lengths of the beginnings of words that are features.
-STARTS = (4, 5)
+STARTS = (3, 4, 5)
 
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -70,9 +74,21 @@ class _Features:
         return {f for w in set(_WORD.findall(text.lower())) for f in get(w)}
 
 
+def swapped(sentence: str) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
+    """For each identity term in a sentence and each other term of its kind: the features that come and those that go."""
+    words = set(_WORD.findall(sentence))
+    out = []
+    for term in sorted(_KIND.keys() & words):
+        old = {f for w in words for f in features(w)}
+        for other in IDENTITY_TERMS[_KIND[term]]:
+            if other != term:
+                new = {f for w in (words - {term}) | {other} for f in features(w)}
+                out.append((tuple(sorted(new - old)), tuple(sorted(old - new))))
+    return out
+
+
 def _statistics(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per feature, documents and toxic ones; per identity term, sentences that name it."""
-    kinds = {t for terms in IDENTITY_TERMS.values() for t in terms}
+    """Per feature, documents and toxic ones; and the swaps of labelled sentences, equal ones counted together."""
 
     def count(batches):
         make = _Features()
@@ -87,21 +103,22 @@ def _statistics(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
                 [pa.array(ids), pa.array(docs.astype(np.int64)), pa.array(toxic.astype(np.int64))],
                 ["feature", "docs", "toxic"])
 
-    def name(batches):
+    def swap(batches):
+        kind = pa.list_(pa.int64())
         for batch in batches:
-            seen: dict[str, int] = {}
+            seen: Counter = Counter()
             for text in batch.column(0).to_pylist():
                 for sentence in _SENTENCE.split(text.lower()):
-                    for term in kinds.intersection(_WORD.findall(sentence)):
-                        seen[term] = seen.get(term, 0) + 1
-            yield pa.RecordBatch.from_pydict({"term": list(seen), "sentences": list(seen.values())},
-                                             schema=pa.schema([("term", pa.string()), ("sentences", pa.int64())]))
+                    seen.update(swapped(sentence))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([come for come, _ in seen], kind), pa.array([go for _, go in seen], kind),
+                 pa.array(list(seen.values()), pa.int64())], ["come", "go", "sentences"])
 
     counted = rows.mapInArrow(count, "feature bigint, docs bigint, toxic bigint").groupBy("feature").agg(
         F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
-    named = rows.mapInArrow(name, "term string, sentences bigint").groupBy("term").agg(
+    swaps = rows.mapInArrow(swap, "come array<bigint>, go array<bigint>, sentences bigint").groupBy("come", "go").agg(
         F.sum("sentences").alias("sentences"))
-    return counted, named
+    return counted, swaps
 
 
 @dataclass
@@ -114,29 +131,27 @@ class ToxicityModel:
         return logistic(np.array([self.bias + sum(self.weights[f] for f in make.of(t)) for t in texts]))
 
 
-def swaps(named: dict[str, int], known: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """What changes in the features when a term is swapped, and in how many sentences.
+def swap_penalty(found: list[tuple], known: dict[int, int]) -> np.ndarray:
+    """The sum of squared changes of scores as a matrix over the weights.
 
-    Each pair of terms of a kind counts once more than it occurs, so that a term
-    without any labelled sentence is held as well.
+    ``found`` are (features that come, features that go, sentences).  Each term
+    is also swapped once in a sentence of its own, so that terms without any
+    labelled sentence are held as well.
     """
-    rows, counts = [], []
-    for terms in IDENTITY_TERMS.values():
-        for a in terms:
-            for b in terms:
-                if a != b:
-                    change = np.zeros(len(known))
-                    for f in features(a):
-                        change[known[f]] += 1
-                    for f in features(b):
-                        change[known[f]] -= 1
-                    rows.append(change)
-                    counts.append(1 + named.get(a, 0))
-    return np.array(rows), np.array(counts, dtype=np.float64)
-
-
-def train(x: np.ndarray, y: np.ndarray, times: np.ndarray, changes: np.ndarray, counts: np.ndarray,
-          swap: float = SWAP, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
+    alone = [(come, go, 1) for term in _KIND for come, go in swapped(term)]
+    total: Counter = Counter()
+    for come, go, sentences in [*found, *alone]:
+        # A feature that was not kept has no weight.
+        total[tuple(known[f] for f in come if f in known), tuple(known[f] for f in go if f in known)] += sentences
+    changes = np.zeros((len(total), len(known)))
+    for row, (come, go) in zip(changes, total, strict=True):
+        row[list(come)] += 1
+        row[list(go)] -= 1
+    return (changes.T * np.array(list(total.values()), dtype=np.float64)) @ changes
+
+
+def train(x: np.ndarray, y: np.ndarray, times: np.ndarray, swaps: np.ndarray, swap: float = SWAP,
+          ridge: float = RIDGE) -> tuple[np.ndarray, float]:
     """Logistic regression with both penalties, by Newton's method; row ``i`` counts ``times[i]``."""
     rows, width = x.shape
     if len(set(y.tolist())) < 2:
@@ -145,7 +160,7 @@ def train(x: np.ndarray, y: np.ndarray, times: np.ndarray, changes: np.ndarray,
     wide = np.hstack([x, np.ones((rows, 1))])
     penalty = ridge * np.eye(width + 1)
     penalty[-1, -1] = 1e-6
-    penalty[:-1, :-1] += swap * (changes.T * counts) @ changes
+    penalty[:-1, :-1] += swap * swaps
     w = np.zeros(width + 1)
     for _ in range(25):
         p = logistic(wide @ w)
@@ -162,10 +177,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_i
                  text: str = "text", most: int = MOST_ROWS, swap: float = SWAP) -> ToxicityModel:
     """Learns from at most ``most`` labelled documents; ``swap`` weighs the penalty on swaps.
 
-    Without labelled rows, or with one label only, every score is the share of ones.
+    An id that is labelled twice counts as 1 if one label does; rows with the same
+    id are all learned from.  Without labelled rows, or with one label only, every score is the share of ones.
     """
     rows = materialize(training_rows(docs, labels, label, most, doc_id, text))
-    counted, named = _statistics(rows)
+    counted, changed = _statistics(rows)
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("t")).first()
     share = min(max(total["t"] / max(total["n"], 1), 1e-6), 1 - 1e-6)
     off = (F.col("toxic") - F.col("docs") * share) / F.sqrt(F.col("docs") * share * (1 - share))
@@ -191,12 +207,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_i
     for i, found in enumerate(got["places"]):
         x[i, list(found)] = 1
     times = got["count"].to_numpy(dtype=np.int64)
-    changes, counts = swaps({r["term"]: r["sentences"] for r in named.collect()}, known)
+    # Swaps of at most ``most`` documents, equal ones together.
+    penalty = swap_penalty([(r["come"], r["go"], r["sentences"]) for r in changed.collect()], known)
     # Only features that occur or are swapped have a say; the others keep the weight 0.
-    used = np.flatnonzero(x.any(axis=0) | (changes != 0).any(axis=0))
+    used = np.flatnonzero(x.any(axis=0) | (penalty != 0).any(axis=0))
     weights = np.zeros(len(known))
-    weights[used], bias = train(x[:, used], got["label"].to_numpy(dtype=np.float64), times, changes[:, used],
-                                counts, swap)
+    weights[used], bias = train(x[:, used], got["label"].to_numpy(dtype=np.float64), times,
+                                penalty[np.ix_(used, used)], swap)
     return ToxicityModel(known, weights, bias)
 
 
