@@ -78,7 +78,10 @@ QUERIES = {
         "dp_laplace", "perturb_uniform", "bin_double_negative", "date_strings_mixed", "substitute_type",
         "k_anonymity_orders", "k_anonymity_users", "shuffle_columns", "policy_multi", "job_files",
         "csv_round_trip", "vault_apply", "audit_profile", "audit_privacy",
-        "events_daily_k", "stream_policy",
+        "events_daily_k", "stream_policy", "csv_texts", "policy_where", "events_session_k", "stream_session_k",
+        "shuffle_composite_key", "vault_collisions", "vault_grows", "category_root", "audit_class_subsets",
+        "audit_drift_quantiles_exact", "audit_sketches", "audit_bijection", "audit_report", "detect_types",
+        "stream_daily_k",
     ]},
 }
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -20,6 +22,8 @@ def session(name: str = "veil-checks", cores: str = "8", **conf) -> SparkSession
         .config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g").config("spark.sql.adaptive.enabled", "true")
     )
+    # On a cluster this names a folder that all executors share.
+    conf.setdefault("spark.checkpoint.dir", os.environ.get("CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="veil-"))
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

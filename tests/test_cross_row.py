@@ -50,14 +50,16 @@ def test_every_way_back_gives_the_same(spark, limit, k):
     assert flagged.columns == ["i", "v", "keep"]
 
 
-def test_hot_keys_are_not_shuffled(spark):
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_hot_keys_do_not_meet_in_one_task(spark, limit):
+    """Hot keys are broadcast if they are small enough, else copied to several tasks."""
     df = spark.createDataFrame(list(enumerate(skewed(5000))), "i int, v string")
     table = spark.createDataFrame([("hot", "H"), (None, "N"), *[(f"v{i}", f"L{i}") for i in range(300)]], "v string, label string")
-    out = lookup.attach(df, ["v"], table, broadcast_bytes=0)
+    out = lookup.attach(df, ["v"], table, broadcast_bytes=limit)
     want = {None: "N", "hot": "H", **{f"v{i}": f"L{i}" for i in range(300)}}
     assert column(out, "label") == [want.get(v) for v in skewed(5000)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert "Union" in plan
+    assert "Union" in plan and ("__veil_copy" in plan) == (limit == 0)
 
 
 def test_long_texts_are_told_apart(spark, settings):

@@ -4,21 +4,25 @@ The lookup side is measured first.  If it is small it is broadcast and the main
 table is not shuffled at all.  If it is not, keys that hold more than one
 thousandth of the rows are looked up by a broadcast of those keys alone - there
 are at most a thousand of them - and only the remaining rows are shuffled, none
-of whose keys can dominate a task.
+of whose keys can dominate a task.  If even those few keys are too long to be
+broadcast, each of them is copied to several tasks and its rows are dealt to those.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from veil.functions.canonical import ident
 from veil.operators.materialize import materialize
 
 BROADCAST_BYTES = 32 << 20
 HOT_KEYS = 1000
+#: Tasks that a hot key goes to if it cannot be broadcast.
+COPIES = 64
 _ROW_BYTES = 32  # what a stored row costs besides its values
 _COUNT = "__veil_n"
 _HOT = "__veil_hot"
+_SALT = "__veil_copy"
 
 
 def row_bytes(df: DataFrame, columns: list[str] | None = None) -> Column:
@@ -74,9 +78,17 @@ def attach(
     hot = materialize(_join(hot, table, keys, small=False).withColumn(_HOT, F.lit(True)))
     if hot.count() == 0:
         return _join(df, table, keys, small=False)
-    known = _join(df, hot, keys, small=True)
     marker = F.coalesce(ident(_HOT), F.lit(False))
-    done = known.filter(marker).drop(_HOT)
+    if measured_bytes(hot) > broadcast_bytes:
+        # A deal by all columns of the row is the same in every run of a task.
+        plain = [ident(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+        dealt = df.withColumn(_SALT, F.pmod(F.xxhash64(*plain), F.lit(COPIES)).cast("int"))
+        copies = hot.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+        known = _join(dealt, copies, [*keys, _SALT], small=False).drop(_SALT)
+        others = [c for c in table.columns if c not in keys]
+        rest = known.filter(~marker).drop(_HOT, *others)
+        return known.filter(marker).drop(_HOT).unionByName(_join(rest, table, keys, small=False))
+    done = _join(df, hot, keys, small=True).filter(marker).drop(_HOT)
     rest = _join(_join(df, hot.select(*keys, _HOT), keys, small=True).filter(~marker).drop(_HOT),
                  table, keys, small=False)
     return done.unionByName(rest)

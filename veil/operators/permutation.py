@@ -25,6 +25,7 @@ _PLACE = "__veil_place"
 _PART = "__veil_part"
 _DRAW = "__veil_draw"
 _START = "__veil_start"
+_TIMES = "__veil_times"
 _PART_HEX = 8  # hex digits that choose the partition
 _PART_BITS = 33  # monotonically_increasing_id: partition above, row number below
 
@@ -35,15 +36,22 @@ def with_row_id(df: DataFrame) -> DataFrame:
 
 
 def _dense(placed: DataFrame, checked: list[str] | None = None) -> tuple[DataFrame, int]:
-    """Turn stored places within partitions into ranks from 0; also the row count."""
+    """Turn stored places within partitions into ranks from 0; also the row count.
+
+    ``checked`` are row keys, each stored once with its number of rows.
+    """
     part = F.shiftright(_PLACE, _PART_BITS).alias(_PART)
     has_null = F.lit(False)
     for c in checked or []:
         has_null = has_null | ident(c).isNull()
     # One row per partition of the sort, whatever the size of the data.
-    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("n"), F.max(has_null).alias("bad")).collect()
-    if any(s["bad"] for s in sizes):
+    sizes = placed.groupBy(part).agg(
+        F.count(F.lit(1)).alias("n"), F.max(has_null).alias("null"),
+        F.max(ident(_TIMES) if checked else F.lit(1)).alias("times")).collect()
+    if any(s["null"] for s in sizes):
         raise PolicyError(f"the row key {checked} holds nulls")
+    if any(s["times"] > 1 for s in sizes):
+        raise PolicyError(f"the row key {checked} is not unique")
     sizes = sorted((s[_PART], s["n"]) for s in sizes)
     ends = list(accumulate((n for _, n in sizes), initial=0))
     parts = pa.array([p for p, _ in sizes], pa.int64())
@@ -59,13 +67,16 @@ def _dense(placed: DataFrame, checked: list[str] | None = None) -> tuple[DataFra
 
 
 def rank_by_key(df: DataFrame, row_key: list[str]) -> tuple[DataFrame, int]:
-    """The row keys with their dense rank; they have to be unique and not null."""
+    """The row keys with their dense rank; they have to be unique and not null.
+
+    Equal keys fall into one range, so they are counted where they are sorted:
+    one shuffle ranks the keys and proves that they are unique.
+    """
     keys = [ident(k) for k in row_key]
-    placed = materialize(df.select(*keys).orderBy(*keys).withColumn(_PLACE, F.monotonically_increasing_id()))
+    counted = df.select(*keys).repartitionByRange(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias(_TIMES))
+    placed = materialize(counted.sortWithinPartitions(*keys).withColumn(_PLACE, F.monotonically_increasing_id()))
     ranked, total = _dense(placed, row_key)
-    if placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").count():
-        raise PolicyError(f"the row key {row_key} is not unique")
-    return ranked, total
+    return ranked.drop(_TIMES), total
 
 
 def rank_by_draw(drawn: DataFrame) -> tuple[DataFrame, int]:
