@@ -226,6 +226,13 @@ def test_main_text_of_made_pages(marked):
         assert extract(page) == "\n".join(wanted), page
 
 
+def test_blocks_with_few_stop_words_follow_their_neighbours():
+    prose, names = PROSE.format(1), "Anton Berta Caesar Dora Emil Friedrich Gustav Heinrich Ida Julius and Konrad of Ludwig " * 3
+    assert extract(f"<div>{prose}</div><div>{names}</div><div>{prose}</div>") == f"{prose}\n{names.strip()}\n{prose}"
+    links = "<div><a href=1>one link</a> <a href=2>another link</a></div>"
+    assert extract(f"{links}<div>{names}</div>{links}<div>{prose}</div>{links}") == prose
+
+
 @pytest.mark.parametrize("page, wanted", [
     ("", ""), ("   ", ""), ("<p>", ""), ("<article>", ""), ("<article><p>a &lt;b&gt;&nbsp;c &am; &#228;</article>", "a <b> c &am; ä"),
     ("<article><h1>Only a title</h1></article><footer>x</footer>", "Only a title"),

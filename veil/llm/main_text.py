@@ -6,8 +6,8 @@ by tag, role, or the words of their class and id.  Of the others, if the page ma
 article (or else a main part), only that counts.
 
 First pass: stop-word density, length and link density call a block content or
-boilerplate, or leave it open.  Second pass: open, short blocks take the label of
-the nearest decided neighbour.  A marked article needs no stop words to be
+boilerplate, or leave it open.  Second pass: open blocks, the short ones and those
+with few stop words, take the label of the nearest decided neighbour.  A marked article needs no stop words to be
 content, as the page itself vouches for it.
 """
 
@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 
 from veil.llm.rows import extended, fresh, mapped, whole_text
 
-#: Characters from which a block is not short, and from which its stop words alone decide.
+#: Characters from which a block is not short, and up to which a claim of rights is no content.
 SHORT, LONG = 70, 200
 #: Share of characters in links above which a block is boilerplate: in a marked article, and elsewhere.
 LINKED_IN_ARTICLE, LINKED = 0.5, 0.33
-#: Share of stop words from which a block is content, and below which a long one is boilerplate.
-STOPPED, UNSTOPPED = 0.25, 0.1
+#: Share of stop words from which a block is content, and below which it is boilerplate.
+STOPPED, UNSTOPPED = 0.2, 0.08
 
 STOP_WORDS = frozenset("""
     a about after all also an and any are as at be been but by can for from had has have he her his how i if in into is
@@ -270,7 +270,7 @@ def _first_pass(block: Block) -> bool | None:
     stopped = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if stopped >= STOPPED:
         return True
-    return False if stopped < UNSTOPPED or size >= LONG else None
+    return False if stopped < UNSTOPPED else None
 
 
 def label(blocks: list[Block]) -> list[bool]:
