@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veil.llm import line_labels, quality, toxicity
-from veil.llm.training import held_out
+from veil.llm.training import held_out, training_rows
 
 SF = "/root/testdata/sf0.01"
 
@@ -42,6 +42,15 @@ def test_held_out_ids(spark):
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 3 == 1) for r in rows)
 
 
+def test_the_bound_is_one_of_rows(spark):
+    """An id in hundreds of rows is one row to learn from."""
+    docs = spark.createDataFrame([(i % 7, f"text {i}") for i in range(700)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)], "doc_id bigint, toxic int")
+    for most in (2, 100):
+        rows = training_rows(docs, labels, "toxic", most).collect()
+        assert 0 < len(rows) <= min(most, 7) and all(int(r["text"][5:]) % 7 % 2 == r["label"] for r in rows)
+
+
 def test_swapped_terms_change_scores_little(spark):
     """A group's name stands in toxic texts only; the penalty keeps a neutral mention clean."""
     rows, labels = [], []

@@ -196,10 +196,11 @@ def mosaics(runs: list[np.ndarray], good: np.ndarray, seed: int = SEED) -> tuple
 
 
 def fit_lines(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id",
-              text: str = "text", most: int = MOST_ROWS) -> Field:
-    """Learns from a run of lines of each of at most ``most`` labelled documents.
+              text: str = "text", most: int = MOST_ROWS, run_lines: int = RUN_LINES) -> Field:
+    """Learns from a run of ``run_lines`` neighbouring lines of each of at most ``most`` labelled documents.
 
-    Without documents of both labels every line is content.
+    Both bound what is learned from, not what is judged.  Without documents of
+    both labels every line is content.
     """
 
     def run(batches):
@@ -208,8 +209,8 @@ def fit_lines(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id
             runs = []
             for t in batch.column(0).to_pylist():
                 m = analyse(t, words).measures
-                at = hash(len(t)) % max(1, len(m) - RUN_LINES + 1)
-                runs.append(m[at:at + RUN_LINES].ravel().tolist())
+                at = hash(len(t)) % max(1, len(m) - run_lines + 1)
+                runs.append(m[at:at + run_lines].ravel().tolist())
             yield pa.RecordBatch.from_arrays([pa.array(runs, pa.list_(pa.float64())), batch.column(1)],
                                              ["run", "label"])
 

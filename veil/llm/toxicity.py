@@ -177,8 +177,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_i
                  text: str = "text", most: int = MOST_ROWS, swap: float = SWAP) -> ToxicityModel:
     """Learns from at most ``most`` labelled documents; ``swap`` weighs the penalty on swaps.
 
-    An id that is labelled twice counts as 1 if one label does; rows with the same
-    id are all learned from.  Without labelled rows, or with one label only, every score is the share of ones.
+    An id that is labelled twice counts as 1 if one label does; of rows with the
+    same id one is learned from.  Without labelled rows, or with one label only, every score is the share of ones.
     """
     rows = materialize(training_rows(docs, labels, label, most, doc_id, text))
     counted, changed = _statistics(rows)

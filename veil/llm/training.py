@@ -21,14 +21,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int,
     """At most ``most`` labelled documents that are not held out, as (text, label).
 
     Which ones is decided by a hash of the id.  A document labelled twice counts
-    as 1 if one of its labels does; null ids and labels are left out.  The chosen
-    ids are few enough to be broadcast (16 bytes a row).
+    as 1 if one of its labels does; of rows with one id the text that comes first
+    is learned from; null ids and labels are left out.  The chosen ids are few
+    enough to be broadcast (16 bytes a row).
     """
     known = labels.select(col(doc_id).alias("id"), col(label).cast("int").alias("label"))
     known = known.filter("id IS NOT NULL AND label IN (0, 1)").filter(~held_out(F.col("id")))
     chosen = known.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most)
     texts = docs.select(col(doc_id).alias("id"), whole_text(text).alias("text"))
-    return texts.join(F.broadcast(chosen), "id").select("text", "label")
+    return texts.join(F.broadcast(chosen), "id").groupBy("id").agg(
+        F.min("text").alias("text"), F.max("label").alias("label")).select("text", "label")
 
 
 def with_scores(df: DataFrame, text: str, scorer: Callable[[], Callable[[list[str]], np.ndarray]],
