@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from veil.llm.rows import Words, col, digest, fresh, mixed, whole_text
+from veil.llm.rows import Words, col, digest, fresh, mixed, released, whole_text
 from veil.operators.materialize import materialize
 
 #: 1: the token counts, 0: it may differ.  However a fifth of the tokens of an overlap is substituted, one of them fits
@@ -165,7 +165,7 @@ def _regions(docs: DataFrame, table, short: list[list[str]], masks) -> DataFrame
                      pa.array(hashes_of, pa.list_(pa.int64())), pa.array(places_of, pa.list_(pa.int32()))],
                     ["text_id", "tokens", "hashes", "places"])
 
-    return docs.mapInArrow(run, "text_id binary, tokens array<bigint>, hashes array<bigint>, places array<int>")
+    return docs.mapInArrow(released(run), "text_id binary, tokens array<bigint>, hashes array<bigint>, places array<int>")
 
 
 def _verified(met: DataFrame, least: int, substituted: float) -> DataFrame:
@@ -187,7 +187,7 @@ def _verified(met: DataFrame, least: int, substituted: float) -> DataFrame:
                                                   pa.array(sizes, pa.int32())], ["text_id", "item", "size"])
 
     return met.select("text_id", "item", "shift", "tokens", "item_tokens").mapInArrow(
-        run, "text_id binary, item binary, size int")
+        released(run), "text_id binary, item binary, size int")
 
 
 def contaminated_texts(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text",

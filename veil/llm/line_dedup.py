@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from veil.llm.rows import col, digest, fresh, mixed, order_key, ragged, whole_text
+from veil.llm.rows import col, digest, fresh, mixed, order_key, ragged, released, whole_text
 from veil.operators.materialize import materialize
 
 #: Characters without white space that a block needs at least.
@@ -229,7 +229,7 @@ def _read(source: DataFrame, least: int) -> DataFrame:
                 a = b
 
     return source.select("text_id", "doc_id", "text").mapInArrow(
-        run, f"text_id binary, doc_id {kind}, hashes array<bigint>, sizes array<int>, keys array<bigint>")
+        released(run), f"text_id binary, doc_id {kind}, hashes array<bigint>, sizes array<int>, keys array<bigint>")
 
 
 def _open_keys(texts: DataFrame, least: int) -> DataFrame:
@@ -249,7 +249,7 @@ def _open_keys(texts: DataFrame, least: int) -> DataFrame:
                 [batch.column(0).take(pa.array(np.repeat(np.arange(len(number)), number))), pa.array(keys.view(np.int64))],
                 ["text_id", "hash"])
 
-    return texts.select("text_id", "hashes", "sizes", "places").mapInArrow(run, "text_id binary, hash bigint")
+    return texts.select("text_id", "hashes", "sizes", "places").mapInArrow(released(run), "text_id binary, hash bigint")
 
 
 def _firsts(rows: DataFrame, number: int) -> DataFrame:
@@ -322,7 +322,7 @@ def _aligned(pairs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(found, pa.list_(pa.int32()))],
                                                  ["text_id", "places"])
 
-    return ordered.select("later", "hashes", "sizes").mapInArrow(run, "text_id binary, places array<int>")
+    return ordered.select("later", "hashes", "sizes").mapInArrow(released(run), "text_id binary, places array<int>")
 
 
 def line_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = BLOCK_CHARS) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veil.llm.components import components
-from veil.llm.rows import Words, col, digest, fresh, mixed, order_key, whole_text, windows
+from veil.llm.rows import Words, col, digest, fresh, mixed, order_key, released, whole_text, windows
 from veil.operators.materialize import materialize
 
 SIZE, SIMILARITY, RECALL = 5, 0.8, 0.999
@@ -110,7 +110,7 @@ def _signed(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 ["doc_id", "text_id", "set_id", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, text_id binary, set_id binary, bands array<bigint>")
+    return docs.mapInArrow(released(run), f"doc_id {kind}, text_id binary, set_id binary, bands array<bigint>")
 
 
 def _shared(sets: list[np.ndarray], slab: int = 4096) -> np.ndarray:
@@ -218,7 +218,7 @@ def _verified(cells: DataFrame, similarity: float, size: int) -> DataFrame:
 
     ordered = cells.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     return ordered.select("hub", "i", "j", "second", "set_id", "docs", "hubs", "text").mapInArrow(
-        run, "set_id binary, links bigint, root binary")
+        released(run), "set_id binary, links bigint, root binary")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,

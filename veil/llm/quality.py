@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from veil.llm.rows import Words, hash64, whole_text
+from veil.llm.rows import Words, hash64, released, whole_text
 from veil.llm.training import logistic, training_rows, with_scores
 
 #: Rows of the table of words, then the marks: a word in capitals, a word repeated at once, a number.
@@ -29,6 +29,8 @@ WIDTH, NONZERO, REACH = 48, 2, 2
 #: Labelled documents learned from.
 MOST_ROWS = 16_000
 HIDDEN, EPOCHS, SEED = 32, 60, 7
+#: Words whose rows a task remembers.
+VOCABULARY = 150_000
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _CAPITALS, _NUMBER = 1 << 20, 1 << 21
@@ -51,7 +53,7 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 
 class _Tokens:
     def __init__(self):
-        self._codes = Words(_code)
+        self._codes = Words(_code, most=VOCABULARY)
 
     def rows(self, text: str) -> np.ndarray:
         """Rows of the table for a text's words, marks behind the word they belong to."""
@@ -104,7 +106,7 @@ def context_table(docs: DataFrame, text: str = "text") -> np.ndarray:
                                              ["row", *names])
 
     parts = docs.select(whole_text(text).alias("text")).mapInArrow(
-        run, "row bigint, " + ", ".join(f"{n} bigint" for n in names))
+        released(run), "row bigint, " + ", ".join(f"{n} bigint" for n in names))
     sums = parts.groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
     out = np.zeros((ROWS, WIDTH))
     out[sums["row"].to_numpy(dtype=np.int64)] = sums[names].to_numpy(dtype=np.float64)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,6 +43,22 @@ def order_key(doc_id: Column) -> Column:
     return F.struct(doc_id.isNull().alias("no_id"), doc_id.alias("doc_id"))
 
 
+def released(run: Callable) -> Callable:
+    """``run`` on Arrow batches that gives its memory back to the system when it ends.
+
+    Python workers serve one task after another; what a task freed but the worker
+    kept would stand beside the memory of all later stages.
+    """
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def mapped(df: DataFrame, inputs: list[Column], run: Callable, added: dict[str, str]) -> DataFrame:
     """All rows with further columns that ``run`` computes in Arrow batches.
 
@@ -61,7 +78,7 @@ def mapped(df: DataFrame, inputs: list[Column], run: Callable, added: dict[str,
         for batch in run(batches):
             yield pa.RecordBatch.from_arrays(batch.columns, names=names)
 
-    return source.mapInArrow(renamed, schema).select(
+    return source.mapInArrow(released(renamed), schema).select(
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)],
         *[F.col(f"a{i}").alias(n) for i, n in enumerate(added)])
 
