@@ -88,6 +88,20 @@ def test_records_are_the_same_at_any_split(spark, tmp_path, block, line_end):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_small_blocks_share_tasks(spark, tmp_path):
+    rows = [(str(i), 'line "one"\nline, two' * (1 + i % 7)) for i in range(3000)]
+    with open(tmp_path / "t.csv", "w", newline="", encoding="utf-8") as out:
+        csv.writer(out, quoting=csv.QUOTE_ALL).writerows([("a", "b"), *rows])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        assert spark.read.text(str(tmp_path / "t.csv")).rdd.getNumPartitions() > 300
+        found = load_tables(spark, str(tmp_path / "t.csv"), infer_types=False, emptyValue="")["Sheet1"]
+        assert 10 < found.rdd.getNumPartitions() < 50
+        assert sorted(map(tuple, found.collect())) == sorted(rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_an_open_quote_is_an_error(spark, tmp_path):
     (tmp_path / "t.csv").write_text('a,b\n1,"x\n')
     with pytest.raises(ValueError, match="not closed"):

@@ -18,14 +18,26 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from veil.operators.materialize import materialize
 
 WHOLE, OPENED, CONTINUED = 0, 1, 2
+_TASK_BYTES = 32 << 20  # blocks that are smaller are read several by one task
+_TASKS_A_CORE = 4  # as long as every core has so many tasks
 _COLUMNS = "record string, file bigint, start bigint, kind int, first boolean"
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, file, start): lines with the file and the block they stand in; within a block they come in order."""
+def _tasks(spark: SparkSession, path: str) -> int:
+    """How many tasks read the files, at most: by their bytes, whatever the number of their blocks."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
+    return max(_TASKS_A_CORE * spark.sparkContext.defaultParallelism, -(-size // _TASK_BYTES))
+
+
+def _lines(spark: SparkSession, path: str, tasks: int) -> DataFrame:
+    """(value, file, start): lines with the file and the block they stand in; within a block they come in order.
+
+    A task reads its blocks one after another, each as if it were alone.
+    """
     text = spark.read.option("lineSep", "\n").text(path)
     return text.select("value", F.xxhash64("_metadata.file_path").alias("file"),
-                       F.col("_metadata.file_block_start").alias("start"))
+                       F.col("_metadata.file_block_start").alias("start")).coalesce(tasks)
 
 
 def _blocks(lines: DataFrame, quote: str, path: str) -> DataFrame:
@@ -145,12 +157,13 @@ def csv_records(spark: SparkSession, path: str, quote: str = '"', header: bool =
     """
     if spark.read.text(path).columns != ["value"]:
         return None
-    lines = _lines(spark, path)
+    tasks = _tasks(spark, path)
+    lines = _lines(spark, path, tasks)
     blocks = _blocks(lines, quote, path)
     placed = lines.join(F.broadcast(blocks), ["file", "start"], "left").select("value", "file", "start", "inside")
     records = _cut(placed, quote, fragments=False).select("record", "first")
     if not blocks.filter("inside").isEmpty():
-        fragments = materialize(_cut(placed, quote, fragments=True))
+        fragments = materialize(_cut(placed, quote, fragments=True)).coalesce(tasks)
         # Within a block the rest of the record before comes first.
         order = Window.partitionBy("file").orderBy("start", F.desc("kind"))
         began = F.last(F.when(F.col("kind") == OPENED, F.col("start")), ignorenulls=True).over(order)
