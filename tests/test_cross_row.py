@@ -137,6 +137,29 @@ def test_ranks_are_dense(spark):
     assert [(r["k"], r["__veil_rank"]) for r in ranked.orderBy("k").collect()] == [(i, i) for i in range(1000)]
 
 
+def test_tasks_of_a_shuffle_hold_so_many_rows(spark, settings, monkeypatch):
+    """Larger tables get more partitions than Spark's usual number, 4 here, with the same result."""
+    rows = [(i if i % 3 else i % 2 or None, i % 3 > 0, i, i * i) for i in range(3000)]  # keys repeat out of scope
+    scoped = spark.createDataFrame(rows, "k int, inside boolean, v int, w int").repartition(6)
+    policy = {c: {"method": "shuffle", "where": "inside"} for c in ("v", "w")}
+    whole = spark.range(3000).select("id", F.col("id").alias("v"), (F.col("id") % 7).alias("w"))
+
+    def results():
+        return (anonymize(whole, {"v": "shuffle", "w": "shuffle"}, settings, ["id"]),
+                anonymize(scoped, policy, settings, ["k"]))
+
+    before = [sorted(map(str, df.collect())) for df in results()]
+    monkeypatch.setattr(permutation, "_TASK_ROWS", 100, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df, wanted in zip(results(), before, strict=True):
+            assert sorted(map(str, df.collect())) == wanted
+            assert df.rdd.getNumPartitions() == 30
+            assert max(df.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()) < 400
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_permutation_looks_uniform(spark, settings):
     """About one value stays in place, and values move a third of the table on average."""
     n = 3000
