@@ -49,10 +49,16 @@ def unseen_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of all texts, and whether they decode to the text again."""
+    """Token ids of all texts, and whether they decode to the text again.
+
+    The ids are stored in between: encoding and decoding in one plan would hold
+    two Python workers for each task, beside a JVM that has all earlier stages behind it,
+    and Spark keeps workers for the stages that follow.
+    """
     vocabulary = byte_bpe.Vocabulary(spark, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
     docs = docs.select("doc_id", "lang", "source", "text")
-    decoded = byte_bpe.decode(byte_bpe.encode(docs, vocabulary), vocabulary)
+    encoded = materialize(byte_bpe.encode(docs, vocabulary))
+    decoded = byte_bpe.decode(encoded, vocabulary)
     return decoded.select(
         "doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
         (F.col("bytes") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"))

@@ -29,6 +29,12 @@ def test_run(spark):
     assert out.count() > 50 and out.filter("NOT round_trip").count() == 0
 
 
+def test_token_ids_take_one_python_worker_for_a_task(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = corpus_pipeline.token_ids(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_registered():
     import __spark_entry__
 

@@ -2,8 +2,11 @@
 
 import hashlib
 import struct
+import tracemalloc
+from types import SimpleNamespace
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings as hypothesis_settings, strategies as st
@@ -81,3 +84,28 @@ def test_the_memory_of_chunks_is_bounded(merges):
     texts = [f"word{i} and word{i + 1} again" for i in range(30)]
     once = byte_bpe.Coder(public_tokenizers.PATTERN, merges)
     assert [coder.block([t]).to_pylist() for t in texts] == [once.block([t]).to_pylist() for t in texts]
+
+
+def test_long_words_leave_nothing_in_the_worker(library):
+    """The tables are a broadcast value, which outlives the task."""
+    merges = byte_bpe.Merges(byte_bpe.read_ranks(PATH))
+    before = set(vars(merges))
+    raw = "there" * 40
+    assert merges.words([raw.encode()])[0].tolist() == library.encode_ordinary(raw)
+    assert set(vars(merges)) == before
+
+
+def test_texts_become_strings_block_by_block(merges, monkeypatch):
+    """A batch may hold 10,000 rows; only those of a block are Python strings at a time."""
+    taken = []
+    monkeypatch.setattr(byte_bpe, "mapped", lambda df, inputs, run, added: taken.append(run))
+    monkeypatch.setattr(byte_bpe, "fresh", lambda df, *names: list(names))
+    monkeypatch.setattr(byte_bpe, "whole_text", lambda name: None)
+    byte_bpe.encode(None, SimpleNamespace(pattern=public_tokenizers.PATTERN, merges=SimpleNamespace(value=merges)),
+                    block_chars=100_000)
+    batch = pa.RecordBatch.from_arrays([pa.array(["only a few words " * 600] * 2000)], ["text"])
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in taken[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 2000 and peak < 15e6 < batch.nbytes

@@ -22,6 +22,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -80,10 +81,11 @@ class Merges:
         starts = np.cumsum(lengths) - lengths
         data = np.frombuffer(b"".join(raw), dtype=np.uint8)
         order, parts, counts = [], [], np.zeros(len(raw), dtype=np.int64)
+        made = self._pairs() if len(lengths) and lengths.max() > LONG else {}
         for length in np.unique(lengths):
             at = np.flatnonzero(lengths == length)
             if length > LONG:
-                own = [self._long(raw[i]) for i in at]
+                own = [self._long(raw[i], made) for i in at]
                 counts[at] = [len(x) for x in own]
                 parts.append(np.concatenate(own))
             elif length:
@@ -120,12 +122,11 @@ class Merges:
             ranks[row, left] = self.rank(ids[row, left], best[inner])
         return ids[:, :width]
 
-    def _long(self, word: bytes) -> np.ndarray:
+    def _long(self, word: bytes, made: dict[int, int] | None = None) -> np.ndarray:
         """The same for a long word: a heap of pairs and a linked list, so that time is n log n."""
         ids = [int(i) for i in self.first[np.frombuffer(word, dtype=np.uint8)]]
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        made = self._pairs()
-
+        made = self._pairs() if made is None else made
         heap = [(r, i) for i in range(len(ids) - 1) if (r := made.get((ids[i] << 32) + ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
@@ -144,9 +145,8 @@ class Merges:
         return np.array([i for i in ids if i >= 0], dtype=np.int64)
 
     def _pairs(self) -> dict[int, int]:
-        if "_made_of" not in self.__dict__:
-            self._made_of = dict(zip(self.keys.tolist(), self.made.tolist(), strict=True))
-        return self._made_of
+        """Ids of pairs.  Not kept: objects that outlive a task would hold the memory around them in the worker."""
+        return dict(zip(self.keys.tolist(), self.made.tolist(), strict=True))
 
     def pieces(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of ids one after another, and how many each has."""
@@ -270,9 +270,10 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str =
     def run(batches):
         coder = Coder(pattern, shared.value)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for start, end in ranges([len(t) for t in texts], block_chars):
-                yield extended(batch.slice(start, end - start), 1, [coder.block(texts[start:end])])
+            texts = batch.column(batch.num_columns - 1)
+            for start, end in ranges(pc.utf8_length(texts).to_pylist(), block_chars):
+                made = coder.block(texts.slice(start, end - start).to_pylist())
+                yield extended(batch.slice(start, end - start), 1, [made])
 
     return mapped(df, [whole_text(text)], run, {fresh(df, ids)[0]: "array<int>"})
 
