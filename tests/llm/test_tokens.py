@@ -5,6 +5,7 @@ import struct
 import tracemalloc
 from types import SimpleNamespace
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -101,7 +102,8 @@ def test_texts_become_strings_block_by_block(merges, monkeypatch):
     monkeypatch.setattr(byte_bpe, "mapped", lambda df, inputs, run, added: taken.append(run))
     monkeypatch.setattr(byte_bpe, "fresh", lambda df, *names: list(names))
     monkeypatch.setattr(byte_bpe, "whole_text", lambda name: None)
-    byte_bpe.encode(None, SimpleNamespace(pattern=public_tokenizers.PATTERN, merges=SimpleNamespace(value=merges)),
+    docs = SimpleNamespace(columns=["text"], dtypes=[("text", "string")])
+    byte_bpe.encode(docs, SimpleNamespace(pattern=public_tokenizers.PATTERN, merges=SimpleNamespace(value=merges)),
                     block_chars=100_000)
     batch = pa.RecordBatch.from_arrays([pa.array(["only a few words " * 600] * 2000)], ["text"])
     tracemalloc.start()
@@ -109,3 +111,23 @@ def test_texts_become_strings_block_by_block(merges, monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows == 2000 and peak < 15e6 < batch.nbytes
+
+
+def test_columns_are_sent_to_tasks_once(spark, vocabulary, monkeypatch):
+    sent, real = [], byte_bpe.mapped
+    monkeypatch.setattr(byte_bpe, "mapped", lambda df, inputs, run, added: (
+        sent.append(len(inputs)), real(df, inputs, run, added))[1])
+    texts = spark.createDataFrame([(None, "a"), ("", "b"), ("some words", None)], "text string, other string")
+    out = byte_bpe.decode(byte_bpe.encode(texts, vocabulary), vocabulary, ids_sha256="digest")
+    assert sent == [0, 0]
+    assert {(r["text"], r["other"], bytes(r["bytes"])) for r in out.collect()} == {
+        (None, "a", b""), ("", "b", b""), ("some words", None, b"some words")}
+    # Other types are cast first, and null ids are none.
+    numbers = byte_bpe.encode(spark.createDataFrame([(None,), (12,)], "text int"), vocabulary)
+    assert {bytes(r["bytes"]) for r in byte_bpe.decode(numbers, vocabulary).collect()} == {b"", b"12"}
+    for kind in ("array<int>", "array<bigint>"):
+        ids = spark.createDataFrame([(1, None), (2, []), (3, [256, 257]), (4, None)], f"n int, ids {kind}")
+        rows = {r["n"]: r for r in byte_bpe.decode(ids, vocabulary, ids_sha256="digest").collect()}
+        assert len({(bytes(rows[n]["bytes"]), rows[n]["digest"]) for n in (1, 2, 4)}) == 1 and not rows[1]["bytes"]
+        pieces = vocabulary.merges.value.pieces(np.array([256, 257]))[0].tobytes()
+        assert bytes(rows[3]["bytes"]) == pieces and rows[1]["ids"] is None

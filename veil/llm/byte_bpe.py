@@ -256,6 +256,12 @@ def ranges(sizes: list[int], most: int) -> list[tuple[int, int]]:
     return out
 
 
+def _place(df: DataFrame, name: str, kind: str) -> int | None:
+    """Where a column of that very type is; tasks read it there, and it is not sent to them twice."""
+    same = [c for c in df.columns if c.lower() == name.lower()]
+    return df.dtypes.index((name, kind)) if len(same) == 1 and (name, kind) in df.dtypes else None
+
+
 def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids",
            block_chars: int = BLOCK_CHARS) -> DataFrame:
     """All rows with a further column of the token ids of their whole text.
@@ -266,16 +272,19 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str =
     underscores after its name.
     """
     pattern, shared = vocabulary.pattern, vocabulary.merges
+    place = _place(df, text, "string")
+    inputs = [whole_text(text)] if place is None else []
+    n_inputs = len(inputs)
 
     def run(batches):
         coder = Coder(pattern, shared.value)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            for start, end in ranges(pc.utf8_length(texts).to_pylist(), block_chars):
-                made = coder.block(texts.slice(start, end - start).to_pylist())
-                yield extended(batch.slice(start, end - start), 1, [made])
+            texts = batch.column(batch.num_columns - 1 if place is None else place)
+            for start, end in ranges(pc.fill_null(pc.utf8_length(texts), 0).to_pylist(), block_chars):
+                made = coder.block([t or "" for t in texts.slice(start, end - start).to_pylist()])
+                yield extended(batch.slice(start, end - start), n_inputs, [made])
 
-    return mapped(df, [whole_text(text)], run, {fresh(df, ids)[0]: "array<int>"})
+    return mapped(df, inputs, run, {fresh(df, ids)[0]: "array<int>"})
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "bytes",
@@ -289,11 +298,18 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "
     """
     shared = vocabulary.merges
     names = fresh(df, out, *([ids_sha256] if ids_sha256 else []))
+    place = _place(df, ids, "array<int>")
+    inputs = [F.coalesce(col(ids), F.array().cast("array<int>"))] if place is None else []
+    n_inputs = len(inputs)
+
+    def taken(batch: pa.RecordBatch) -> tuple[pa.ListArray, pa.Array]:
+        lists = batch.column(batch.num_columns - 1 if place is None else place)
+        return lists, pc.fill_null(lists.value_lengths(), 0)
 
     def part(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists = batch.column(batch.num_columns - 1)
+        lists, sizes = taken(batch)
         flat = lists.flatten().to_numpy(zero_copy_only=False)
-        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(sizes.to_numpy(zero_copy_only=False))]).astype(np.int64)
         data, lengths = shared.value.pieces(flat)
         offsets = np.concatenate([[0], np.cumsum(lengths)])[ends].astype(np.int32)
         made = [pa.BinaryArray.from_buffers(pa.binary(), batch.num_rows,
@@ -301,13 +317,11 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "
         if ids_sha256:
             raw, at = flat.astype("<u4"), ends.tolist()
             made.append(pa.array([sha256(raw[a:b]).hexdigest() for a, b in zip(at, at[1:], strict=False)]))
-        return extended(batch, 1, made)
+        return extended(batch, n_inputs, made)
 
     def run(batches):
         for batch in batches:
-            sizes = batch.column(batch.num_columns - 1).value_lengths().to_pylist()
-            for start, end in ranges(sizes, PART_IDS):
+            for start, end in ranges(taken(batch)[1].to_pylist(), PART_IDS):
                 yield part(batch.slice(start, end - start))
 
-    return mapped(df, [F.coalesce(col(ids), F.array().cast("array<int>"))], run,
-                  dict(zip(names, ("binary", "string"), strict=False)))
+    return mapped(df, inputs, run, dict(zip(names, ("binary", "string"), strict=False)))
